@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, simhash, substring_dedup, toxicity
+from . import decontaminate, packing, simhash, substring_dedup, toxicity
 from .common import table
 
 
@@ -36,13 +36,24 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~toxicity.learnable("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the packing query."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), capacity=2048, end_id=1)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict:
-    return {"op4_decontamination": op4_decontamination, "op6_toxicity": op6_toxicity, "op3_substring_dedup": op3_substring_dedup, "op8_simhash": op8_simhash}
+    return {"op4_decontamination": op4_decontamination, "op6_toxicity": op6_toxicity, "op7_packing": op7_packing, "op3_substring_dedup": op3_substring_dedup, "op8_simhash": op8_simhash}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
