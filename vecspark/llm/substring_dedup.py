@@ -5,11 +5,13 @@ than ``window`` words are the repeats.  Its upper part is split by prefixes:
 
 1. Every window of ``window`` words owns the smallest-hash ``prefix``-gram inside of
    it.  Equal windows own equal prefixes at equal places, so suffixes fall into
-   groups by that prefix, and runs of neighbouring windows share one entry.  A
-   prefix with one entry has one suffix below it: a leaf, which is dropped here.
-2. Suffixes below branching prefixes only are extended to full depth; the internal
-   nodes at that depth (two suffixes or more) are the repeats, and their windows,
-   overlapping or adjoining, make the maximal repeats.
+   groups by that prefix, and runs of neighbouring windows share one entry, which
+   also knows the hash of all words that the run covers.  A prefix with one entry is
+   a leaf, which is dropped here; one whose entries all cover the same words is a
+   single path without a branch, all of whose windows repeat.
+2. Only suffixes below branching prefixes are extended to full depth; the internal
+   nodes at that depth (two suffixes or more) are the repeats.  Repeated windows that
+   overlap or adjoin make the maximal repeats.
 
 A node is known by 96 bits of hash of its word path, so a suffix costs a few
 bytes however deep it is, and a group of any size is counted by partial sums; no
@@ -42,14 +44,14 @@ def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_owners(hashes: np.ndarray, first: np.ndarray, window: int, prefix: int):
-    """(document, first window, window count, owner's hash) of each run of windows that one prefix owns.
+    """(document, first window, window count, owner's hash, hash of all words) of each run of windows that one prefix owns.
 
     ``hashes`` are those of the words of several texts, ``first`` each text's first word.
     """
     counts = np.maximum(np.diff(first) - window + 1, 0)
     if not counts.sum():
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, np.zeros(0, np.uint64)
+        return empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     starts = np.arange(len(hashes) - prefix + 1)
     grams = span_hashes(hashes, starts, starts + prefix)
     doc = np.repeat(np.arange(len(counts)), counts)
@@ -60,7 +62,8 @@ def window_owners(hashes: np.ndarray, first: np.ndarray, window: int, prefix: in
     new[1:] = owner[1:] != owner[:-1]
     begin = np.flatnonzero(new)
     length = np.diff(np.append(begin, len(owner)))
-    return doc[begin], place[begin], length, grams[owner[begin]]
+    at = first[doc[begin]] + place[begin]
+    return doc[begin], place[begin], length, grams[owner[begin]], span_hashes(hashes, at, at + length - 1 + window)
 
 
 def _entries(window: int, prefix: int):
@@ -71,10 +74,10 @@ def _entries(window: int, prefix: int):
             row = batch.column(0).to_numpy()
             for at, n, data, offsets in text_slices(batch.column(1)):
                 starts, ends, first = word_spans(data, offsets, IS_WORD)
-                doc, place, length, key = window_owners(word_hashes(data, starts, ends), first, window, prefix)
+                doc, place, length, key, cover = window_owners(word_hashes(data, starts, ends), first, window, prefix)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(row[at : at + n][doc]), pa.array(place.astype(np.int32)), pa.array(length.astype(np.int32))],
-                    names=["prefix", "row", "place", "length"],
+                    [pa.array(x) for x in (key.view(np.int64), cover.view(np.int64), row[at : at + n][doc], place.astype(np.int32), length.astype(np.int32))],
+                    names=["prefix", "cover", "row", "place", "length"],
                 )
 
     return run
@@ -92,8 +95,9 @@ def _suffixes(window: int):
                 own = runs.slice(at, n)
                 size = np.diff(np.asarray(own.offsets))
                 flat = own.flatten()
-                place, length = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
-                doc = np.repeat(np.repeat(np.arange(n), size), length)
+                branch = flat.field(2).to_numpy(zero_copy_only=False)
+                place, length = (flat.field(k).to_numpy().astype(np.int64)[branch] for k in (0, 1))
+                doc = np.repeat(np.repeat(np.arange(n), size)[branch], length)
                 place = np.repeat(place, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
                 begin = first[doc] + place
                 more = span_hashes(hashes, begin, begin + window, 0x5BD1E995)
@@ -111,9 +115,9 @@ def _suffixes(window: int):
 
 
 def _cut(window: int, joiner: str | None, rest: list[str]):
-    def kept(text: str | None, places: np.ndarray | None) -> tuple[int, int, str]:
+    def kept(text: str | None, places: np.ndarray, lengths: np.ndarray) -> tuple[int, int, str]:
         data = (text or "").encode()
-        if places is None:
+        if not len(places):
             if joiner is None:
                 return len(data.split()), 0, text or ""
             words = data.split()
@@ -121,7 +125,7 @@ def _cut(window: int, joiner: str | None, rest: list[str]):
         starts, ends, _ = word_spans(np.frombuffer(data, np.uint8), np.array([0, len(data)]), IS_WORD)
         depth = np.zeros(len(starts) + 1, np.int64)
         np.add.at(depth, places, 1)
-        np.add.at(depth, places + window, -1)
+        np.add.at(depth, places + lengths - 1 + window, -1)
         stays = np.cumsum(depth[:-1]) == 0
         if joiner is not None:
             words = data.split()
@@ -130,34 +134,58 @@ def _cut(window: int, joiner: str | None, rest: list[str]):
         spans = zip(starts[np.flatnonzero(edge == 1)], ends[np.flatnonzero(edge == -1) - 1])
         return len(starts), int((~stays).sum()), b"\n".join(data[a:b] for a, b in spans).decode()
 
+    def numbers(scalar, field: int | None = None) -> np.ndarray:
+        values = scalar.values
+        if values is None:
+            return np.zeros(0, np.int64)
+        return (values if field is None else values.field(field)).to_numpy(zero_copy_only=False)
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             out = []
             for k in range(batch.num_rows):
-                places = batch.column(1)[k].values
-                out.append(kept(batch.column(0)[k].as_py(), None if places is None else places.to_numpy().astype(np.int64)))
+                runs, single = batch.column(1)[k], numbers(batch.column(2)[k]).astype(np.int64)
+                path = ~numbers(runs, 2).astype(bool)
+                places = np.concatenate([single, numbers(runs, 0).astype(np.int64)[path]])
+                lengths = np.concatenate([np.ones(len(single), np.int64), numbers(runs, 1).astype(np.int64)[path]])
+                out.append(kept(batch.column(0)[k].as_py(), places, lengths))
             n_words, n_removed, texts = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[2:], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())],
+                [*batch.columns[3:], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())],
                 names=[*rest, "n_words", "n_removed", "kept_text"],
             )
 
     return run
 
 
-def repeated_windows(docs: DataFrame, row: str, text_col: str = "text", window: int = 35, prefix: int = 8) -> DataFrame:
-    """(``row``, places): the sorted first words of all windows that also start elsewhere, for rows that have any."""
+def repeated_windows(docs: DataFrame, row: str, text_col: str = "text", window: int = 35, prefix: int = 8) -> tuple[DataFrame, DataFrame]:
+    """The repeats of each row that has any, as two tables keyed by ``row``.
+
+    ``runs`` are structs of place, length and branch: all windows of runs without
+    branch are repeats.  ``places`` are the repeated windows below branches.
+    """
     texts = docs.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
-    entries = texts.mapInArrow(_entries(window, prefix), "prefix long, row long, place int, length int")
-    branching = entries.groupBy("prefix").count().where("count > 1").select("prefix")
-    runs = entries.join(branching, "prefix", "left_semi").groupBy("row").agg(F.collect_list(F.struct("place", "length")).alias("runs"))
-    below = docs.withColumnRenamed(row, "row").join(runs, "row").select("row", F.col(text_col).alias("text"), "runs")
-    suffixes = below.mapInArrow(_suffixes(window), "node long, node2 int, row long, place int")
+    entries = texts.mapInArrow(_entries(window, prefix), "prefix long, cover long, row long, place int, length int")
+    groups = entries.groupBy("prefix").agg(F.count("*").alias("n"), F.min("cover").alias("low"), F.max("cover").alias("high"))
+    groups = groups.where("n > 1").select("prefix", (F.col("low") != F.col("high")).alias("branch"))
+    runs = _inverted(entries.drop("cover"), "prefix").join(_inverted(groups, "prefix"), "prefix")
+    runs = runs.groupBy("row").agg(F.collect_list(F.struct("place", "length", "branch")).alias("runs"))
+    # All columns of docs stay, so that this join and the last one share one exchange of the texts.
+    below = docs.withColumnRenamed(row, "row").join(runs, "row").where(F.exists("runs", lambda x: x["branch"]))
+    rest = [c for c in docs.columns if c not in (row, text_col)]
+    suffixes = below.select("row", F.col(text_col).alias("text"), "runs", *rest).mapInArrow(_suffixes(window), "node long, node2 int, row long, place int")
     internal = suffixes.groupBy("node", "node2").count().where("count > 1").select("node", "node2")
-    repeats = suffixes.join(internal, ["node", "node2"], "left_semi")
-    return repeats.groupBy("row").agg(F.collect_list("place").alias("places")).withColumnRenamed("row", row)
+    repeats = _inverted(suffixes, "node").join(_inverted(internal, "node"), ["node", "node2"], "left_semi")
+    places = repeats.groupBy("row").agg(F.collect_list("place").alias("places"))
+    return runs.withColumnRenamed("row", row), places.withColumnRenamed("row", row)
+
+
+def _inverted(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with all bits of a key inverted: a join by it after an aggregation by the key itself has
+    an exchange on either side, so that Spark can split the partition of a very frequent key."""
+    return df.withColumn(column, F.bitwise_not(column))
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, prefix: int = 8, joiner: str | None = None) -> DataFrame:
@@ -176,9 +204,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, pr
     rest = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed", "kept_text")]
     row = fresh(docs, "row")
     numbered = docs.select(*rest, text_col).withColumn(row, F.monotonically_increasing_id())
-    found = repeated_windows(numbered, row, text_col, window, prefix)
+    runs, places = repeated_windows(numbered, row, text_col, window, prefix)
     schema = docs.select(*rest).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_text": F.lit("")}).schema
-    return numbered.join(found, row, "left").select(text_col, "places", *rest).mapInArrow(_cut(window, joiner, rest), schema)
+    found = numbered.join(runs, row, "left").join(places, row, "left")
+    return found.select(text_col, "runs", "places", *rest).mapInArrow(_cut(window, joiner, rest), schema)
 
 
 def removed_share() -> Column:
