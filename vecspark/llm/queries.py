@@ -5,9 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash, substring_dedup, toxicity
+from . import decontaminate, langid, license_scan, packing, sharding, simhash, substring_dedup, topk, toxicity, url_filter
 from .common import table
 
+#: Bytes of text of a shard.
+SHARD_BYTES = 16 << 20
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.col("base_starts")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(starts).cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35, joiner=" ")
@@ -30,6 +53,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.assign_shards(docs, "doc_id", "text", limit=SHARD_BYTES)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -52,8 +80,40 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Fixed values of the contract.
+URL_RULES = [
+    url_filter.Rule("allow", "com/"),
+    url_filter.Rule("block", "example.com/en/"),
+    url_filter.Rule("allow", "www.example.com/en/"),
+    url_filter.Rule("block", "net/es/"),
+    url_filter.Rule("block", "net/fr/"),
+]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs.drop("lang"), langid.fit(docs))
+    return found.select("doc_id", (~langid.learnable("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def queries() -> dict:
-    return {"op4_decontamination": op4_decontamination, "op6_toxicity": op6_toxicity, "op7_packing": op7_packing, "op3_substring_dedup": op3_substring_dedup, "op8_simhash": op8_simhash}
+    return {
+        "op1_license_scan": op1_license_scan,
+        "op2_topk": op2_topk,
+        "op3_substring_dedup": op3_substring_dedup,
+        "op4_decontamination": op4_decontamination,
+        "op5_sharding": op5_sharding,
+        "op6_toxicity": op6_toxicity,
+        "op7_packing": op7_packing,
+        "op8_simhash": op8_simhash,
+        "op9_url_filter": op9_url_filter,
+        "op10_langid": op10_langid,
+    }
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -74,5 +134,62 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
 
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: coalesce(z[1] * z[2], 0))) AS BIGINT) AS score
+      FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+
+def _op1_sql() -> str:
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    rows = ",\n  ".join(
+        f"({k}, '{t.label}', {quoted(t.words)}, {quoted(t.key.split())}, {t.key_at}, {str(t.base).lower()})" for k, t in enumerate([*license_scan.BASE, *license_scan.NOTICES])
+    )
+    return f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+t(n, label, notice, key, key_at, base) AS (VALUES
+  {rows}),
+c AS (SELECT doc_id, n, label, notice, base, p - key_at AS start, w FROM x JOIN t ON x.word = t.key[1] JOIN d USING (doc_id) WHERE w[p + 1:p + len(key)] = key),
+s AS (SELECT doc_id, label, base, start,
+      list_sum(list_transform(range(len(notice)), lambda k: CASE WHEN start + k >= 0 AND start + k < len(w) AND w[start + k + 1] = notice[k + 1] THEN 1 ELSE 0 END)) / len(notice) AS score FROM c),
+g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, max(score) AS score,
+      string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+      FROM s WHERE score >= 0.6 GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+#: A bucket is the shortest prefix of the hash whose documents fit; no key of these tables fills a shard alone.
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+           lpad(bin(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT)), 60, '0') AS h FROM documents),
+p AS (SELECT doc_id, n_bytes, substr(h, 1, depth) AS prefix, depth FROM d, (SELECT unnest(generate_series(0, 40)) AS depth)),
+s AS (SELECT doc_id, n_bytes, depth, prefix, sum(n_bytes) OVER (PARTITION BY depth, prefix) AS total FROM p),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS k FROM s WHERE total <= {SHARD_BYTES})
+SELECT doc_id, n_bytes, prefix || '.0' AS shard, CAST(total AS BIGINT) AS shard_bytes FROM m WHERE k = 1
+"""
+
+OP9_SQL = r"""
+WITH u AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)([^?#]*)', 1), '') AS host0,
+                  coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+h AS (SELECT page_id, translate(host0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u),
+r(rule, verdict, rhost, rpath) AS (VALUES ('com/', 'allow', 'com', '/'), ('example.com/en/', 'block', 'example.com', '/en/'),
+     ('www.example.com/en/', 'allow', 'www.example.com', '/en/'), ('net/es/', 'block', 'net', '/es/'), ('net/fr/', 'block', 'net', '/fr/')),
+f AS (SELECT page_id, max(struct_pack(n := length(rule), rule := rule, verdict := verdict)) AS best
+      FROM h, r WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT page_id, host, path, best.rule AS rule,
+       coalesce(best.verdict, CASE WHEN regexp_matches(host || path, '(?s)\A(?:[^/]*[.-])?(casino|adult|pills|bets|spam|ads)[.-]') THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN f USING (page_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL}
+    return {"op1_license_scan": _op1_sql(), "op2_topk": OP2_SQL, "op5_sharding": OP5_SQL, "op9_url_filter": OP9_SQL, "op4_decontamination": OP4_SQL}
