@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Documents of a random group, and how many groups' documents are drawn from at once.
 GROUP, DRAWN = 2048, 4
 #: Tokens after which a draw is closed early, and words that a task remembers.
-DRAW_TOKENS, KNOWN_WORDS = 8_000_000, 600_000
+DRAW_TOKENS, KNOWN_WORDS = 8_000_000, 400_000
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
@@ -114,7 +114,7 @@ class WordTokens:
         import regex
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_str(vocabulary)
+        self.vocabulary, self.whole = vocabulary, None
         told = json.loads(vocabulary)
         splits = told["pre_tokenizer"]["pretokenizers"]
         self.pieces = regex.compile(splits[0]["pattern"]["Regex"]).findall
@@ -125,12 +125,15 @@ class WordTokens:
         told |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.letters = str.maketrans(_byte_letters())
         self.bare = Tokenizer.from_str(json.dumps(told))
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _whole(self, text: str) -> np.ndarray:
+        from tokenizers import Tokenizer
+
+        self.whole = self.whole or Tokenizer.from_str(self.vocabulary)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def _learn(self, words: list[str]) -> None:
         import unicodedata
 
@@ -164,33 +167,52 @@ class WordTokens:
         split = []
         for k, text in enumerate(texts):
             if any(x in text for x in self.special):
-                out[k] = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+                out[k] = self._whole(text)
                 split.append([])
             else:
                 split.append(text.split())
         words = [w for s in split for w in s]
-        if len(self.known) > KNOWN_WORDS:
-            self._forget()
         code, distinct = pd.factorize(np.array(words, dtype=object)) if words else (np.zeros(0, np.int64), [])
         known = self.known
         new = [w for w in distinct if w not in known]
+        kept = len(known)
         if new:
             self._learn(new)
-        index = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[code]
+        index = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[code]
         begin = self.bounds[index]
         length = self.bounds[index + 1] - begin
         total = np.concatenate([[0], np.cumsum(length)])
         ids = self.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], length)]
         ends = total[np.cumsum([0, *map(len, split)])]
+        if len(known) > KNOWN_WORDS:  # no room: these words are encoded again when they come again
+            for word in new:
+                del known[word]
+            self.bounds = self.bounds[: kept + 1]
+            self.ids = self.ids[: self.bounds[-1]]
         return [ids[a:b] if done is None else done for done, a, b in zip(out, ends, ends[1:])]
 
 
+class Vocabulary:
+    """A tokenizer file's text; the encoder made from it is kept for all tasks of a Python worker."""
+
+    def __init__(self, text: str):
+        self.text, self._tokens = text, None
+
+    def tokens(self) -> WordTokens:
+        if self._tokens is None:
+            self._tokens = WordTokens(self.text)
+        return self._tokens
+
+    def __getstate__(self):
+        return {"text": self.text, "_tokens": None}
+
+
 def _packed(vocabulary, capacity: int, end_id: int, rest: list[str], out_names: list[str], seed: int):
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tokens = WordTokens(vocabulary.value)
+        tokens = vocabulary.value.tokens()
         part = TaskContext.get().partitionId()
         draw = np.random.default_rng([seed, part])
         sequence = part << 31
@@ -265,6 +287,6 @@ def pack_documents(
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     rest = [c for c in docs.columns if c not in (text_col, *names)]
     with open(vocabulary_path, encoding="utf-8") as file:
-        vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())
+        vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(file.read()))
     schema = docs.select(*rest).withColumns({c: F.lit(0).cast("long") for c in names}).schema
     return docs.select(F.col(text_col).alias("__text"), *rest).mapInArrow(_packed(vocabulary, capacity, end_id, rest, names, seed), schema)
