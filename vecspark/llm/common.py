@@ -38,6 +38,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def hidden(df: DataFrame, kept: list[str], *own: Column) -> DataFrame:
+    """``own`` columns, with the ``kept`` ones under names that no operator uses."""
+    return df.select(*own, *(F.col(f"`{c}`").alias(f"__kept{k}") for k, c in enumerate(kept)))
+
+
+def shown(kept: list[str]) -> list[Column]:
+    """The columns that ``hidden`` put away, by their names again."""
+    return [F.col(f"__kept{k}").alias(c) for k, c in enumerate(kept)]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder in the storage that driver and executors share.
 

@@ -41,6 +41,10 @@ def _windows(words: Column, n: int) -> Column:
     return F.transform(starts, lambda k: F.struct(k.alias("at"), F.xxhash64(F.slice(words, k + 1, n)).alias("h")))
 
 
+def _sized(windows: Column, n: int) -> Column:
+    return F.transform(windows, lambda x: F.struct(x["at"].alias("at"), F.lit(n).alias("n"), x["h"].alias("h")))
+
+
 def _hash(gram: Column) -> Column:
     return F.xxhash64(F.split(gram, " "))
 
@@ -76,7 +80,7 @@ def _by_join(docs: DataFrame, grams: DataFrame, sizes: list[int], words: str, hi
     docs = docs.withColumn(row, F.monotonically_increasing_id())
     grams = grams.select(F.col("n").alias("bench_n"), "gram", _hash(F.col("gram")).alias("bench_h"))
     keys = grams.select("bench_h", "bench_n").distinct()
-    parts = F.concat(*(F.transform(_windows(F.col(words), n), lambda x, k=n: F.struct(x["at"].alias("at"), F.lit(k).alias("n"), x["h"].alias("h"))) for n in sizes))
+    parts = F.concat(*(_sized(_windows(F.col(words), n), n) for n in sizes))
     windows = docs.select(F.col(row).alias("row"), F.explode(parts).alias("x")).select("row", "x.*")
     near = windows.join(keys, (F.col("h") == F.col("bench_h")) & (F.col("n") == F.col("bench_n")), "left_semi")
     near = near.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("near"))

@@ -47,6 +47,9 @@ def phrase(label: str, text: str) -> Template:
     return Template(label, text, text, base=True)
 
 
+#: Share of a notice's words that must stand at their places, its key phrase in any case.
+LEAST_SCORE = 0.3
+
 BASE = [
     phrase("mit", "under the mit license"),
     phrase("apache-2", "apache license version 2"),
@@ -109,7 +112,7 @@ def scan(
     templates: Sequence[Template] | None = None,
     text_col: str = "text",
     anchors: int = 2,
-    least_score: float = 0.6,
+    least_score: float = LEAST_SCORE,
 ) -> DataFrame:
     """``docs`` without its text, with what was found in each whole text.
 

@@ -160,7 +160,7 @@ s AS (SELECT doc_id, label, base, start,
       list_sum(list_transform(range(len(notice)), lambda k: CASE WHEN start + k >= 0 AND start + k < len(w) AND w[start + k + 1] = notice[k + 1] THEN 1 ELSE 0 END)) / len(notice) AS score FROM c),
 g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, max(score) AS score,
       string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
-      FROM s WHERE score >= 0.6 GROUP BY doc_id)
+      FROM s WHERE score >= {license_scan.LEAST_SCORE} GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
        coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
 FROM d LEFT JOIN g USING (doc_id)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, fresh, stored
+from .common import dropped, hidden, shown, stored
 
 #: Bits of the hash (the first 15 hexadecimal digits of an MD5 sum).
 HASH_BITS = 60
@@ -52,33 +52,33 @@ def assign_shards(docs: DataFrame, key_col: str, text_col: str, limit: int, step
     """
     added = ["n_bytes", "shard", "shard_bytes"]
     rest = [c for c in docs.columns if c not in (text_col, *added)]
-    row, part, hashed = (fresh(docs, c) for c in ("row", "part", "hash"))
-    rows = docs.select(*rest, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), key_hash(F.col(key_col)).alias(hashed))
-    rows = rows.withColumn(row, F.monotonically_increasing_id()).withColumn(part, F.shiftright(row, 33))
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
+    rows = hidden(docs, rest, size.alias("n_bytes"), key_hash(F.col(key_col)).alias("hash"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.shiftright("row", 33))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     bits = min(HASH_BITS, (total // limit).bit_length() + step_bits)
     while True:
-        cells = rows.withColumn("cell", _prefix(F.col(hashed), bits))
+        cells = rows.withColumn("cell", _prefix(F.col("hash"), bits))
         found, path = stored(directory(cells.groupBy("cell").agg(F.sum("n_bytes").alias("bytes")), limit, bits))
         if bits == HASH_BITS or found.where(F.col("bytes") > limit).isEmpty():
             break
         dropped(docs.sparkSession, path)
         bits = min(HASH_BITS, bits + step_bits)
     placed = cells.join(found, "cell")
-    whole = placed.where(F.col("bytes") <= limit)
-    whole = whole.select(*rest, "n_bytes", F.concat("prefix", F.lit(".0")).alias("shard"), F.col("bytes").alias("shard_bytes"))
-    return whole.unionByName(_overflow(placed.where(F.col("bytes") > limit), row, part, limit).select(*whole.columns))
+    whole = placed.where(F.col("bytes") <= limit).withColumns({"shard": F.concat("prefix", F.lit(".0")), "shard_bytes": F.col("bytes")})
+    over = _overflow(placed.where(F.col("bytes") > limit), limit)
+    return whole.unionByName(over).select(*shown(rest), "n_bytes", "shard", "shard_bytes")
 
 
-def _overflow(rows: DataFrame, row: str, part: str, limit: int) -> DataFrame:
+def _overflow(rows: DataFrame, limit: int) -> DataFrame:
     """Rows of buckets that no bit parts, with pages.
 
     Every input partition fills pages of its own: a page closes at half a limit, and a row of
     more than half a limit is a page by itself.
     """
-    here = Window.partitionBy("prefix", part)
+    here = Window.partitionBy("prefix", "part")
     big = F.col("n_bytes") > limit // 2
-    before = F.sum(F.when(big, 0).otherwise(F.col("n_bytes"))).over(here.orderBy(row)) - F.col("n_bytes")
-    page = F.when(big, F.concat(F.lit("r"), F.col(row))).otherwise(F.floor(before / max(1, limit - limit // 2)).cast("string"))
-    paged = rows.withColumn("shard", F.concat("prefix", F.lit("."), F.concat_ws("-", F.col(part).cast("string"), page)))
+    before = F.sum(F.when(big, 0).otherwise(F.col("n_bytes"))).over(here.orderBy("row")) - F.col("n_bytes")
+    page = F.when(big, F.concat(F.lit("r"), F.col("row"))).otherwise(F.floor(before / max(1, limit - limit // 2)).cast("string"))
+    paged = rows.withColumn("shard", F.concat("prefix", F.lit("."), F.concat_ws("-", F.col("part").cast("string"), page)))
     return paged.withColumn("shard_bytes", F.sum("n_bytes").over(Window.partitionBy("shard")))

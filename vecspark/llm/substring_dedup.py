@@ -21,10 +21,10 @@ group is ever gathered in one task.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, span_hashes, text_slices, word_hashes, word_spans
+from .common import hidden, shown, span_hashes, text_slices, word_hashes, word_spans
 
 #: Words are parted by ASCII white space.
 IS_WORD = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
@@ -160,26 +160,26 @@ def _cut(window: int, joiner: str | None, rest: list[str]):
     return run
 
 
-def repeated_windows(docs: DataFrame, row: str, text_col: str = "text", window: int = 35, prefix: int = 8) -> tuple[DataFrame, DataFrame]:
-    """The repeats of each row that has any, as two tables keyed by ``row``.
+def repeated_windows(docs: DataFrame, window: int = 35, prefix: int = 8) -> tuple[DataFrame, DataFrame]:
+    """The repeats of each row (``row``, ``text``, others) that has any, as two tables keyed by ``row``.
 
     ``runs`` are structs of place, length and branch: all windows of runs without
     branch are repeats.  ``places`` are the repeated windows below branches.
     """
-    texts = docs.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
+    texts = docs.select("row", "text")
     entries = texts.mapInArrow(_entries(window, prefix), "prefix long, cover long, row long, place int, length int")
     groups = entries.groupBy("prefix").agg(F.count("*").alias("n"), F.min("cover").alias("low"), F.max("cover").alias("high"))
     groups = groups.where("n > 1").select("prefix", (F.col("low") != F.col("high")).alias("branch"))
     runs = _inverted(entries.drop("cover"), "prefix").join(_inverted(groups, "prefix"), "prefix")
     runs = runs.groupBy("row").agg(F.collect_list(F.struct("place", "length", "branch")).alias("runs"))
     # All columns of docs stay, so that this join and the last one share one exchange of the texts.
-    below = docs.withColumnRenamed(row, "row").join(runs, "row").where(F.exists("runs", lambda x: x["branch"]))
-    rest = [c for c in docs.columns if c not in (row, text_col)]
-    suffixes = below.select("row", F.col(text_col).alias("text"), "runs", *rest).mapInArrow(_suffixes(window), "node long, node2 int, row long, place int")
+    below = docs.join(runs, "row").where(F.exists("runs", lambda x: x["branch"]))
+    rest = [c for c in docs.columns if c not in ("row", "text")]
+    suffixes = below.select("row", "text", "runs", *rest).mapInArrow(_suffixes(window), "node long, node2 int, row long, place int")
     internal = suffixes.groupBy("node", "node2").count().where("count > 1").select("node", "node2")
     repeats = _inverted(suffixes, "node").join(_inverted(internal, "node"), ["node", "node2"], "left_semi")
     places = repeats.groupBy("row").agg(F.collect_list("place").alias("places"))
-    return runs.withColumnRenamed("row", row), places.withColumnRenamed("row", row)
+    return runs, places
 
 
 def _inverted(df: DataFrame, column: str) -> DataFrame:
@@ -202,14 +202,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, pr
     if not 0 < prefix <= window:
         raise ValueError("prefix must have between 1 and window words")
     rest = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed", "kept_text")]
-    row = fresh(docs, "row")
-    numbered = docs.select(*rest, text_col).withColumn(row, F.monotonically_increasing_id())
-    runs, places = repeated_windows(numbered, row, text_col, window, prefix)
-    schema = docs.select(*rest).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_text": F.lit("")}).schema
-    found = numbered.join(runs, row, "left").join(places, row, "left")
-    return found.select(text_col, "runs", "places", *rest).mapInArrow(_cut(window, joiner, rest), schema)
-
-
-def removed_share() -> Column:
-    """The share of a document's words that were removed (0 for a document without words)."""
-    return F.coalesce(F.col("n_removed") / F.nullif(F.col("n_words"), F.lit(0)), F.lit(0.0))
+    numbered = hidden(docs, rest, F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    runs, places = repeated_windows(numbered, window, prefix)
+    kept = [c for c in numbered.columns if c.startswith("__kept")]
+    schema = numbered.select(*kept).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_text": F.lit("")}).schema
+    found = numbered.join(runs, "row", "left").join(places, "row", "left")
+    cut = found.select("text", "runs", "places", *kept).mapInArrow(_cut(window, joiner, kept), schema)
+    return cut.select(*shown(rest), "n_words", "n_removed", "kept_text")

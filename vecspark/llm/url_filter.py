@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh
+from .common import ascii_lower, hidden, shown
 
 ALLOW, BLOCK = "allow", "block"
 #: Rules up to this number go to all executors; more are joined by Spark's choice.
@@ -79,9 +79,8 @@ def judge(urls: DataFrame, rules: Sequence[Rule], patterns: Sequence[Pattern] =
     added = ["host", "path", "rule", "verdict"]
     rest = [c for c in urls.columns if c not in added]
     host, path = host_and_path(F.col(url_col))
-    parsed = urls.withColumns({"__host": host, "__path": path}).select(*rest, F.col("__host").alias("host"), F.col("__path").alias("path"))
-    place = fresh(parsed, "place")
-    parsed = parsed.withColumn(place, F.concat("host", "path"))
+    parsed = hidden(urls, rest, host.alias("host"), path.alias("path")).withColumn("place", F.concat("host", "path"))
+    kept = [c for c in parsed.columns if c.startswith("__kept")]
 
     filed = [(r.rule, r.verdict, len(r.rule), r.regex(), tokens(r.rule)) for r in rules]
     filed += [(None, BLOCK, 0, p.regex, [p.literal]) for p in patterns]
@@ -90,21 +89,20 @@ def judge(urls: DataFrame, rules: Sequence[Rule], patterns: Sequence[Pattern] =
         raise ValueError("every rule needs a literal token")
     spread: dict[str, int] = {}
     if words:
-        held = parsed.select(F.explode(F.array_intersect(_token_column(F.col(place)), F.array(*map(F.lit, words)))).alias("t"))
+        held = parsed.select(F.explode(F.array_intersect(_token_column(F.col("place")), F.array(*map(F.lit, words)))).alias("t"))
         spread = {r["t"]: r["count"] for r in held.groupBy("t").count().collect()}  # rule words only
     index = [(min(own, key=lambda t: (spread.get(t, 0), -len(t), t)), *row) for *row, own in filed]
     index_df = spark.createDataFrame(index or [("", None, ALLOW, 0, "", )], "token string, r_rule string, r_verdict string, r_size int, r_regex string")
     if len(index) <= BROADCAST_RULES:
         index_df = F.broadcast(index_df)
 
-    row = fresh(parsed, "row")
     keys = sorted({t for t, *_ in index})
-    wanted = F.array_intersect(_token_column(F.col(place)), F.array(*map(F.lit, keys)) if keys else F.array().cast("array<string>"))
-    candidates = parsed.withColumn(row, F.monotonically_increasing_id()).withColumn("__wanted", wanted)
-    candidates = candidates.withColumn("token", F.explode_outer("__wanted")).drop("__wanted").join(index_df, "token", "left")
-    fits = F.coalesce(F.rlike(F.col(place), F.col("r_regex")), F.lit(False))
+    wanted = F.array_intersect(_token_column(F.col("place")), F.array(*map(F.lit, keys)) if keys else F.array().cast("array<string>"))
+    candidates = parsed.withColumn("row", F.monotonically_increasing_id()).withColumn("wanted", wanted)
+    candidates = candidates.withColumn("token", F.explode_outer("wanted")).drop("wanted").join(index_df, "token", "left")
+    fits = F.coalesce(F.rlike(F.col("place"), F.col("r_regex")), F.lit(False))
     best = F.max(F.when(fits & F.col("r_rule").isNotNull(), F.struct("r_size", "r_rule", "r_verdict")))
     blocked = F.bool_or(fits & F.col("r_rule").isNull())
-    judged = candidates.groupBy(row).agg(*(F.first(c).alias(c) for c in [*rest, "host", "path"]), best.alias("__best"), blocked.alias("__blocked"))
-    verdict = F.coalesce(F.col("__best.r_verdict"), F.when(F.col("__blocked"), BLOCK), F.lit(ALLOW))
-    return judged.select(*rest, "host", "path", F.col("__best.r_rule").alias("rule"), verdict.alias("verdict"))
+    judged = candidates.groupBy("row").agg(*(F.first(c).alias(c) for c in [*kept, "host", "path"]), best.alias("best"), blocked.alias("blocked"))
+    verdict = F.coalesce(F.col("best.r_verdict"), F.when(F.col("blocked"), BLOCK), F.lit(ALLOW))
+    return judged.select(*shown(rest), "host", "path", F.col("best.r_rule").alias("rule"), verdict.alias("verdict"))
