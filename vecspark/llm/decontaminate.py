@@ -74,10 +74,8 @@ def _spelled(name: str, words: str, n: Column | None = None) -> Column:
     return F.transform(name, one)
 
 
-def _by_join(docs: DataFrame, grams: DataFrame, sizes: list[int], words: str, hits: str) -> DataFrame:
+def _by_join(docs: DataFrame, grams: DataFrame, sizes: list[int], words: str, hits: str, row: str) -> DataFrame:
     """``docs`` with ``hits``; windows meet the n-grams in joins, for benchmarks of any size."""
-    row = fresh(docs, "row")
-    docs = docs.withColumn(row, F.monotonically_increasing_id())
     grams = grams.select(F.col("n").alias("bench_n"), "gram", _hash(F.col("gram")).alias("bench_h"))
     keys = grams.select("bench_h", "bench_n").distinct()
     parts = F.concat(*(_sized(_windows(F.col(words), n), n) for n in sizes))
@@ -87,7 +85,7 @@ def _by_join(docs: DataFrame, grams: DataFrame, sizes: list[int], words: str, hi
     spelled = docs.select(F.col(row).alias("row"), words).join(near, "row").select("row", F.explode(_spelled("near", words)).alias("x"))
     full = spelled.join(grams.select("gram").distinct(), F.col("x.gram") == F.col("gram"), "left_semi")
     full = full.groupBy("row").agg(F.sort_array(F.collect_list("x")).alias(hits)).withColumnRenamed("row", row)
-    return docs.join(full, row, "left").withColumn(hits, F.coalesce(hits, F.array().cast(_HITS))).drop(row)
+    return docs.join(full, row, "left").withColumn(hits, F.coalesce(hits, F.array().cast(_HITS)))
 
 
 def find_hits(
@@ -104,14 +102,20 @@ def find_hits(
     A null text has no words and no hits; an empty benchmark hits nothing.  Columns
     of ``docs`` named ``words`` or ``hits`` are replaced.
     """
+    docs = docs.drop("words", "hits").withColumn("words", plain_words(F.col(text_col)))
+    # The row number keeps a filter on the hits from being moved below the words, where Spark
+    # would extract a text's words anew for each of its windows.
+    row = fresh(docs, "row")
+    docs = docs.withColumn(row, F.monotonically_increasing_id())
     grams = item_grams(items, item_id, item_text, n)
     sized = grams.groupBy("n").count().collect()  # at most n rows
-    docs = docs.drop("words", "hits").withColumn("words", plain_words(F.col(text_col)))
     if not sized:
-        return docs.withColumn("hits", F.array().cast(_HITS))
-    if sum(r["count"] for r in sized) > set_limit:
-        return _by_join(docs, grams, sorted(r["n"] for r in sized), "words", "hits")
-    return _by_set(docs, grams.select("gram", "n", _hash(F.col("gram")).alias("h")).collect(), "words", "hits")
+        found = docs.withColumn("hits", F.array().cast(_HITS))
+    elif sum(r["count"] for r in sized) > set_limit:
+        found = _by_join(docs, grams, sorted(r["n"] for r in sized), "words", "hits", row)
+    else:
+        found = _by_set(docs, grams.select("gram", "n", _hash(F.col("gram")).alias("h")).collect(), "words", "hits")
+    return found.withColumn("hits", F.when(F.col(row) >= 0, F.col("hits"))).drop(row)
 
 
 def hit_places(hits: str = "hits") -> Column:
