@@ -728,3 +728,67 @@ def bundle_round_trip(spark, d):
     path = shared_dir(spark)
     io.save_bundle({"gene_to_family": vec.select("gene_id", "family_id"), "gene_ids": vec.select("gene_id")}, path)
     return io.load_bundle(spark, path)[0]["gene_to_family"]
+
+
+def _as_text(lines: DataFrame) -> str:
+    """The path of a table's lines as text files."""
+    path = shared_dir(lines.sparkSession)
+    lines.write.text(path)
+    return path
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS gene_id FROM part")
+def read_gene_ids(spark, d):
+    t = T.read(spark, d, "part")
+    path = _as_text(t.select(F.concat_ws("\t", "p_brand", F.concat(F.lit(" "), F.col("p_partkey").cast("string"))).alias("value")))
+    return io.read_gene_ids(spark, path, header_rows=0, gene_col=2)
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS gene_id, 1 AS sample, CAST(p_size AS DOUBLE) AS value FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 2, p_retailprice FROM part WHERE p_partkey % 2 = 0")
+def read_expression(spark, d):
+    t = T.read(spark, d, "part")
+    path = _as_text(t.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in ("p_partkey", "p_size", "p_retailprice"))).alias("value")))
+    ids = t.where("p_partkey % 2 = 0").select(F.col("p_partkey").cast("string").alias("gene_id"))
+    return io.read_expression(spark, [path], ids, [2, 3], header_rows=0)[0]
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS gene_id, CAST(o_custkey AS VARCHAR) AS family_id FROM orders")
+def read_orthogroups(spark, d):
+    lists = [F.concat_ws(", ", F.collect_list(F.when(F.col("o_orderkey") % 2 == k, F.col("o_orderkey").cast("string")))) for k in (0, 1)]
+    lines = T.read(spark, d, "orders").groupBy("o_custkey").agg(F.concat_ws("\t", F.first(F.col("o_custkey").cast("string")), *lists).alias("value"))
+    return io.read_orthogroups(spark, _as_text(lines.select("value")), header_rows=0)
+
+
+@query(f"{W('vec', 'comp', 'cen')} SELECT family_id, CAST(pos AS INTEGER) AS pos, round(value, 6) + 0.0 AS value FROM cen")
+def save_and_load_table(spark, d):
+    path = shared_dir(spark)
+    io.save_table(families.group_centroid(T.vectors(spark, d)), path)
+    return flat(io.load_table(spark, path), "family_id", "c")
+
+
+def _asked(spark, d) -> DataFrame:
+    return T.read(spark, d, "lineitem").select((F.col("l_suppkey") * 3).alias("gene_id")).distinct()
+
+
+_ASKED = "a AS (SELECT DISTINCT l_suppkey * 3 AS gene_id FROM lineitem)"
+
+
+@query(f"{W('vec')}, {_ASKED} SELECT a.gene_id, round({_NORM.format('v')}, 6) AS norm, family_id IS NOT NULL AS found FROM a LEFT JOIN vec USING (gene_id)")
+def lookup_vector(spark, d):
+    found = families.lookup(T.vectors(spark, d), _asked(spark, d), "gene_id")
+    return found.select("gene_id", V.vec_norm("v").alias("norm"), "found").select("gene_id", r6("norm"), "found")
+
+
+@query(f"{W(*_C)}, a AS (SELECT DISTINCT l_linenumber * 2 AS family_id FROM lineitem) SELECT a.family_id, round({_NORM.format('c')}, 6) AS norm, c IS NOT NULL AS found FROM a LEFT JOIN cenv USING (family_id)")
+def lookup_centroid(spark, d):
+    ids = T.read(spark, d, "lineitem").select((F.col("l_linenumber") * 2).alias("family_id")).distinct()
+    found = families.lookup(families.group_centroid(T.vectors(spark, d)), ids, "family_id")
+    return found.select("family_id", V.vec_norm("c").alias("norm"), "found").select("family_id", r6("norm"), "found")
+
+
+@query(f"{W(*_C)}, {_ASKED}, s AS (SELECT gene_id, {_NORM.format('list_transform(list_zip(v, c), lambda z: z[1] - z[2])')} AS n FROM vec JOIN cenv USING (family_id)) SELECT a.gene_id, round(n, 6) AS norm, n IS NOT NULL AS found FROM a LEFT JOIN s USING (gene_id)")
+def lookup_shift(spark, d):
+    vec = T.vectors(spark, d)
+    shifts = families.shift_field(vec, families.group_centroid(vec))
+    found = families.lookup(shifts, _asked(spark, d), "gene_id")
+    return found.select("gene_id", V.vec_norm("shift").alias("norm"), "found").select("gene_id", r6("norm"), "found")
