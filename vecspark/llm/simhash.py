@@ -103,6 +103,9 @@ def links(prints: DataFrame, distance: int = 2, fp_col: str = "fp", hot: int = 6
     entries of more than ``hot`` fingerprints are divided further, exactly.  Keys
     are hashes; equal keys only make candidates, which the bit count verifies.
     """
+    # Few small rows become many: they are spread before, or a task or two would make them all.
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = prints.select(fp_col).repartition(parts, fp_col)
     entries = prints.select(F.col(fp_col).alias("fp"), F.explode(_variants(F.col(fp_col), distance)).alias("v")).select("fp", "v.segment", "v.key")
     sizes = entries.groupBy("key").count().where("count > 1")
     shared = entries.join(sizes, "key")

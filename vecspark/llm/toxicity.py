@@ -148,28 +148,42 @@ def _logistic(doc: np.ndarray, index: np.ndarray, ratios: np.ndarray, label: np.
     return w, b
 
 
-def _scores(model, rest: list[str]):
-    def run(batches):
+def _text_scores(known: Model, weight: np.ndarray, texts) -> np.ndarray:
+    """The score of each text of an Arrow column."""
+    out = [np.zeros(0)]
+    for _, n, data, offsets in text_slices(texts):
+        codes, first = characters(data, offsets)
+        keys = [np.zeros(0, np.int64)]
+        for doc, bucket in hashed_grams(codes, first, SIZES, BITS):
+            hit = np.flatnonzero(weight[bucket])
+            keys.append(np.unique(doc[hit].astype(np.int64) << BITS | bucket[hit]))
+        keys = np.unique(np.concatenate(keys))
+        z = np.bincount(keys >> BITS, weight[keys & ((1 << BITS) - 1)], minlength=n) + known.intercept
+        out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+    return np.concatenate(out)
+
+
+def scorer(spark, model: Model):
+    """A column function: text to score.  Only texts go to Python, and only scores come back."""
+    from pyspark.sql.functions import arrow_udf
+
+    shared = spark.sparkContext.broadcast(model)
+
+    def score_texts(batches):
         import pyarrow as pa
 
-        known = model.value
+        known = shared.value
         weight = np.zeros(1 << BITS, np.float32)
         weight[known.buckets] = known.weights
-        for batch in batches:
-            out = []
-            for _, n, data, offsets in text_slices(batch.column(0)):
-                codes, first = characters(data, offsets)
-                keys = []
-                for doc, bucket in hashed_grams(codes, first, SIZES, BITS):
-                    hit = np.flatnonzero(weight[bucket])
-                    keys.append(doc[hit].astype(np.int64) << BITS | bucket[hit])
-                keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-                z = np.bincount(keys >> BITS, weight[keys & ((1 << BITS) - 1)], minlength=n) + known.intercept
-                out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
-            scores = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], names=[*rest, "score"])
+        for texts in batches:
+            yield pa.array(_text_scores(known, weight, texts))
 
-    return run
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    score_texts.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return arrow_udf(score_texts, "double")
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -178,6 +192,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
     The text column itself only stays with ``keep_text``.
     """
     rest = [c for c in docs.columns if c != "score" and (keep_text or c != text_col)]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*rest).withColumn("score", F.lit(0.0)).schema
-    return docs.select(F.col(text_col).alias("__text"), *rest).mapInArrow(_scores(shared, rest), schema)
+    return docs.select(*rest, scorer(docs.sparkSession, model)(F.col(text_col)).alias("score"))
