@@ -111,13 +111,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     known = known.where(learnable("id") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    keys = known.select("id", "lang")
-    languages = [r["lang"] for r in keys.select("lang").distinct().orderBy("lang").collect()]
+    keys = known.select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(1 << 32)).alias("hash"))
+    counts = keys.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()  # a row per language
+    languages = [r["lang"] for r in counts]
     if not languages:
         return Model([], np.zeros((0, 1)), np.zeros((1 << BITS, 1), np.float32), np.zeros(1, np.float32), np.ones(1))
     each = max(10, min(per_language, at_most // len(languages)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = keys.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("id", "lang").distinct()
+    # Only hashes that can be among the smallest are ranked, however many documents a language has.
+    reach = docs.sparkSession.createDataFrame([(r["lang"], int((2.0**32) * min(1.0, (2 * each + 100) / r["n"]))) for r in counts], "lang string, reach long")
+    near = keys.join(F.broadcast(reach), "lang").where("hash <= reach")
+    order = Window.partitionBy("lang").orderBy("hash", "id")
+    picked = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("id", "lang").distinct()
     sample = known.join(F.broadcast(picked), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))
     sample, path = stored(sample.select("lang", "text"))
     try:

@@ -43,8 +43,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(learnable("id") & F.col("label").isin(0, 1))
     known = known.groupBy("id").agg(F.max("label").alias("label"))
-    n, ones = known.agg(F.count("*"), F.sum("label")).first()
-    picked = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(per_class) for k in (0, 1)]
+    n, ones = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    # Only hashes that can be among the smallest are ranked, however many labels there are.
+    known = known.withColumn("hash", F.pmod(F.xxhash64("id"), F.lit(1 << 32)))
+    picked = []
+    for label, size in ((0, n - ones), (1, ones)):
+        reach = int((2.0**32) * min(1.0, (2 * per_class + 100) / max(size, 1)))
+        picked.append(known.where((F.col("label") == label) & (F.col("hash") <= reach)).orderBy("hash", "id").limit(per_class).drop("hash"))
     picked = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * per_class rows at most
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return texts.join(picked, "id").groupBy("id", "label").agg(F.min("text").alias("text")).drop("id"), ones / n if n else None
