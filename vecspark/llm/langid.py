@@ -152,7 +152,7 @@ def _predictions(model, rest: list[str], least_lead: float):
     def run(batches):
         import pyarrow as pa
 
-        known = model.value
+        known = Model(*model.value)
         for batch in batches:
             lettered = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             found: list[str] = []
@@ -184,7 +184,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", least_lead: f
     """
     added = {"lang_pred": F.lit(""), "score": F.lit(0.0), "ambiguous": F.lit(True)}
     rest = [c for c in docs.columns if c != text_col and c not in added]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.codes, model.weights, model.intercepts, model.trust))
     schema = docs.select(*rest).withColumns(added).schema
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     return docs.select(F.col(text_col).alias("__text"), lettered.alias("__lettered"), *rest).mapInArrow(_predictions(shared, rest, least_lead), schema)

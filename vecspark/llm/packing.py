@@ -192,19 +192,11 @@ class WordTokens:
         return [ids[a:b] if done is None else done for done, a, b in zip(out, ends, ends[1:])]
 
 
-class Vocabulary:
-    """A tokenizer file's text; the encoder made from it is kept for all tasks of a Python worker."""
-
-    def __init__(self, text: str):
-        self.text, self._tokens = text, None
-
-    def tokens(self) -> WordTokens:
-        if self._tokens is None:
-            self._tokens = WordTokens(self.text)
-        return self._tokens
-
-    def __getstate__(self):
-        return {"text": self.text, "_tokens": None}
+def _encoder(shared: dict) -> WordTokens:
+    """The encoder of a broadcast vocabulary, kept in the broadcast value for all tasks of a Python worker."""
+    if "encoder" not in shared:
+        shared["encoder"] = WordTokens(shared["text"])
+    return shared["encoder"]
 
 
 def _packed(vocabulary, capacity: int, end_id: int, rest: list[str], out_names: list[str], seed: int):
@@ -212,7 +204,7 @@ def _packed(vocabulary, capacity: int, end_id: int, rest: list[str], out_names:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tokens = vocabulary.value.tokens()
+        tokens = _encoder(vocabulary.value)
         part = TaskContext.get().partitionId()
         draw = np.random.default_rng([seed, part])
         sequence = part << 31
@@ -287,6 +279,6 @@ def pack_documents(
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     rest = [c for c in docs.columns if c not in (text_col, *names)]
     with open(vocabulary_path, encoding="utf-8") as file:
-        vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(file.read()))
+        vocabulary = docs.sparkSession.sparkContext.broadcast({"text": file.read()})
     schema = docs.select(*rest).withColumns({c: F.lit(0).cast("long") for c in names}).schema
     return docs.select(F.col(text_col).alias("__text"), *rest).mapInArrow(_packed(vocabulary, capacity, end_id, rest, names, seed), schema)

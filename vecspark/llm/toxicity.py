@@ -153,7 +153,7 @@ def _logistic(doc: np.ndarray, index: np.ndarray, ratios: np.ndarray, label: np.
     return w, b
 
 
-def _text_scores(known: Model, weight: np.ndarray, texts) -> np.ndarray:
+def _text_scores(intercept: float, weight: np.ndarray, texts) -> np.ndarray:
     """The score of each text of an Arrow column."""
     out = [np.zeros(0)]
     for _, n, data, offsets in text_slices(texts):
@@ -163,7 +163,7 @@ def _text_scores(known: Model, weight: np.ndarray, texts) -> np.ndarray:
             hit = np.flatnonzero(weight[bucket])
             keys.append(np.unique(doc[hit].astype(np.int64) << BITS | bucket[hit]))
         keys = np.unique(np.concatenate(keys))
-        z = np.bincount(keys >> BITS, weight[keys & ((1 << BITS) - 1)], minlength=n) + known.intercept
+        z = np.bincount(keys >> BITS, weight[keys & ((1 << BITS) - 1)], minlength=n) + intercept
         out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
     return np.concatenate(out)
 
@@ -172,16 +172,16 @@ def scorer(spark, model: Model):
     """A column function: text to score.  Only texts go to Python, and only scores come back."""
     from pyspark.sql.functions import arrow_udf
 
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model.buckets, model.weights, model.intercept))
 
     def score_texts(batches):
         import pyarrow as pa
 
-        known = shared.value
+        buckets, weights, intercept = shared.value
         weight = np.zeros(1 << BITS, np.float32)
-        weight[known.buckets] = known.weights
+        weight[buckets] = weights
         for texts in batches:
-            yield pa.array(_text_scores(known, weight, texts))
+            yield pa.array(_text_scores(intercept, weight, texts))
 
     from collections.abc import Iterator
 
