@@ -315,3 +315,21 @@ def test_queries_on_tables_with_nulls(spark, tmp_path):
         if not name.startswith(("op2", "op7", "op9")):
             assert len(rows) == n, name
     assert {r["kept_sha256"] for r in queries.op3_substring_dedup(spark, f"file://{tmp_path}").where("doc_id IS NULL").collect()} == {hashlib.sha256(b"no id here").hexdigest()}
+
+
+def test_queries_on_empty_tables(spark, tmp_path):
+    docs = docs_of(spark, [])
+    write(docs, tmp_path, "documents")
+    write(spark.createDataFrame([], "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    write(spark.createDataFrame([], "item_id long, text string"), tmp_path, "benchmark")
+    write(spark.createDataFrame([], "page_id long, url string"), tmp_path, "pages")
+    write(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"), tmp_path, "embeddings")
+    for name, query in queries.queries().items():
+        assert query(spark, f"file://{tmp_path}").count() == 0, name
+
+
+def test_best_cut():
+    import numpy as np
+
+    assert toxicity.best_cut(np.array([2.0, 1.0, -1.0, -2.0]), np.array([1.0, 1.0, 0.0, 0.0])) == 0
+    assert toxicity.best_cut(np.array([-1.0, -2.0, -3.0]), np.array([1.0, 1.0, 0.0])) == -2.5
