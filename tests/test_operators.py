@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecspark.operators import clustering, families, integration, loess, neighbors, normalize, outliers, paralogs, quality, reshape, trajectories
+from vecspark.plans import registry, tables
 
 NAN = float("nan")
 
@@ -154,6 +155,27 @@ def test_contribution_permutations_with_equal_partners(spark):
     assert at[0, 2] == 1 and at[0, 0] == 0
 
 
+def test_trajectory_table_has_every_user_and_day(spark, tmp_path):
+    rows = [(u, "view" if u % 2 else "click", f"2024-01-{1 + u % 3:02d} 05:00:00", float(u)) for u in range(1, 31)] + [(1, "view", "2024-01-02 23:00:00", 3.0)]
+    events = spark.createDataFrame(rows, "user_id long, event_type string, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
+    events.write.parquet(f"file://{tmp_path}/events.parquet")
+    got = {(r["sample"], r["factor"], r["t"]): r["value"] for r in tables.trajectories(spark, f"file://{tmp_path}").collect()}
+    assert len(got) == 30 * 2 * 3
+    assert got[1, "view", 1] == 2 and got[21, "view", 0] == 21 and got[1, "view", 0] == 0 and got[2, "view", 2] == 0
+    found = registry.queries()["contribution_permutation_test"](spark, f"file://{tmp_path}").collect()
+    assert len({(r["sample"], r["factor"], r["dependent"]) for r in found}) == len(found) == 30 * 4
+
+
+def test_all_pairs_equal_single_permutation_tests(spark):
+    rng = random.Random(2)
+    t = traj(spark, [(s, f, [rng.random() for _ in range(4)]) for s in range(5) for f in "abc"])
+    every = {(r["factor"], r["dependent"], r["sample"]): (r["total"], r["p_value"]) for r in trajectories.contribution_permutation_tests(t, 40)[1].collect()}
+    assert len(every) == 45
+    for pair in (("a", "b"), ("b", "a"), ("c", "c")):
+        for r in trajectories.contribution_permutation_test(t, *pair, 40)[1].collect():
+            assert every[*pair, r["sample"]] == (pytest.approx(r["total"]), r["p_value"])
+
+
 def test_histograms_and_divergence(spark):
     rows = [("F", 1, k, v) for k, v in enumerate((-2, -0.5, 0.2, 1.7, 0.9, -1.2, NAN))] + [("O", 1, 10 + k, v) for k, v in enumerate((-5, 5, 5))]
     resid = spark.createDataFrame([(s, p, k, float(v)) for s, p, k, v in rows], "study string, point int, row int, resid double")

@@ -89,11 +89,26 @@ def contribution_permutation_test(traj: DataFrame, factor: str, dependent: str,
     observed value (NaN never does).  At least two samples are needed.
     """
     one = traj.where(F.col("factor").isin(factor, dependent))
-    centred = _centred(one, mode)
-    f = centred.where(F.col("factor") == factor).select("sample", "t", F.col("value").alias("f"))
-    d = centred.where(F.col("factor") == dependent).select("sample", "t", F.col("value").alias("d"))
+    local, whole = _permuted(one, [factor], [dependent], permutations, mode, seed)
+    return local.drop("factor", "dependent"), whole.drop("factor", "dependent")
+
+
+def contribution_permutation_tests(traj: DataFrame, permutations: int = 1000, mode: str = "mean", seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """``contribution_permutation_test`` for every pair of a factor and a dependent, which lead the columns after ``sample``.
+
+    All pairs of a sample take the same partner in a permutation.
+    """
+    return _permuted(traj, None, None, permutations, mode, seed)
+
+
+def _permuted(traj: DataFrame, factors: list[str] | None, dependents: list[str] | None, permutations: int, mode: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    centred = _centred(traj, mode)
+    f = centred if factors is None else centred.where(F.col("factor").isin(factors))
+    d = centred if dependents is None else centred.where(F.col("factor").isin(dependents))
+    f = f.select("sample", "factor", "t", F.col("value").alias("f"))
+    d = d.select("sample", F.col("factor").alias("dependent"), "t", F.col("value").alias("d"))
     # A number for each sample (rows of distinct samples, not of the table).
-    names = one.select("sample").distinct().agg(F.array_sort(F.collect_set("sample")).alias("names"))
+    names = traj.select("sample").distinct().agg(F.array_sort(F.collect_set("sample")).alias("names"))
     places = names.select(F.posexplode("names").alias("k", "sample"), F.size("names").alias("n"))
     if places.limit(2).count() < 2:
         raise ValueError("a permutation needs at least two samples")
@@ -101,12 +116,13 @@ def contribution_permutation_test(traj: DataFrame, factor: str, dependent: str,
     drawn = places.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("other", F.pmod(F.col("k") + step, F.col("n")))
     partners = places.select(F.col("k").alias("other"), F.col("sample").alias("partner"))
     drawn = drawn.join(partners, "other").select("sample", "perm", "partner")
-    null = drawn.join(f, "sample").join(d.select(F.col("sample").alias("partner"), "t", "d"), ["partner", "t"])
-    null = null.select("sample", "perm", "t", (F.col("f") * F.col("d")).alias("c"))
-    seen = f.join(d, ["sample", "t"]).select("sample", "t", (F.col("f") * F.col("d")).alias("contribution"))
+    null = drawn.join(f, "sample").join(d.select(F.col("sample").alias("partner"), "dependent", "t", "d"), ["partner", "t"])
+    keys = ["sample", "factor", "dependent"]
+    null = null.select(*keys, "perm", "t", (F.col("f") * F.col("d")).alias("c"))
+    seen = f.join(d, ["sample", "t"]).select(*keys, "t", (F.col("f") * F.col("d")).alias("contribution"))
     reach = lambda a, b: F.sum(((F.col(a) >= F.col(b)) & ~F.isnan(a) & ~F.isnan(b)).cast("int")) / permutations
-    local = seen.join(null, ["sample", "t"]).groupBy("sample", "t").agg(F.first("contribution").alias("contribution"), reach("c", "contribution").alias("p_value"))
-    totals = seen.groupBy("sample").agg(F.sum("contribution").alias("total"))
-    nulls = null.groupBy("sample", "perm").agg(F.sum("c").alias("c"))
-    whole = totals.join(nulls, "sample").groupBy("sample").agg(F.first("total").alias("total"), reach("c", "total").alias("p_value"))
+    local = seen.join(null, [*keys, "t"]).groupBy(*keys, "t").agg(F.first("contribution").alias("contribution"), reach("c", "contribution").alias("p_value"))
+    totals = seen.groupBy(*keys).agg(F.sum("contribution").alias("total"))
+    nulls = null.groupBy(*keys, "perm").agg(F.sum("c").alias("c"))
+    whole = totals.join(nulls, keys).groupBy(*keys).agg(F.first("total").alias("total"), reach("c", "total").alias("p_value"))
     return local, whole

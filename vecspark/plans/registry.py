@@ -498,9 +498,7 @@ def velocity_acceleration_contributions(spark, d):
 
 @query()
 def contribution_permutation_test(spark, d):
-    t = T.trajectories(spark, d)
-    two = sorted(r["factor"] for r in t.select("factor").distinct().collect())[:2]
-    return trajectories.contribution_permutation_test(t, *two, permutations=200)[1]
+    return trajectories.contribution_permutation_tests(T.trajectories(spark, d), permutations=200)[1]
 
 
 # --- studies --------------------------------------------------------------------------------

@@ -31,10 +31,15 @@ def replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sample, factor, t, value) from ``events``: 20 groups of users, event type, hour of the day, mean value."""
-    t = read(spark, sf_dir, "events")
-    keys = [(F.col("user_id") % 20).alias("sample"), F.col("event_type").alias("factor"), F.hour("ts").alias("t")]
-    return t.groupBy(*keys).agg(F.avg("value").alias("value"))
+    """(sample, factor, t, value) from ``events``: user, event type, day from the first event's on, mean value (no event: 0)."""
+    t = read(spark, sf_dir, "events").where("user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL")
+    t = t.select(F.col("user_id").alias("sample"), F.col("event_type").alias("factor"), F.to_date("ts").alias("day"), "value")
+    span = F.broadcast(t.agg(F.min("day").alias("first"), F.max("day").alias("last")))
+    grid = t.select("sample").distinct().crossJoin(F.broadcast(t.select("factor").distinct())).crossJoin(span)
+    grid = grid.select("sample", "factor", F.explode(F.sequence("first", "last")).alias("day"), "first")
+    means = t.groupBy("sample", "factor", "day").agg(F.avg("value").alias("value"))
+    filled = grid.join(means, ["sample", "factor", "day"], "left")
+    return filled.select("sample", "factor", F.date_diff("day", "first").alias("t"), F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +70,11 @@ SQL = {
     "cen": "cen AS (SELECT family_id, pos, avg(value) AS value FROM comp GROUP BY family_id, pos)",
     "cenv": "cenv AS (SELECT family_id, list(value ORDER BY pos) AS c FROM cen GROUP BY family_id)",
     "rep": "rep AS (SELECT l_partkey AS gene_id, l_returnflag AS axis, l_orderkey * 10 + l_linenumber AS replicate, l_extendedprice AS value FROM lineitem)",
-    "traj": "traj AS (SELECT user_id % 20 AS sample, event_type AS factor, CAST(hour(ts) AS INTEGER) AS t, avg(value) AS value FROM events GROUP BY ALL)",
+    "traj": """ev AS (SELECT user_id AS sample, event_type AS factor, CAST(ts AS DATE) AS day, value FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL),
+span AS (SELECT min(day) AS first_, CAST(max(day) - min(day) AS INTEGER) AS n FROM ev),
+grid AS (SELECT sample, factor, CAST(t AS INTEGER) AS t FROM (SELECT DISTINCT sample FROM ev), (SELECT DISTINCT factor FROM ev), (SELECT unnest(range(n + 1)) AS t FROM span)),
+dm AS (SELECT sample, factor, CAST(day - first_ AS INTEGER) AS t, avg(value) AS value FROM ev, span GROUP BY ALL),
+traj AS (SELECT sample, factor, t, coalesce(value, 0) AS value FROM grid LEFT JOIN dm USING (sample, factor, t))""",
     "stu": "stu AS (SELECT l_linestatus AS study, l_partkey AS gene_id, l_partkey % 7 AS family_id, l_orderkey * 10 + l_linenumber AS row_, l_quantity AS value FROM lineitem)",
     "res": "res AS (SELECT study, gene_id % 10 AS point, family_id, value - avg(value) OVER (PARTITION BY study, gene_id) AS resid FROM stu)",
     "dist": "dist AS (SELECT o_orderkey AS gene_id, o_custkey AS family_id, abs(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey)) AS distance FROM orders)",
