@@ -91,6 +91,22 @@ def test_kernel_smooth(spark):
     assert got[1] == 3 and got[2] == pytest.approx(2) and got[3] == 3 and got[4] == 7
 
 
+def test_kernel_smooth_query_smooths_every_order(spark, tmp_path):
+    rng = random.Random(4)
+    orders = [(k, rng.uniform(85_000, 105_000)) for k in range(1, 41)] + [(41, 91_000.0)]
+    parts = [(900.0 + 2 * k, rng.randint(1, 50)) for k in range(50)]
+    spark.createDataFrame(orders, "o_orderkey long, o_totalprice double").write.parquet(f"file://{tmp_path}/orders.parquet")
+    spark.createDataFrame(parts, "p_retailprice double, p_size int").write.parquet(f"file://{tmp_path}/part.parquet")
+    got = {r["query_id"]: r["y"] for r in registry.queries()["kernel_smooth"](spark, f"file://{tmp_path}").collect()}
+    want = {}
+    for key, x in orders:
+        near = [(abs(x - p * 100), p * 100, s) for p, s in parts]
+        weights = [(math.exp(-((a / 500) ** 2)), s) for a, _, s in near if a <= 1500]
+        exact = [s for a, _, s in near if a == 0]
+        want[key] = min(exact) if exact else sum(w * s for w, s in weights) / sum(w for w, _ in weights) if weights else min(near)[2]
+    assert got == {k: pytest.approx(y, abs=1e-5) for k, y in want.items()}
+
+
 def test_outliers_find_planted_rows(spark):
     rng = np.random.default_rng(42)
     rows = [(f * 100 + k, f, float(abs(rng.normal(0, 1 + f / 10)) + f / 5)) for f in range(30) for k in range(100)]

@@ -363,14 +363,14 @@ def normalize_pipeline(spark, d):
     return normalize.normalize_pipeline(T.replicates(spark, d))
 
 
-@query("""WITH q AS (SELECT o_orderkey AS query_id, o_totalprice AS x FROM orders WHERE o_orderkey % 10 = 0), r AS (SELECT p_retailprice * 100 AS rx, CAST(p_size AS DOUBLE) AS ry FROM part),
+@query("""WITH q AS (SELECT o_orderkey AS query_id, o_totalprice AS x FROM orders), r AS (SELECT p_retailprice * 100 AS rx, CAST(p_size AS DOUBLE) AS ry FROM part),
 w AS (SELECT query_id, x, rx, ry, exp(-1 * power((x - rx) / 500.0, 2)) AS w FROM q JOIN r ON abs(x - rx) <= 1500.0),
 s AS (SELECT query_id, sum(w * ry) / sum(w) AS sy, min(ry) FILTER (x = rx) AS ey FROM w GROUP BY query_id),
 n AS (SELECT query_id, x, min(struct_pack(d := abs(x - rx), rx := rx, ry := ry)) AS b FROM q, r GROUP BY ALL)
 SELECT query_id, x, round(coalesce(ey, sy, b.ry), 6) AS y FROM n LEFT JOIN s USING (query_id)""")
 def kernel_smooth(spark, d):
     refs = T.read(spark, d, "part").select((F.col("p_retailprice") * 100).alias("x"), F.col("p_size").cast("double").alias("y"))
-    asked = T.read(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("query_id"), F.col("o_totalprice").alias("x"))
+    asked = T.read(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_totalprice").alias("x"))
     return loess.kernel_smooth(refs, asked, 500.0).select("query_id", "x", r6("y"))
 
 
