@@ -274,3 +274,10 @@ def test_quality(spark):
     assert {x["check"] for x in quality.validate_all(vec, fam, fam, 2).collect()} == {"structure", "mapping", "values"}
     m = spark.createDataFrame([(1, 1, 0.0), (1, 2, 3.0), (2, 1, 4.0), (2, 2, 1.0), (1, 3, -1.0)], "i int, j int, d double")
     assert {(x["key"], x["detail"]) for x in quality.check_distance_matrix(m).collect()} == {("1,2", "symmetry"), ("2,2", "diagonal"), ("1,3", "value")}
+
+
+def test_distance_check_reads_every_order(spark, tmp_path):
+    rows = [(2, 3, 9000.0), (3, 2, 8000.0), (4, 4, 6000.0), (5, 9, 100.0), (6, 8, 7000.0), (8, 6, 7000.0)]
+    spark.createDataFrame(rows, "o_custkey long, o_orderkey long, o_totalprice double").write.parquet(f"file://{tmp_path}/orders.parquet")
+    found = registry.queries()["check_distance_matrix"](spark, f"file://{tmp_path}").collect()
+    assert {(r["key"], r["detail"]) for r in found} == {("2,3", "symmetry"), ("4,4", "diagonal"), ("5,9", "value")}

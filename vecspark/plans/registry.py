@@ -441,9 +441,11 @@ def validate_all(spark, d):
     return quality.validate_all(vec, known, centroids, 64, families.shift_field(vec, centroids))
 
 
-@query('WITH e AS (SELECT o_custkey AS i, o_orderkey AS j, o_totalprice AS d FROM orders WHERE o_orderkey % 7 = 0) SELECT \'distances\' AS "check", i || \',\' || j AS key, CASE WHEN d < 0 THEN \'value\' WHEN i = j THEN \'diagonal\' END AS detail FROM (SELECT i, j, d - 5000 AS d FROM e) WHERE d < 0 OR (i = j AND d <> 0)')
+@query("""WITH e AS (SELECT o_custkey AS i, o_orderkey AS j, o_totalprice - 5000 AS d FROM orders)
+SELECT 'distances' AS "check", i || ',' || j AS key, CASE WHEN d < 0 THEN 'value' WHEN i = j THEN 'diagonal' END AS detail FROM e WHERE d < 0 OR (i = j AND d <> 0)
+UNION ALL SELECT 'distances', a.i || ',' || a.j, 'symmetry' FROM e a JOIN e b ON a.i = b.j AND a.j = b.i WHERE a.i < a.j AND abs(a.d - b.d) > 1e-12""")
 def check_distance_matrix(spark, d):
-    t = T.read(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("i"), F.col("o_orderkey").alias("j"), (F.col("o_totalprice") - 5000).alias("d"))
+    t = T.read(spark, d, "orders").select(F.col("o_custkey").alias("i"), F.col("o_orderkey").alias("j"), (F.col("o_totalprice") - 5000).alias("d"))
     return quality.check_distance_matrix(t)
 
 
