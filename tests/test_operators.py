@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vecspark.operators import clustering, families, integration, loess, neighbors, normalize, outliers, paralogs, quality, reshape, trajectories
@@ -281,3 +282,32 @@ def test_distance_check_reads_every_order(spark, tmp_path):
     spark.createDataFrame(rows, "o_custkey long, o_orderkey long, o_totalprice double").write.parquet(f"file://{tmp_path}/orders.parquet")
     found = registry.queries()["check_distance_matrix"](spark, f"file://{tmp_path}").collect()
     assert {(r["key"], r["detail"]) for r in found} == {("2,3", "symmetry"), ("4,4", "diagonal"), ("5,9", "value")}
+
+
+def test_jct_permutations_equal_a_sort_of_whole_points(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("FO"), k % 3, k, rng.gauss(0, 1)) for k in range(900)] + [("O", 7, 900 + k, rng.gauss(0, 1)) for k in range(20)] + [("F", 8, 950 + k, rng.gauss(0, 1)) for k in range(20)]
+    resid = spark.createDataFrame(rows, "study string, point int, row int, resid double")
+    got = {r["perm"]: r["jsd"] for r in integration.jct_permutation_test(resid, ("F", "O"), 3.0, 8, 12)[1].collect()}
+    sizes = resid.groupBy("point").agg(F.count_if(F.col("study") == "F").alias("n"))
+    dealt = resid.drop("study").join(sizes, "point").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    order = Window.partitionBy("perm", "point").orderBy(F.xxhash64(F.lit(0), "perm", "point", "row"), "row")
+    dealt = dealt.withColumn("study", F.when(F.row_number().over(order) <= F.col("n"), "F").otherwise("O"))
+    want = {r["perm"]: r["jsd"] for r in integration.jct(dealt, ("F", "O"), 3.0, 8, ["perm"]).collect()}
+    assert len(want) == 12 and got == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_queries_use_the_operators_defaults(spark, monkeypatch):
+    seen = {}
+
+    def spy(module, name):
+        def caught(*args, **given):
+            seen[name] = given
+            return spark.range(1).select(F.lit(1).alias("label"), F.lit(1).alias("n")), spark.range(1).select(F.lit(1).alias("label"), F.lit(1).alias("n"))
+
+        monkeypatch.setattr(module, name, caught)
+
+    spy(integration, "jct_permutation_test"), spy(trajectories, "contribution_permutation_tests"), spy(clustering, "kmeans")
+    for name in ("jct_permutation_test", "contribution_permutation_test", "kmeans"):
+        registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert seen == {"jct_permutation_test": {}, "contribution_permutation_tests": {}, "kmeans": {}}

@@ -101,6 +101,10 @@ def jct(resid: DataFrame, studies: tuple, reach: float, bins: int, extra: list[s
     return global_js_divergence(js_divergence(pmf, [*extra, "point"], studies, study), extra)
 
 
+#: A point's hashes fall into 2**BUCKET_BITS buckets in a permutation.
+BUCKET_BITS = 6
+
+
 def jct_permutation_test(resid: DataFrame, studies: tuple, reach: float, bins: int, permutations: int = 1000, seed: int = 0, study: str = "study", row_id: str = "row") -> tuple[DataFrame, DataFrame]:
     """((observed, p_value), (perm, jsd)): residuals are dealt anew to the studies within each point.
 
@@ -112,8 +116,17 @@ def jct_permutation_test(resid: DataFrame, studies: tuple, reach: float, bins: i
     observed = jct(resid, studies, reach, bins, study=study).select(F.col("jsd").alias("observed"))
     sizes = resid.groupBy("point").agg(F.count_if(F.col(study) == F.lit(studies[0])).alias("__first"))
     dealt = resid.select("point", row_id, "resid").join(sizes, "point").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    order = Window.partitionBy("perm", "point").orderBy(F.xxhash64(F.lit(seed), "perm", "point", row_id), row_id)
-    dealt = dealt.withColumn(study, F.when(F.row_number().over(order) <= F.col("__first"), F.lit(studies[0])).otherwise(F.lit(studies[1])))
+    dealt = dealt.withColumn("__hash", F.xxhash64(F.lit(seed), "perm", "point", row_id)).withColumn("__bucket", F.shiftright("__hash", 64 - BUCKET_BITS))
+    # The bucket of hashes in which a point's first study ends: only its rows are sorted.
+    counts = dealt.groupBy("perm", "point", "__bucket").agg(F.count("*").alias("__size"), F.first("__first").alias("__first"))
+    before = F.sum("__size").over(Window.partitionBy("perm", "point").orderBy("__bucket")) - F.col("__size")
+    edges = counts.withColumn("__before", before).where((F.col("__before") < F.col("__first")) & (F.col("__first") <= F.col("__before") + F.col("__size")))
+    edges = edges.select("perm", "point", F.col("__bucket").alias("__edge"), "__before")
+    placed = dealt.join(edges, ["perm", "point"], "left")  # no edge: the first study has no row
+    order = Window.partitionBy("perm", "point").orderBy("__hash", row_id)
+    inside = placed.where("__bucket = __edge").withColumn("__in", F.row_number().over(order) + F.col("__before") <= F.col("__first"))
+    outside = placed.where("__edge IS NULL OR __bucket <> __edge").withColumn("__in", F.coalesce(F.col("__bucket") < F.col("__edge"), F.lit(False)))
+    dealt = inside.unionByName(outside).withColumn(study, F.when(F.col("__in"), F.lit(studies[0])).otherwise(F.lit(studies[1])))
     null = jct(dealt, studies, reach, bins, ["perm"], study).select("perm", "jsd")
     reached = F.count_if((F.col("jsd") >= F.col("observed")) & ~F.isnan("jsd"))
     test = null.crossJoin(F.broadcast(observed)).agg(F.first("observed").alias("observed"), ((1 + reached) / (permutations + 1)).alias("p_value"))

@@ -500,7 +500,7 @@ def velocity_acceleration_contributions(spark, d):
 
 @query()
 def contribution_permutation_test(spark, d):
-    return trajectories.contribution_permutation_tests(T.trajectories(spark, d), permutations=200)[1]
+    return trajectories.contribution_permutation_tests(T.trajectories(spark, d))[1]
 
 
 # --- studies --------------------------------------------------------------------------------
@@ -583,7 +583,7 @@ def global_js_divergence(spark, d):
 
 @query()
 def jct_permutation_test(spark, d):
-    return integration.jct_permutation_test(_rounded_residuals(spark, d), ("F", "O"), _REACH, _BINS, permutations=20)[0]
+    return integration.jct_permutation_test(_rounded_residuals(spark, d), ("F", "O"), _REACH, _BINS)[0]
 
 
 _FAM = f"{W('stu', 'res')}, {_HIST.format('family_id, ')}, {_JSD.format('family_id, ')}, f AS (SELECT family_id, sum(jsd * support) / sum(support) AS jsd, CAST(sum(support) AS BIGINT) AS support FROM j GROUP BY 1)"
@@ -701,7 +701,7 @@ def kmeans_two_rounds(spark, d):
 
 @query()
 def kmeans(spark, d):
-    return clustering.kmeans(T.vectors(spark, d), _first_centers(spark, d, 5), max_iterations=20)[1].select("label", "n")
+    return clustering.kmeans(T.vectors(spark, d), _first_centers(spark, d, 5))[1].select("label", "n")
 
 
 @query()
