@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -51,11 +52,13 @@ def shown(kept: list[str]) -> list[Column]:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder in the storage that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset,
-    as in local tests, a temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset and
+    the master is local, as in tests, a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/vecspark-{uuid.uuid4().hex}"
@@ -78,7 +81,7 @@ def dropped(spark: SparkSession, path: str) -> None:
 # --- bytes of texts, inside tasks ---------------------------------------------------
 
 #: Bytes of text that a task works on at once; a longer text is one piece by itself.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def text_slices(column):
@@ -116,22 +119,6 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_FACTOR = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the rolling factor and of its inverse, modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, x in enumerate((_FACTOR, _INVERSE)):
-            steps = np.full(size, x, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """Well spread 64-bit hashes of 64-bit values."""
     h = h + np.uint64(salt)
@@ -140,20 +127,63 @@ def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """64-bit hashes of ``values[start:end]`` (values: spread uint64), by rolling sums: equal content, equal hash."""
-    power, inverse = _powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * power[:-1], dtype=np.uint64, out=total[1:])
-    return mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64), salt)
+def joined(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of ordered pairs of 64-bit hashes."""
+    return mixed(mixed(a, salt) * np.uint64(5) + b)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two independent 64-bit hashes (rows) of each word; ``starts`` and ``ends`` as of ``word_spans``.
+
+    Words are told apart by their bytes first, so that each distinct one is hashed once.
+    """
+    import pyarrow as pa
+    import xxhash
+
+    if not len(starts):
+        return np.zeros((2, 0), np.uint64)
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    letters = data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+    coded = words.dictionary_encode()
+    digest = xxhash.xxh3_128_digest
+    table = np.frombuffer(b"".join(map(digest, coded.dictionary.to_pylist())), np.uint64).reshape(-1, 2)
+    return np.ascontiguousarray(table[coded.indices.to_numpy()].T)
+
+
+def run_hashes(hashes: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of all runs of ``length`` values, one for each start.
+
+    Runs of 1, 2, 4 and more values are hashed from two halves; the last step lets two runs overlap.
+    """
+    size = 1
+    while 2 * size <= length:
+        hashes = joined(hashes[: max(0, len(hashes) - size)], hashes[size:], salt + size)
+        size *= 2
+    rest = length - size
+    if rest:
+        hashes = joined(hashes[: max(0, len(hashes) - rest)], hashes[rest:], salt + length)
+    return hashes
 
 
-_BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+def freed(run):
+    """``run`` (batches to batches) that gives memory back to the system at a task's end, as Python workers go on to other tasks."""
 
+    def whole(batches):
+        import ctypes
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words."""
-    return span_hashes(_BYTE_VALUES[data], starts, ends)
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+    return whole
 
 
 def text_list(column, first: int, n: int) -> list[str]:

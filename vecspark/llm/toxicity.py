@@ -3,9 +3,10 @@
 Presence of hashed character n-grams is multiplied by the log ratio of the n-gram's
 smoothed document frequencies under the two labels; a logistic regression is fitted
 on the scaled features.  The fit uses at most ``per_class`` labelled documents of
-either label (those with the smallest id hashes), moves the intercept to the share of
-toxic documents among all labels, and then to where a held-out fifth of the sample is
-parted best.  Scoring reads every whole text.
+either label (those with the smallest id hashes, in that order, however the tables are
+partitioned).  Its intercept moves to the share of toxic documents among all labels,
+and then to where scores of documents that neither the choice of n-grams nor the fit
+has seen part the labels best.  Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chargrams import characters, hashed_grams
-from .common import dropped, stored, text_slices
+from .common import dropped, freed, stored, text_slices
 
 BITS = 20
-SIZES = (3, 4, 5)
+SIZES = (4, 6, 8)
+#: Parts of the sample that are left out in turn to place the threshold.
+FOLDS = 3
 
 
 @dataclass(frozen=True)
@@ -38,7 +41,7 @@ def learnable(id_col: str, folds: int = 5) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> tuple[DataFrame, float | None]:
-    """(text, label) of at most ``per_class`` learnable documents of either label, and the share of label 1.
+    """(hash, id, label, text) of at most ``per_class`` learnable documents of either label, and the share of label 1.
 
     Conflicting labels of one document count as 1; of repeated ids the smallest text counts.
     """
@@ -53,7 +56,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         picked.append(known.where((F.col("label") == label) & (F.col("hash") <= reach)).orderBy("hash", "id").limit(per_class).drop("hash"))
     picked = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * per_class rows at most
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(picked, "id").groupBy("id", "label").agg(F.min("text").alias("text")).drop("id"), ones / n if n else None
+    return texts.join(picked, "id").groupBy("id", "label").agg(F.min("text").alias("text")).select(F.xxhash64("id").alias("hash"), F.col("id").cast("string").alias("id"), "label", "text"), ones / n if n else None
 
 
 def _presence(batch_column):
@@ -65,17 +68,32 @@ def _presence(batch_column):
         yield at, n, keys >> BITS, keys & ((1 << BITS) - 1)
 
 
+_COUNTS = [f"n{label}_{fold}" for fold in range(FOLDS) for label in (0, 1)]
+
+
 def _label_counts(batches):
+    """Of each bucket, how many documents of either label and each fold have it."""
     import pyarrow as pa
 
-    counts = np.zeros((2, 1 << BITS), np.int64)
+    counts = np.zeros(2 * FOLDS << BITS, np.int32)
     for batch in batches:
-        label = batch.column(0).to_numpy()
+        kind = batch.column(0).to_numpy().astype(np.int64) + 2 * batch.column(2).to_numpy()
         for at, n, doc, bucket in _presence(batch.column(1)):
-            for k in (0, 1):
-                counts[k] += np.bincount(bucket[label[at : at + n][doc] == k], minlength=1 << BITS)
+            np.add.at(counts, kind[at : at + n][doc] << BITS | bucket, 1)
+    counts = counts.reshape(2 * FOLDS, 1 << BITS)
     used = np.flatnonzero(counts.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (used, counts[0][used], counts[1][used])], names=["bucket", "n0", "n1"])
+    yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(c[used].astype(np.int64)) for c in counts)], names=["bucket", *_COUNTS])
+
+
+def _chosen(counts: DataFrame, sizes: dict, folds: list[int], features: int, smoothing: float, least: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets whose shares under the two labels differ most in some folds, and the logs of their ratios."""
+    n0, n1 = (sum(sizes.get((label, k), 0) for k in folds) for label in (0, 1))
+    c0, c1 = (sum((F.col(f"n{label}_{k}") for k in folds), F.lit(0)) for label in (0, 1))
+    both = (c0 + c1) / (n0 + n1)
+    gap = F.abs(c1 / max(n1, 1) - c0 / max(n0, 1)) / F.sqrt(both * (1 - both) + 1e-9)
+    ratio = F.log((c1 + smoothing) / (n1 + 2 * smoothing)) - F.log((c0 + smoothing) / (n0 + 2 * smoothing))
+    best = counts.where(c0 + c1 >= least).orderBy(gap.desc(), "bucket").limit(features).select("bucket", ratio.alias("ratio")).toArrow()
+    return best.column("bucket").to_numpy().astype(np.int64), best.column("ratio").to_numpy()
 
 
 def _kept_features(buckets: np.ndarray):
@@ -90,9 +108,9 @@ def _kept_features(buckets: np.ndarray):
                 kept = place[bucket] >= 0
                 ends = np.searchsorted(doc[kept], np.arange(n + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(place[bucket][kept]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), lists], names=["label", "features"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, n) for k in (0, 2, 3)), lists], names=["label", "hash", "id", "features"])
 
-    return run
+    return freed(run)
 
 
 def fit(
@@ -102,57 +120,74 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     per_class: int = 4000,
-    features: int = 8192,
-    smoothing: float = 0.5,
-    penalty: float = 1e-3,
+    features: int = 4096,
+    smoothing: float = 1.0,
+    penalty: float = 3e-3,
     rounds: int = 200,
+    beta: float = 1.0,
 ) -> Model:
     """The classifier, from the learnable labels (see ``learnable``).
 
+    ``features`` n-grams count.  ``beta`` tells how much more a found toxic document counts
+    than a wrongly rejected clean one where the threshold is placed (F measure).
+
     Where either label has no document, the model is the share of label 1 (0 without labels).
     """
     spark = docs.sparkSession
     sample, share = labelled_sample(docs, labels, id_col, text_col, label_col, per_class)
-    sample, path = stored(sample.select("label", "text"))
+    sample, path = stored(sample.select("label", "text", "hash", "id"))
     try:
-        totals = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-        n0, n1 = totals.get(0, 0), totals.get(1, 0)
+        fold = F.pmod("hash", F.lit(FOLDS)).cast("int")
+        sizes = {(r["label"], r["fold"]): r["count"] for r in sample.groupBy("label", fold.alias("fold")).count().collect()}
+        n0, n1 = (sum(n for (own, _), n in sizes.items() if own == label) for label in (0, 1))
         if not n0 or not n1:
             low = 1e-9
             p = min(max(share or 0.0, low), 1 - low)
             return Model(np.zeros(0, np.int32), np.zeros(0), float(np.log(p / (1 - p))))
-        counts = sample.mapInArrow(_label_counts, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        both = (F.col("n0") + F.col("n1")) / (n0 + n1)
-        gap = F.abs(F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(both * (1 - both) + 1e-9)
-        ratio = F.log((F.col("n1") + smoothing) / (n1 + 2 * smoothing)) - F.log((F.col("n0") + smoothing) / (n0 + 2 * smoothing))
-        best = counts.where("n0 + n1 >= 3").orderBy(gap.desc(), "bucket").limit(features).select("bucket", ratio.alias("ratio")).toPandas()
-        buckets, ratios = best["bucket"].to_numpy(np.int32), best["ratio"].to_numpy(float)
-        rows = sample.mapInArrow(_kept_features(buckets), "label int, features array<int>").toArrow()
+        each = sample.select("label", "text", fold.alias("fold")).mapInArrow(freed(_label_counts), "bucket long, " + ", ".join(f"{c} long" for c in _COUNTS))
+        counts, counts_path = stored(each.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in _COUNTS)))
+        every = list(range(FOLDS))
+        # With few documents of a label the threshold stays where the shares of the labels put it.
+        left_out = every if min(n0, n1) >= 50 else []
+        chosen = [_chosen(counts, sizes, [k for k in every if k != out], features, smoothing) for out in [None, *left_out]]
+        dropped(spark, counts_path)
+        union = np.unique(np.concatenate([b for b, _ in chosen]))
+        rows = sample.mapInArrow(_kept_features(union), "label int, hash long, id string, features array<int>").toArrow()
     finally:
         dropped(spark, path)
+    rows = rows.sort_by([("hash", "ascending"), ("id", "ascending")])
     column = rows.column("features").combine_chunks()
-    index = column.flatten().to_numpy()
-    doc = np.repeat(np.arange(len(column)), np.diff(np.asarray(column.offsets)))
+    docs_of = np.repeat(np.arange(len(column)), np.diff(np.asarray(column.offsets)))
+    bucket = union[column.flatten().to_numpy()]
+    order = np.lexsort((bucket, docs_of))
+    docs_of, bucket = docs_of[order], bucket[order]
     label = rows.column("label").to_numpy().astype(float)
+    fold = rows.column("hash").to_numpy() % FOLDS
+    z = np.zeros(len(label))
+    for out, (buckets, ratios) in zip([None, *left_out], chosen):
+        place = np.full(1 << BITS, -1, np.int64)
+        place[buckets] = np.arange(len(buckets))
+        kept = place[bucket] >= 0
+        doc, index = docs_of[kept], place[bucket[kept]]
+        seen = np.ones(len(label)) if out is None else (fold != out).astype(float)
+        w, b = _logistic(doc, index, ratios, label, seen, penalty, rounds)
+        if out is None:
+            weights, intercept = w * ratios, b
+        else:
+            z = np.where(fold == out, np.bincount(doc, w[index] * ratios[index], minlength=len(label)) + b, z)
     correction = float(np.log(share / (1 - share)) - np.log(n1 / n0))
-    coefficients, intercept = _logistic(doc, index, ratios, label, np.ones(len(label)), penalty, rounds)
-    shift = 0.0
-    if min(n0, n1) >= 50:  # a fifth of the sample, unseen by a second fit, tells where the labels part best
-        held = np.arange(len(label)) % 5 == 0
-        w, b = _logistic(doc, index, ratios, label, (~held).astype(float), penalty, rounds)
-        z = np.bincount(doc, w[index] * ratios[index], minlength=len(label)) + b + correction
-        shift = best_cut(z[held], label[held], float(np.exp(-correction)))
-    return Model(buckets, coefficients * ratios, intercept + correction - shift)
-
-
-def best_cut(z: np.ndarray, label: np.ndarray, zeros_count: float = 1.0, most: float = 3.0) -> float:
-    """Where to part scores so that the F1 measure is best, in the middle of the gap there; rows of label 0
-    count ``zeros_count`` times.  At most ``most`` away from 0."""
+    shift = best_cut(z + correction, label, float(np.exp(-correction)), beta) if left_out else 0.0
+    return Model(chosen[0][0].astype(np.int32), weights, intercept + correction - shift)
+
+
+def best_cut(z: np.ndarray, label: np.ndarray, zeros_count: float = 1.0, beta: float = 1.0, most: float = 3.0) -> float:
+    """Where to part scores so that the F measure with ``beta`` is best, in the middle of the gap there; rows of
+    label 0 count ``zeros_count`` times.  At most ``most`` away from 0."""
     order = np.argsort(-z, kind="stable")
     z, label = z[order], label[order]
     hits, misses = np.cumsum(label), np.cumsum((1 - label) * zeros_count)
-    f1 = 2 * hits / (label.sum() + hits + misses)
-    k = int(np.argmax(np.append(np.where(np.diff(z) < 0, f1[:-1], -1.0), -1.0)))
+    f = hits / (beta * beta * label.sum() + hits + misses)
+    k = int(np.argmax(np.append(np.where(np.diff(z) < 0, f[:-1], -1.0), -1.0)))
     return float(np.clip((z[k] + z[min(k + 1, len(z) - 1)]) / 2, -most, most))
 
 
@@ -211,7 +246,10 @@ def scorer(spark, model: Model):
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` with ``score``, the probability of label 1 (a null text scores like an empty one).
+    """``docs`` with ``score``: 0 to 1, higher where label 1 is likelier, parted at 0.5.
+
+    As the threshold is moved to 0.5, the score is no calibrated probability.  A null text
+    scores like an empty one; repeated rows score alike; an empty table gives an empty one.
 
     The text column itself only stays with ``keep_text``.
     """
