@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, fresh, stored
+from .common import dropped, freed, fresh, stored
 
 BITS = 64
 
@@ -64,7 +64,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", size: int = 3, out
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(values.view(np.int64))], names=[*rest, out_col])
 
     schema = docs.select(*rest).withColumn(out_col, F.lit(0).cast("long")).schema
-    return docs.select(text_col, *rest).mapInArrow(prints, schema)
+    return docs.select(text_col, *rest).mapInArrow(freed(prints), schema)
 
 
 def _segments(distance: int) -> list[tuple[int, int]]:
@@ -96,25 +96,26 @@ def _pieces(fp: Column, segment: tuple[int, int], distance: int) -> Column:
     return F.array(*(F.xxhash64(F.lit(k), _masked(fp, spare[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))))
 
 
-def links(prints: DataFrame, distance: int = 2, fp_col: str = "fp", hot: int = 64) -> DataFrame:
-    """All pairs (a < b) of distinct fingerprints that differ in at most ``distance`` bits.
+def links(prints: DataFrame, distance: int = 2, fp_col: str = "fp", hot: int = 64) -> tuple[DataFrame, str]:
+    """All pairs (a < b) of distinct fingerprints that differ in at most ``distance`` bits, and the folder they are made from.
 
     ``prints`` holds distinct non-null fingerprints (long) in ``fp_col``.  Index
     entries of more than ``hot`` fingerprints are divided further, exactly.  Keys
     are hashes; equal keys only make candidates, which the bit count verifies.
     """
-    # Few small rows become many: they are spread before, or a task or two would make them all.
+    # Few small rows become many: they are spread before, or a task or two would make them all.  (Rows
+    # that are grouped by the column itself would not be spread again, so they go by a hash of it.)
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    prints = prints.select(fp_col).repartition(parts, fp_col)
+    prints = prints.select(fp_col).repartition(parts, F.xxhash64(fp_col))
     entries = prints.select(F.col(fp_col).alias("fp"), F.explode(_variants(F.col(fp_col), distance)).alias("v")).select("fp", "v.segment", "v.key")
     sizes = entries.groupBy("key").count().where("count > 1")
     shared = entries.join(sizes, "key")
     pieces = F.coalesce(*(F.when(F.col("segment") == k, _pieces(F.col("fp"), s, distance)) for k, s in enumerate(_segments(distance))))
     pieces = F.when(F.col("count") > hot, pieces).otherwise(F.array(F.lit(0).cast("long")))
-    keyed, _ = stored(shared.select("key", F.explode(pieces).alias("piece"), "fp"))
+    keyed, path = stored(shared.select("key", F.explode(pieces).alias("piece"), "fp"))
     left, right = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    return left.join(right, ["key", "piece"]).where((F.col("a") < F.col("b")) & differ).select("a", "b").distinct()
+    return left.join(right, ["key", "piece"]).where((F.col("a") < F.col("b")) & differ).select("a", "b").distinct(), path
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -152,25 +153,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the smallest ``id_col`` reachable over links, the row's own
     included.  Null and empty texts have fingerprint 0 and link like any other;
     repeated rows all stay; a null id gets a component like any row (null only if
-    no id of its component is known).  An empty table gives an empty result.
+    no id of its component is known).  An empty table gives an empty result.  The
+    fingerprints of all rows and the components lie in the shared storage, from where
+    the result is read.
     """
     rest = [c for c in docs.columns if c not in (text_col, "fingerprint", "component_id")]
     marked, _ = stored(with_fingerprint(docs.select(text_col, *rest), text_col, size))
     prints = marked.groupBy("fingerprint").agg(F.min(id_col).alias("low_id")).withColumnRenamed("fingerprint", "node")
-    groups, _ = stored(components(links(prints, distance, "node")))
+    found, path = links(prints, distance, "node")
+    groups, groups_path = stored(components(found))
+    dropped(docs.sparkSession, path)
     rooted = prints.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    labels = rooted.join(named, "root").select(F.col("node").alias("fingerprint"), "component_id")
+    labels, _ = stored(rooted.join(named, "root").select(F.col("node").alias("fingerprint"), "component_id"))
+    dropped(docs.sparkSession, groups_path)
     return marked.join(labels, "fingerprint").select(*rest, "fingerprint", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distance: int = 2) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distance: int = 2, repeatable: bool = False) -> DataFrame:
     """The documents of which no near duplicate with a smaller id exists: one of each group stays.
 
     Of rows with the same smallest id (repeated rows) the first stays; a row without
-    an id only stays if its group has no id.  ``docs`` is read twice and must give
-    its rows in the same order (any stored table does).
+    an id only stays if its group has no id.  ``docs`` is read twice: it is written to the
+    shared storage first unless it is ``repeatable``, which means that every reading gives
+    its rows in the same order (as plain reads of a stored table do).
     """
+    if not repeatable:
+        docs, _ = stored(docs)
     row = fresh(docs, "row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     found = near_duplicates(numbered.select(row, id_col, text_col), id_col, text_col, size, distance)
