@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chargrams import characters, hashed_grams
-from .common import dropped, stored, text_slices
+from .common import dropped, freed, stored, text_slices
 
 BITS = 13
 SIZES = (1, 2, 3)
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sample = known.join(F.broadcast(picked), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))
     sample, path = stored(sample.select("lang", "text"))
     try:
-        rows = sample.mapInArrow(_vectors, "lang string, vector binary").toArrow()
+        rows = sample.mapInArrow(freed(_vectors), "lang string, vector binary").toArrow()
     finally:
         dropped(docs.sparkSession, path)
     matrix = np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float32).reshape(-1, 1 << BITS)
@@ -173,7 +173,7 @@ def _predictions(model, rest: list[str], least_lead: float):
             unsure = ~lettered | (lead < least_lead)
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(names, pa.string()), pa.array(score), pa.array(unsure)], names=[*rest, "lang_pred", "score", "ambiguous"])
 
-    return run
+    return freed(run)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", least_lead: float = 0.2) -> DataFrame:

@@ -18,10 +18,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freed
+
 #: Documents of a random group, and how many groups' documents are drawn from at once.
 GROUP, DRAWN = 2048, 4
 #: Tokens after which a draw is closed early, and words that a task remembers.
-DRAW_TOKENS, KNOWN_WORDS = 8_000_000, 400_000
+DRAW_TOKENS, KNOWN_WORDS = 8_000_000, 250_000
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
@@ -255,7 +257,7 @@ def _packed(vocabulary, capacity: int, end_id: int, rest: list[str], out_names:
         if ids:
             yield from close(held, ids)
 
-    return run
+    return freed(run)
 
 
 def pack_documents(

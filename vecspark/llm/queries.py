@@ -33,7 +33,7 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35, joiner=" ")
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35, joiner=" ", repeatable=True)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -1,4 +1,4 @@
-"""Removal of word passages that repeat anywhere in the corpus, by prefix-partitioned suffixes.
+"""Removal of word passages that repeat anywhere in the corpus, by suffixes grouped by a prefix of words.
 
 All suffixes (word positions) of all texts form a suffix tree whose nodes deeper
 than ``window`` words are the repeats.  Its upper part is split by prefixes:
@@ -6,16 +6,18 @@ than ``window`` words are the repeats.  Its upper part is split by prefixes:
 1. Every window of ``window`` words owns the smallest-hash ``prefix``-gram inside of
    it.  Equal windows own equal prefixes at equal places, so suffixes fall into
    groups by that prefix, and runs of neighbouring windows share one entry, which
-   also knows the hash of all words that the run covers.  A prefix with one entry is
+   also knows the hashes of all words that the run covers.  A prefix with one entry is
    a leaf, which is dropped here; one whose entries all cover the same words is a
    single path without a branch, all of whose windows repeat.
 2. Only suffixes below branching prefixes are extended to full depth; the internal
    nodes at that depth (two suffixes or more) are the repeats.  Repeated windows that
    overlap or adjoin make the maximal repeats.
 
-A node is known by 96 bits of hash of its word path, so a suffix costs a few
-bytes however deep it is, and a group of any size is counted by partial sums; no
-group is ever gathered in one task.
+The prefix has a fixed number of words, and a group may have any size: it is never
+gathered, but counted by partial sums.  A node is known by two independent 64-bit
+hashes of its word path, of words that were told apart by their bytes and hashed by
+XXH3 with 128 bits.  Words of equal nodes are not compared again: among 10**14 suffixes
+all chance collisions together have a probability of about 1e-11.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hidden, shown, span_hashes, text_slices, word_hashes, word_spans
+from .common import freed, hidden, joined, run_hashes, shown, stored, text_slices, word_hashes, word_spans
 
 #: Words are parted by ASCII white space.
 IS_WORD = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
@@ -44,16 +46,15 @@ def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_owners(hashes: np.ndarray, first: np.ndarray, window: int, prefix: int):
-    """(document, first window, window count, owner's hash, hash of all words) of each run of windows that one prefix owns.
+    """(document, first window, window count, owner's hash, two hashes of all words) of each run of windows that one prefix owns.
 
-    ``hashes`` are those of the words of several texts, ``first`` each text's first word.
+    ``hashes`` are those of the words of several texts (two rows), ``first`` each text's first word.
     """
     counts = np.maximum(np.diff(first) - window + 1, 0)
     if not counts.sum():
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    starts = np.arange(len(hashes) - prefix + 1)
-    grams = span_hashes(hashes, starts, starts + prefix)
+        return empty, empty, empty, np.zeros(0, np.uint64), np.zeros((2, 0), np.uint64)
+    grams = run_hashes(hashes[0], prefix)
     doc = np.repeat(np.arange(len(counts)), counts)
     ahead = np.cumsum(counts) - counts
     place = np.arange(counts.sum()) - ahead[doc]
@@ -63,7 +64,9 @@ def window_owners(hashes: np.ndarray, first: np.ndarray, window: int, prefix: in
     begin = np.flatnonzero(new)
     length = np.diff(np.append(begin, len(owner)))
     at = first[doc[begin]] + place[begin]
-    return doc[begin], place[begin], length, grams[owner[begin]], span_hashes(hashes, at, at + length - 1 + window)
+    # A run has no more windows than a window has words, so its first and its last window hold all of its words.
+    cover = [joined(w[at], w[at + length - 1] + length.astype(np.uint64), 1) for w in (run_hashes(h, window, k << 20) for k, h in enumerate(hashes))]
+    return doc[begin], place[begin], length, grams[owner[begin]], np.array(cover)
 
 
 def _entries(window: int, prefix: int):
@@ -76,11 +79,11 @@ def _entries(window: int, prefix: int):
                 starts, ends, first = word_spans(data, offsets, IS_WORD)
                 doc, place, length, key, cover = window_owners(word_hashes(data, starts, ends), first, window, prefix)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (key.view(np.int64), cover.view(np.int64), row[at : at + n][doc], place.astype(np.int32), length.astype(np.int32))],
-                    names=["prefix", "cover", "row", "place", "length"],
+                    [pa.array(x) for x in (key.view(np.int64), cover[0].view(np.int64), cover[1].view(np.int64), row[at : at + n][doc], place.astype(np.int32), length.astype(np.int32))],
+                    names=["prefix", "cover", "cover2", "row", "place", "length"],
                 )
 
-    return run
+    return freed(run)
 
 
 def _suffixes(window: int):
@@ -100,18 +103,13 @@ def _suffixes(window: int):
                 doc = np.repeat(np.repeat(np.arange(n), size)[branch], length)
                 place = np.repeat(place, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
                 begin = first[doc] + place
-                more = span_hashes(hashes, begin, begin + window, 0x5BD1E995)
+                nodes = [run_hashes(h, window, k << 20)[begin].view(np.int64) for k, h in enumerate(hashes)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(span_hashes(hashes, begin, begin + window).view(np.int64)),
-                        pa.array((more >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                        pa.array(row[at : at + n][doc]),
-                        pa.array(place.astype(np.int32)),
-                    ],
+                    [pa.array(x) for x in (*nodes, row[at : at + n][doc], place.astype(np.int32))],
                     names=["node", "node2", "row", "place"],
                 )
 
-    return run
+    return freed(run)
 
 
 def _cut(window: int, joiner: str | None, rest: list[str]):
@@ -157,7 +155,7 @@ def _cut(window: int, joiner: str | None, rest: list[str]):
                 names=[*rest, "n_words", "n_removed", "kept_text"],
             )
 
-    return run
+    return freed(run)
 
 
 def repeated_windows(docs: DataFrame, window: int = 35, prefix: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -167,15 +165,16 @@ def repeated_windows(docs: DataFrame, window: int = 35, prefix: int = 8) -> tupl
     branch are repeats.  ``places`` are the repeated windows below branches.
     """
     texts = docs.select("row", "text")
-    entries = texts.mapInArrow(_entries(window, prefix), "prefix long, cover long, row long, place int, length int")
-    groups = entries.groupBy("prefix").agg(F.count("*").alias("n"), F.min("cover").alias("low"), F.max("cover").alias("high"))
-    groups = groups.where("n > 1").select("prefix", (F.col("low") != F.col("high")).alias("branch"))
-    runs = _inverted(entries.drop("cover"), "prefix").join(_inverted(groups, "prefix"), "prefix")
+    entries = texts.mapInArrow(_entries(window, prefix), "prefix long, cover long, cover2 long, row long, place int, length int")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("cover", "cover2") for f in (F.min, F.max)]
+    groups = entries.groupBy("prefix").agg(F.count("*").alias("n"), *ends)
+    groups = groups.where("n > 1").select("prefix", F.expr("min_cover <> max_cover OR min_cover2 <> max_cover2").alias("branch"))
+    runs = _inverted(entries.drop("cover", "cover2"), "prefix").join(_inverted(groups, "prefix"), "prefix")
     runs = runs.groupBy("row").agg(F.collect_list(F.struct("place", "length", "branch")).alias("runs"))
     # All columns of docs stay, so that this join and the last one share one exchange of the texts.
     below = docs.join(runs, "row").where(F.exists("runs", lambda x: x["branch"]))
     rest = [c for c in docs.columns if c not in ("row", "text")]
-    suffixes = below.select("row", "text", "runs", *rest).mapInArrow(_suffixes(window), "node long, node2 int, row long, place int")
+    suffixes = below.select("row", "text", "runs", *rest).mapInArrow(_suffixes(window), "node long, node2 long, row long, place int")
     internal = suffixes.groupBy("node", "node2").count().where("count > 1").select("node", "node2")
     repeats = _inverted(suffixes, "node").join(_inverted(internal, "node"), ["node", "node2"], "left_semi")
     places = repeats.groupBy("row").agg(F.collect_list("place").alias("places"))
@@ -188,7 +187,7 @@ def _inverted(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.bitwise_not(column))
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, prefix: int = 8, joiner: str | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, prefix: int = 8, joiner: str | None = None, repeatable: bool = False) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept_text`` instead of the text column.
 
     Removed is every word covered by a window of ``window`` consecutive words whose
@@ -196,11 +195,15 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, pr
     on the input.  ``kept_text`` keeps the spacing inside the passages that stay and
     parts these by a line break; with ``joiner`` it is the kept words joined by that.
     A null text has no words and gives an empty text; texts shorter than a window are
-    untouched; repeated rows repeat each other and lose all their windows.  ``docs``
-    is read twice and must give its rows in the same order (any stored table does).
+    untouched; repeated rows repeat each other and lose all their windows; an empty
+    table gives an empty one.  ``docs`` is read more than once: it is written to the
+    shared storage first unless it is ``repeatable``, which means that every reading
+    gives its rows in the same order (as plain reads of a stored table do).
     """
     if not 0 < prefix <= window:
         raise ValueError("prefix must have between 1 and window words")
+    if not repeatable:
+        docs, _ = stored(docs)
     rest = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed", "kept_text")]
     numbered = hidden(docs, rest, F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     runs, places = repeated_windows(numbered, window, prefix)
