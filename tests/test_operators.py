@@ -133,7 +133,7 @@ def test_normalize_pipeline_equals_its_steps(spark):
     long = spark.createDataFrame(rows, "gene_id string, axis string, replicate string, value double")
     got = {(r["gene_id"], r["axis"]): r["value"] for r in normalize.normalize_pipeline(long).collect()}
     steps = normalize.log2_transform(normalize.axis_average(normalize.sd_normalize(long)))
-    assert got == {(r["gene_id"], r["axis"]): r["value"] for r in steps.collect()}
+    assert got == {(r["gene_id"], r["axis"]): pytest.approx(r["value"]) for r in steps.collect()}
     with pytest.raises(ValueError):
         normalize.sd_normalize(long.withColumn("value", F.lit(0.0)))
 
@@ -284,17 +284,60 @@ def test_distance_check_reads_every_order(spark, tmp_path):
     assert {(r["key"], r["detail"]) for r in found} == {("2,3", "symmetry"), ("4,4", "diagonal"), ("5,9", "value")}
 
 
-def test_jct_permutations_equal_a_sort_of_whole_points(spark):
+def test_jct_permutations_are_distributed_like_dealt_rows(spark):
     rng = random.Random(6)
-    rows = [(rng.choice("FO"), k % 3, k, rng.gauss(0, 1)) for k in range(900)] + [("O", 7, 900 + k, rng.gauss(0, 1)) for k in range(20)] + [("F", 8, 950 + k, rng.gauss(0, 1)) for k in range(20)]
+    rows = [(rng.choice("FO"), k % 3, k, rng.gauss(0, 1)) for k in range(300)] + [("O", 7, 900 + k, rng.gauss(0, 1)) for k in range(20)] + [("F", 0, 950, NAN), ("O", 0, 951, None)]
     resid = spark.createDataFrame(rows, "study string, point int, row int, resid double")
-    got = {r["perm"]: r["jsd"] for r in integration.jct_permutation_test(resid, ("F", "O"), 3.0, 8, 12)[1].collect()}
-    sizes = resid.groupBy("point").agg(F.count_if(F.col("study") == "F").alias("n"))
-    dealt = resid.drop("study").join(sizes, "point").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(12))))
-    order = Window.partitionBy("perm", "point").orderBy(F.xxhash64(F.lit(0), "perm", "point", "row"), "row")
-    dealt = dealt.withColumn("study", F.when(F.row_number().over(order) <= F.col("n"), "F").otherwise("O"))
-    want = {r["perm"]: r["jsd"] for r in integration.jct(dealt, ("F", "O"), 3.0, 8, ["perm"]).collect()}
-    assert len(want) == 12 and got == {k: pytest.approx(v) for k, v in want.items()}
+    test, null = integration.jct_permutation_test(resid, ("F", "O"), 3.0, 8, 400)
+    got = sorted(r["jsd"] for r in null.collect())
+    assert got == sorted(r["jsd"] for r in integration.jct_permutation_test(resid.repartition(5), ("F", "O"), 3.0, 8, 400)[1].collect())
+    bins = lambda v: min(8, math.floor((max(-3.0, min(v, 3.0)) + 3) / 0.75) + 1)
+
+    def jsd(labels):
+        total = support = 0.0
+        for p in {r[1] for r in rows}:
+            n = np.zeros((2, 9))
+            for s, (_, q, _, v) in zip(labels, rows):
+                if q == p and v is not None and v == v:
+                    n[int(s == "O"), bins(v)] += 1
+            p0, p1 = (x / max(x.sum(), 1) for x in n)
+            mid = (p0 + p1) / 2
+            total += n.sum() * sum(np.sum(x[x > 0] * np.log(x[x > 0] / mid[x > 0])) for x in (p0, p1)) / 2
+            support += n.sum()
+        return total / support
+
+    assert test.first()["observed"] == pytest.approx(jsd([r[0] for r in rows]))
+    want = []
+    for _ in range(400):
+        labels = [r[0] for r in rows]
+        for p in {r[1] for r in rows}:
+            own = [k for k, r in enumerate(rows) if r[1] == p]
+            dealt = [labels[k] for k in own]
+            rng.shuffle(dealt)
+            for k, s in zip(own, dealt):
+                labels[k] = s
+        want.append(jsd(labels))
+    assert np.percentile(got, [10, 25, 50, 75, 90]) == pytest.approx(np.percentile(want, [10, 25, 50, 75, 90]), rel=0.1)
+    masked = resid.withColumn("near", F.col("row") < 150)
+    assert integration.residual_histogram(masked, ["study", "point"], 3.0, 8, mask="near").agg(F.sum("n")).first()[0] == 150
+    only = integration.jct_permutation_test(masked, ("F", "O"), 3.0, 8, 5, mask="near")[0].first()["observed"]
+    assert only == pytest.approx(integration.jct(resid.where("row < 150"), ("F", "O"), 3.0, 8).first()["jsd"])
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(8)
+    values = [float(rng.choice([0, 0, 1, rng.randint(0, 90)])) for _ in range(501)]
+    df = spark.createDataFrame([(v,) for v in [*values, NAN, None]], "x double").repartition(5)
+    row = reshape.quantiles(df, "x", [0.0, 0.05, 0.333, 0.5, 1.0]).first()
+    assert row["n"] == 501 and row["q"] == pytest.approx(np.quantile(values, [0.0, 0.05, 0.333, 0.5, 1.0]))
+    assert reshape.quantiles(df.where("false"), "x", [0.5]).first()["q"] == [None]
+
+
+def test_subsets_of_a_large_family_stop_at_the_limit(spark):
+    genes = vectors(spark, [(f"g{k}", 1, (0.3, 0, 0)) for k in range(6)])
+    anc = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "family_id int, a array<double>")
+    assert paralogs.dosage_effect(genes, anc, 4, gain=0.1).count() == 15
+    assert paralogs.dosage_effect(genes, anc, 4, gain=0.1, limit=40).count() == 0  # 15 + 20 subsets of 2 and 3 genes
 
 
 def test_queries_use_the_operators_defaults(spark, monkeypatch):

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import math
+import zlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import is_finite
+from .reshape import quantiles
 
 
 def pool_means(means: DataFrame, points: int, mean: str = "mean") -> DataFrame:
     """(point, x): the quantiles j / (points + 1) of all studies' gene means, NaN left out; ``n_pool`` as a column."""
-    shares = F.array(*(F.lit(j / (points + 1)) for j in range(1, points + 1)))
-    pooled = means.where(is_finite(mean)).agg(F.percentile(mean, shares).alias("q"), F.count(mean).alias("n_pool"))
-    return pooled.select(F.posexplode("q").alias("point", "x"), "n_pool").withColumn("point", F.col("point") + 1)
+    pooled = quantiles(means.where(is_finite(mean)), mean, [j / (points + 1) for j in range(1, points + 1)])
+    return pooled.select(F.posexplode("q").alias("point", "x"), F.col("n").alias("n_pool")).withColumn("point", F.col("point") + 1)
 
 
 def neighborhood_size(means: DataFrame, n_pool: int, points: int, mean: str = "mean", desired: int | None = None) -> int:
@@ -50,7 +52,7 @@ def construct_neighborhoods(points: DataFrame, means: DataFrame, resid: DataFram
 
 def shared_residual_range(resid: DataFrame, value: str = "resid", p: float = 95.0) -> float:
     """The percentile of the absolute residuals of both studies, NaN left out; 0 without any."""
-    found = resid.where(is_finite(value)).agg(F.percentile(F.abs(value), p / 100)).first()[0]
+    found = quantiles(resid.where(is_finite(value)).select(F.abs(value).alias("size")), "size", [p / 100]).first()["q"][0]
     return float(found or 0.0)
 
 
@@ -62,12 +64,14 @@ def residual_bin(value: Column, reach: float, bins: int) -> Column:
     return F.least(F.lit(bins), F.floor((inside + reach) / (2 * reach / bins)).cast("int") + 1)
 
 
-def residual_histogram(resid: DataFrame, keys: list[str], reach: float, bins: int, value: str = "resid") -> DataFrame:
+def residual_histogram(resid: DataFrame, keys: list[str], reach: float, bins: int, value: str = "resid", mask: str | None = None) -> DataFrame:
     """(keys, bin, n, p): counts of residuals per bin, every bin of every key, and their shares.
 
-    NaN and null are skipped; a key without any residual has shares 0.
+    NaN and null are skipped, and so are residuals whose ``mask`` column is not true (a gene
+    that is no neighbour of the point); a key without any residual has shares 0.
     """
-    kept = resid.withColumn("bin", F.when(is_finite(value), residual_bin(F.col(value), reach, bins)))
+    counted = is_finite(value) if mask is None else is_finite(value) & F.col(mask)
+    kept = resid.withColumn("bin", F.when(counted, residual_bin(F.col(value), reach, bins)))
     counts = kept.groupBy(*keys, "bin").agg(F.count("bin").alias("n"))
     grid = kept.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
     full = grid.join(counts, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
@@ -101,34 +105,48 @@ def jct(resid: DataFrame, studies: tuple, reach: float, bins: int, extra: list[s
     return global_js_divergence(js_divergence(pmf, [*extra, "point"], studies, study), extra)
 
 
-#: A point's hashes fall into 2**BUCKET_BITS buckets in a permutation.
-BUCKET_BITS = 6
+def _null_divergences(bins: int, permutations: int, seed: int):
+    """Draws of a point's first study from the counts of all bins (the last: residuals that no bin holds)."""
 
+    def run(batches):
+        import pyarrow as pa
 
-def jct_permutation_test(resid: DataFrame, studies: tuple, reach: float, bins: int, permutations: int = 1000, seed: int = 0, study: str = "study", row_id: str = "row") -> tuple[DataFrame, DataFrame]:
+        for batch in batches:
+            for point, first, counts in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                draw = np.random.default_rng([seed, zlib.crc32(str(point).encode())])
+                counts = np.array(counts, np.int64)
+                one = draw.multivariate_hypergeometric(counts, first, size=permutations)[:, :bins]
+                two = counts[:bins] - one
+                p0, p1 = (n / np.maximum(n.sum(axis=1, keepdims=True), 1) for n in (one, two))
+                mid = np.where(p0 + p1 > 0, (p0 + p1) / 2, 1)
+                jsd = sum(np.where(p > 0, p * np.log(np.where(p > 0, p, 1) / mid), 0).sum(axis=1) for p in (p0, p1)) / 2
+                support = np.full(permutations, counts[:bins].sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, permutations + 1, dtype=np.int32)), pa.array(jsd), pa.array(support)], names=["perm", "jsd", "support"])
+
+    return run
+
+
+def jct_permutation_test(resid: DataFrame, studies: tuple, reach: float, bins: int, permutations: int = 1000, seed: int = 0, study: str = "study", mask: str | None = None) -> tuple[DataFrame, DataFrame]:
     """((observed, p_value), (perm, jsd)): residuals are dealt anew to the studies within each point.
 
-    Every point keeps the studies' sizes (NaN residuals are dealt too).  A residual's place
-    in a permutation is the order of a hash of seed, permutation, point and ``row_id``, so a
-    repeated run gives the same null.  p = (1 + permutations that reach the observed) / (B + 1).
-    All permutations run as one table, counted to (perm, study, point, bin) early.
+    Every point keeps the studies' sizes (residuals that are NaN or null are dealt too).  Only
+    the number of residuals of each bin matters, so the data are counted to (point, bin)
+    once and a permutation draws a point's first study from these counts (multivariate
+    hypergeometric), which has the distribution of dealing the rows themselves; a point may
+    have up to a thousand million residuals.  Draws depend on the seed and the point only.
+    p = (1 + permutations that reach the observed) / (B + 1).  Rows whose ``mask`` column is
+    not true take no part.
     """
+    if mask:
+        resid = resid.where(F.col(mask))
     observed = jct(resid, studies, reach, bins, study=study).select(F.col("jsd").alias("observed"))
-    sizes = resid.groupBy("point").agg(F.count_if(F.col(study) == F.lit(studies[0])).alias("__first"))
-    dealt = resid.select("point", row_id, "resid").join(sizes, "point").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    dealt = dealt.withColumn("__hash", F.xxhash64(F.lit(seed), "perm", "point", row_id)).withColumn("__bucket", F.shiftright("__hash", 64 - BUCKET_BITS))
-    # The bucket of hashes in which a point's first study ends: only its rows are sorted.
-    counts = dealt.groupBy("perm", "point", "__bucket").agg(F.count("*").alias("__size"), F.first("__first").alias("__first"))
-    before = F.sum("__size").over(Window.partitionBy("perm", "point").orderBy("__bucket")) - F.col("__size")
-    edges = counts.withColumn("__before", before).where((F.col("__before") < F.col("__first")) & (F.col("__first") <= F.col("__before") + F.col("__size")))
-    edges = edges.select("perm", "point", F.col("__bucket").alias("__edge"), "__before")
-    placed = dealt.join(edges, ["perm", "point"], "left")  # no edge: the first study has no row
-    order = Window.partitionBy("perm", "point").orderBy("__hash", row_id)
-    inside = placed.where("__bucket = __edge").withColumn("__in", F.row_number().over(order) + F.col("__before") <= F.col("__first"))
-    outside = placed.where("__edge IS NULL OR __bucket <> __edge").withColumn("__in", F.coalesce(F.col("__bucket") < F.col("__edge"), F.lit(False)))
-    dealt = inside.unionByName(outside).withColumn(study, F.when(F.col("__in"), F.lit(studies[0])).otherwise(F.lit(studies[1])))
-    null = jct(dealt, studies, reach, bins, ["perm"], study).select("perm", "jsd")
-    reached = F.count_if((F.col("jsd") >= F.col("observed")) & ~F.isnan("jsd"))
+    slot = F.coalesce(F.when(is_finite("resid"), residual_bin(F.col("resid"), reach, bins)), F.lit(bins + 1))
+    counts = resid.groupBy("point", slot.alias("slot")).agg(F.count("*").alias("n"), F.count_if(F.col(study) == F.lit(studies[0])).alias("first"))
+    in_slot = [F.coalesce(F.sum(F.when(F.col("slot") == k, F.col("n"))), F.lit(0)) for k in range(1, bins + 2)]
+    points = counts.groupBy("point").agg(F.sum("first").alias("first"), F.array(*in_slot).alias("counts"))
+    drawn = points.select("point", "first", "counts").mapInArrow(_null_divergences(bins, permutations, seed), "perm int, jsd double, support long")
+    null = global_js_divergence(drawn, ["perm"]).select("perm", "jsd")
+    reached = F.count_if((F.col("jsd") >= F.col("observed") - 1e-12) & ~F.isnan("jsd"))
     test = null.crossJoin(F.broadcast(observed)).agg(F.first("observed").alias("observed"), ((1 + reached) / (permutations + 1)).alias("p_value"))
     return test, null
 

@@ -15,10 +15,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .reshape import bucketed, global_rank
+from ..sources.storage import dropped, stored
+from .reshape import bucketed, global_rank, quantiles
 
-#: Share of the points below which a cell is not cut again, and rows up to which quantiles are exact.
-CELL_SHARE, EXACT_ROWS = 0.05, 5_000_000
+#: Fixed values of the method: the share of the points below which a cell is not cut again, the padding of
+#: the range, and where the weight functions count as 0 and as 1.
+CELL_SHARE, PADDING, WEIGHT_ENDS, WEIGHT_STARTS = 0.05, 0.005, 0.999, 0.001
 
 
 @dataclass(frozen=True)
@@ -45,39 +47,38 @@ class Curve:
         return c0 + t * (c1 + t * (c2 + t * c3))
 
 
-def _quantile(column: Column, share: float, n: int) -> Column:
-    return F.percentile(column, share) if n <= EXACT_ROWS else F.percentile_approx(column, share, 100_000).cast("double")
-
-
-def _vertices(points: DataFrame, n: int, low: float, high: float) -> list[float]:
-    """Cell borders: the padded range, cut at medians until a cell has few points."""
-    pad = 0.005 * max(high - low, 1e-10 * max(abs(low), abs(high)) + 1e-30)
-    most = int(CELL_SHARE * n)
-    cells, borders = [(low, high, low - pad, high + pad, True)], {low - pad, high + pad}
-    while cells:
-        inside = [(F.col("x") >= a) & (F.col("x") <= b) if first else (F.col("x") > a) & (F.col("x") <= b) for a, b, _, _, first in cells]
-        counts = points.agg(*(F.count(F.when(c, 1)) for c in inside)).first()
-        todo = [(cell, c, m) for cell, c, m in zip(cells, inside, counts) if m > max(most, 1)]
-        if not todo:
-            break
-        shares = []
-        for _, c, m in todo:
-            at = (m + 1) // 2 - 1
-            shares += [_quantile(F.when(c, F.col("x")), at / (m - 1), n), _quantile(F.when(c, F.col("x")), min(at + 1, m - 1) / (m - 1), n)]
-        found = points.agg(*shares).first()
+def _vertices(ranked: DataFrame, n: int, low: float, high: float) -> list[float]:
+    """Cell borders: the padded range, cut at medians until a cell has few points.
+
+    ``ranked`` has the sorted x with their ranks ``r``; a cell is a run of ranks, so its
+    median takes two rows.
+    """
+    pad = PADDING * max(high - low, 1e-10 * max(abs(low), abs(high)) + 1e-30)
+    most = max(int(CELL_SHARE * n), 1)
+    cells, borders = [(low, high, low - pad, high + pad, 0, n)], {low - pad, high + pad}
+    while todo := [c for c in cells if c[5] - c[4] > most]:
+        places = {c: (c[4] + (m + 1) // 2, c[4] + min((m + 1) // 2 + 1, m)) for c in todo for m in (c[5] - c[4],)}
+        wanted = sorted({r for pair in places.values() for r in pair})
+        at = {r["r"]: r["x"] for r in ranked.where(F.col("r").isin(wanted)).collect()}  # two rows per cell
+        cuts = {}
+        for cell in todo:
+            a, b, left, right, *_ = cell
+            one, two = (at[r] for r in places[cell])
+            cut = (one + two) / 2
+            if not (cut <= left or cut >= right or cut in borders or one == two and cut in (a, b)):
+                borders.add(cut)
+                cuts[cell] = cut
         cells = []
-        for k, ((a, b, left, right, first), _, _) in enumerate(todo):
-            cut = (found[2 * k] + found[2 * k + 1]) / 2
-            if cut <= left or cut >= right or cut in borders or found[2 * k] == found[2 * k + 1] and cut in (a, b):
-                continue
-            borders.add(cut)
-            cells += [(a, cut, left, cut, first), (cut, b, cut, right, False)]
+        if cuts:
+            upto = ranked.agg(*(F.count_if(F.col("x") <= cut) for cut in cuts.values())).first()
+            for (cell, cut), k in zip(cuts.items(), upto):
+                a, b, left, right, start, end = cell
+                cells += [(a, cut, left, cut, start, k), (cut, b, cut, right, k, end)]
     return sorted(borders)
 
 
-def _bandwidths(points: DataFrame, vertices: list[float], n: int, near: int) -> list[float]:
+def _bandwidths(ranked: DataFrame, vertices: list[float], near: int) -> list[float]:
     """The distance of each vertex to its ``near``-th nearest point: the best run of that many sorted points."""
-    ranked = global_rank(points.select("x"), "x", [], out="r")
     ends = ranked.select((F.col("r") - (near - 1)).alias("r"), F.col("x").alias("z"))
     runs = ranked.join(ends, "r")
     return list(runs.agg(*(F.min(F.greatest(F.abs(F.col("x") - v), F.abs(F.col("z") - v))) for v in vertices)).first())
@@ -87,9 +88,9 @@ def _fit_vertices(points: DataFrame, weight: Column, vertices: list[float], widt
     nodes = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v"), F.lit(h).alias("h")) for k, (v, h) in enumerate(zip(vertices, widths))))
     near = points.select("x", "y", weight.alias("rw"), F.explode(nodes).alias("node")).select("x", "y", "rw", "node.*")
     u = (F.col("x") - F.col("v")) / F.col("h")
-    near = near.withColumn("u", u).where(F.col("u") * F.col("u") < 0.999)
+    near = near.withColumn("u", u).where(F.col("u") * F.col("u") < WEIGHT_ENDS)
     size = F.abs(F.col("u"))
-    tricube = F.when(size * size > 0.001 * 0.001, F.pow(1 - size * size * size, 3)).otherwise(1.0)
+    tricube = F.when(size * size > WEIGHT_STARTS * WEIGHT_STARTS, F.pow(1 - size * size * size, 3)).otherwise(1.0)
     near = near.withColumn("w", F.col("rw") * tricube)
     sums = [F.sum(F.col("w") * F.pow("u", k)).alias(f"s{k}") for k in range(2 * degree + 1)]
     sums += [F.sum(F.col("w") * F.col("y") * F.pow("u", k)).alias(f"t{k}") for k in range(degree + 1)]
@@ -115,7 +116,7 @@ def fit_loess(df: DataFrame, x: str, y: str, span: float = 0.7, degree: int = 2,
     if not 0 < span <= 1 or degree not in (0, 1, 2):
         raise ValueError("span must be in (0, 1] and degree 0, 1 or 2")
     points = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    points = points.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    points, path = stored(points.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)"))
     seen = points.agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.approx_count_distinct("x").alias("d")).first()
     n = seen["n"]
     few = min(4, degree + 2)
@@ -123,20 +124,23 @@ def fit_loess(df: DataFrame, x: str, y: str, span: float = 0.7, degree: int = 2,
         return Curve()
     if max(2, math.ceil(span * n)) < degree + 3:
         raise ValueError("too few points for this span and degree")
-    vertices = _vertices(points, n, seen["low"], seen["high"])
+    ranked, ranked_path = stored(global_rank(points.select("x"), "x", [], out="r"))
+    vertices = _vertices(ranked, n, seen["low"], seen["high"])
     near = min(n, max(2, int(span * n + 1e-5)))
-    widths = [max(h, 1e-300) for h in _bandwidths(points, vertices, n, near)]
+    widths = [max(h, 1e-300) for h in _bandwidths(ranked, vertices, near)]
+    dropped(df.sparkSession, ranked_path)
     weight = F.lit(1.0)
     curve = Curve()
     for k in range(rounds if robust else 1):
         curve = _fit_vertices(points, weight, vertices, widths, degree)
         if robust and k + 1 < rounds:
             miss = F.abs(F.col("y") - curve.column(F.col("x")))
-            scale = 6 * (points.agg(_quantile(miss, 0.5, n)).first()[0] or 0.0)
+            scale = 6 * (quantiles(points.select(miss.alias("miss")), "miss", [0.5]).first()["q"][0] or 0.0)
             if scale < 1e-300:
                 break
             ratio = miss / scale
-            weight = F.when(ratio <= 0.001, 1.0).when(ratio > 0.999, 0.0).otherwise(F.pow(1 - ratio * ratio, 2))
+            weight = F.when(ratio <= WEIGHT_STARTS, 1.0).when(ratio > WEIGHT_ENDS, 0.0).otherwise(F.pow(1 - ratio * ratio, 2))
+    dropped(df.sparkSession, path)
     return curve
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import is_finite
+from ..sources.storage import stored
 from .loess import fit_loess
 from .reshape import global_rank
 
@@ -63,7 +64,7 @@ def sd_normalize(long: DataFrame, gene: str = "gene_id", value: str = "value", s
     the gene's own sd counts, and genes without spread stay as they are.  At least five genes
     must have an sd.
     """
-    stats = spread(long, gene, value=value)
+    stats, _ = stored(spread(long, gene, value=value))
     used = stats.where("sd > 1e-12")
     if used.limit(5).count() < 5:
         raise ValueError("at least five genes must vary")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
 from .loess import fit_loess
-from .reshape import cumulative_counts
+from .reshape import cumulative_counts, quantiles
 
 
 def percentile(df: DataFrame, value: str, p: float) -> DataFrame:
     """(percentile): linear interpolation on (n - 1) p / 100; NaN and null are left out."""
-    return df.where(~F.isnan(value)).agg(F.percentile(value, p / 100).alias("percentile"))
+    return quantiles(df, value, [p / 100]).select(F.col("q")[0].alias("percentile"))
 
 
 def edf(df: DataFrame, value: str) -> DataFrame:
@@ -59,18 +60,18 @@ def family_scaling(df: DataFrame, family_col: str = "family_id", distance_col: s
     (within the range of the fit).  Families of one row get 0; where all means are equal,
     every family gets the median sd.
     """
-    stats = family_stats(df, family_col, distance_col)
+    stats, _ = stored(family_stats(df, family_col, distance_col))
     every = df.where(F.col(family_col).isNotNull()).select(family_col).distinct()
-    seen = stats.agg(F.count("*").alias("n"), F.percentile("mean", 0.05).alias("p5"), F.percentile("sd", 0.5).alias("mid"), F.min("mean").alias("low"), F.max("mean").alias("high")).first()
-    if not seen["n"]:
+    if stats.isEmpty():
         return every.withColumn("dscale", F.lit(0.0))
-    eps_mean, eps_sd = max(seen["p5"], 1e-12), max(1e-13 * seen["mid"], 1e-12)
+    p5, mid = (quantiles(stats, c, [share]).first()["q"][0] for c, share in (("mean", 0.05), ("sd", 0.5)))
+    eps_mean, eps_sd = max(p5, 1e-12), max(1e-13 * mid, 1e-12)
     logs = stats.withColumns({"lx": F.log2(F.col("mean") + eps_mean), "ly": F.log2(F.col("sd") + eps_sd)})
-    low_sd = logs.agg(F.percentile("ly", 0.01)).first()[0]
+    low_sd = quantiles(logs, "ly", [0.01]).first()["q"][0]
     used = logs.where(F.col("ly") >= low_sd)
     reach = used.agg(F.min("lx"), F.max("lx")).first()
     if reach[1] - reach[0] <= 1e-12:
-        scaled = logs.select(family_col, F.lit(float(seen["mid"])).alias("dscale"))
+        scaled = logs.select(family_col, F.lit(float(mid)).alias("dscale"))
     else:
         curve = fit_loess(used, "lx", "ly", span=span, degree=degree, robust=True)
         at = F.greatest(F.lit(reach[0]), F.least(F.col("lx"), F.lit(reach[1])))
@@ -106,5 +107,6 @@ def identify_outliers(df: DataFrame, rdi_col: str = "rdi", p: float = 95.0) -> D
 
 def detect_outliers(df: DataFrame, family_col: str = "family_id", distance_col: str = "distance", p: float = 95.0) -> DataFrame:
     """Family scaling, then index, then outliers: ``df`` with ``rdi``, ``threshold``, ``is_outlier`` and ``p_value``."""
-    return identify_outliers(rdi(df, family_scaling(df, family_col, distance_col), family_col, distance_col), "rdi", p)
+    indexed, _ = stored(rdi(df, family_scaling(df, family_col, distance_col), family_col, distance_col))
+    return identify_outliers(indexed, "rdi", p)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
+
 
 def to_long(vectors: DataFrame, id_col: str = "gene_id", vector_col: str = "v", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per component: the id, kept columns, ``pos`` (from 0) and ``value``."""
@@ -17,40 +19,39 @@ def to_vector(long: DataFrame, *keys: str, pos_col: str = "pos", value_col: str
     return long.groupBy(*keys).agg(F.transform(pairs, lambda s: s["x"]).alias(out))
 
 
-def bucketed(df: DataFrame, value: str, buckets: int = 64, bucket_col: str = "bucket") -> DataFrame:
-    """``df`` with a bucket number that grows with ``value``; equal values share one.
+def bucketed(df: DataFrame, *by: str, bucket_col: str = "bucket") -> DataFrame:
+    """``df`` with a bucket number that grows with the ``by`` columns (nulls first, NaN last); equal rows share one.
 
-    The bounds are approximate percentiles of all values, so buckets have about equal
-    numbers of distinct places; nulls are in bucket 0, NaN in the last.
+    A bucket is a range partition of about equal size, so buckets are as many as shuffle
+    partitions.  The table is stored, as ranges would be drawn anew at another evaluation.
     """
-    cuts = df.agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 10_000)).first()[0]
-    cuts = sorted({c for c in cuts or [] if c == c})
-    if not cuts:
-        return df.withColumn(bucket_col, F.lit(0))
-    place = sum((F.coalesce((F.col(value) > c).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
-    return df.withColumn(bucket_col, place)
+    return stored(df.repartitionByRange(*by).withColumn(bucket_col, F.spark_partition_id()))[0]
 
 
-def _offsets(sized: DataFrame, keys: list[str], descending: bool) -> DataFrame:
-    """Rows in earlier buckets, per key and bucket (a row per bucket: small)."""
+def _offsets(sized: DataFrame, descending: bool = False) -> DataFrame:
+    """(bucket, offset): rows in earlier buckets (a row per bucket: small)."""
     order = F.desc("bucket") if descending else F.asc("bucket")
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return sized.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return sized.select("bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
 
 
 def global_rank(df: DataFrame, value: str, ties: list[str], by: list[str] | None = None, out: str = "rank") -> DataFrame:
     """``df`` with the rank (from 1) of each row by value, then tie columns, within the ``by`` columns.
 
-    Rows are sorted inside value buckets only; the counts of earlier buckets are added.  No
-    task sorts the whole table.
+    Rows are sorted inside range partitions only, and counts of earlier partitions are
+    added; a frequent value is parted by the tie columns.  No task sorts the whole table.
     """
     by = by or []
-    parts = bucketed(df, value)
-    sizes = _offsets(parts.groupBy(*by, "bucket").agg(F.count("*").alias("size")), by, descending=False)
-    inside = Window.partitionBy(*by, "bucket").orderBy(value, *ties)
-    ranked = parts.withColumn(out, F.row_number().over(inside))
-    joined = ranked.join(sizes.drop("size"), [*by, "bucket"])
-    return joined.withColumn(out, F.col(out) + F.col("offset")).drop("bucket", "offset")
+    keys = [*by, value, *ties]
+    ranges = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+    parts, _ = stored(ranges)
+    bucket, place = F.shiftright("__at", 33).cast("int"), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    offsets = F.broadcast(_offsets(parts.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("size"))))
+    ranked = parts.withColumn("bucket", bucket).join(offsets, "bucket").withColumn(out, place + F.col("offset") + 1).drop("bucket", "offset", "__at")
+    if by:
+        starts = ranked.groupBy(*by).agg(F.min(out).alias("__start"))
+        ranked = ranked.join(starts, by).withColumn(out, F.col(out) - F.col("__start") + 1).drop("__start")
+    return ranked
 
 
 def cumulative_counts(df: DataFrame, value: str, descending: bool = False) -> DataFrame:
@@ -59,13 +60,32 @@ def cumulative_counts(df: DataFrame, value: str, descending: bool = False) -> Da
     Copies of a value are counted before anything is sorted.
     """
     counts = bucketed(df.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n")), "value")
-    sizes = _offsets(counts.groupBy("bucket").agg(F.sum("n").alias("size")), [], descending)
+    offsets = _offsets(counts.groupBy("bucket").agg(F.sum("n").alias("size")), descending)
     order = F.desc("value") if descending else F.asc("value")
     inside = Window.partitionBy("bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = counts.withColumn("cumulative", F.sum("n").over(inside)).join(F.broadcast(sizes.drop("size")), "bucket")
+    running = counts.withColumn("cumulative", F.sum("n").over(inside)).join(F.broadcast(offsets), "bucket")
     return running.select("value", "n", (F.col("cumulative") + F.col("offset")).alias("cumulative"))
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """(q, n): exact quantiles by linear interpolation on (n - 1) share, as one array, and the number of values.
+
+    Null and NaN are left out; without any value ``q`` holds nulls.
+    """
+    known = df.select(F.col(value).cast("double").alias("value")).where("value IS NOT NULL AND NOT isnan(value)")
+    counts = cumulative_counts(known, "value")
+    n = F.broadcast(counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("__n")))
+    ends = []
+    for k, share in enumerate(shares):
+        at = F.floor((F.col("__n") - 1) * F.lit(float(share)))
+        for name, place in ((f"l{k}", at + 1), (f"h{k}", F.least(at + 2, F.col("__n")))):
+            ends.append(F.min(F.when(F.col("cumulative") >= place, F.col("value"))).alias(name))
+    found = n.join(counts.crossJoin(n).agg(*ends))
+    part = lambda share: F.pmod((F.col("__n") - 1) * F.lit(float(share)), F.lit(1.0))
+    each = [F.col(f"l{k}") + (F.col(f"h{k}") - F.col(f"l{k}")) * part(share) for k, share in enumerate(shares)]
+    return found.select(F.array(*each).alias("q"), F.col("__n").alias("n"))
+
+
 def nth_value(df: DataFrame, value: str, position: int) -> DataFrame:
     """The row or rows at a 1-based position of the sorted values."""
     return cumulative_counts(df, value).where((F.col("cumulative") >= position) & (F.col("cumulative") - F.col("n") < position)).select("value")

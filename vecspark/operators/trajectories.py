@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .reshape import global_rank
+
 KEYS = ("sample", "factor")
 MODES = ("raw", "min", "mean")
 
@@ -107,10 +109,11 @@ def _permuted(traj: DataFrame, factors: list[str] | None, dependents: list[str]
     d = centred if dependents is None else centred.where(F.col("factor").isin(dependents))
     f = f.select("sample", "factor", "t", F.col("value").alias("f"))
     d = d.select("sample", F.col("factor").alias("dependent"), "t", F.col("value").alias("d"))
-    # A number for each sample (rows of distinct samples, not of the table).
-    names = traj.select("sample").distinct().agg(F.array_sort(F.collect_set("sample")).alias("names"))
-    places = names.select(F.posexplode("names").alias("k", "sample"), F.size("names").alias("n"))
-    if places.limit(2).count() < 2:
+    # A number for each sample.
+    places = global_rank(traj.select("sample").where("sample IS NOT NULL").distinct(), "sample", [], out="k").withColumn("k", F.col("k") - 1)
+    n = places.count()
+    places = places.withColumn("n", F.lit(n).cast("long"))
+    if n < 2:
         raise ValueError("a permutation needs at least two samples")
     step = 1 + F.pmod(F.xxhash64(F.lit(seed), "sample", "perm"), F.col("n") - 1)
     drawn = places.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("other", F.pmod(F.col("k") + step, F.col("n")))
