@@ -182,7 +182,7 @@ def test_license_scan(spark):
 def top_by_hand(rows, k, step):
     import math
 
-    known = {i: [math.floor(64 * x) for x in v] for i, v in rows if v is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    known = {i: [math.floor(64 * x) for x in v] for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)}
     out = {}
     for q, a in known.items():
         if q % step == 0:
@@ -203,6 +203,9 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
         for r in sorted(topk.top_k(df.repartition(3), df.where("vec_id % 10 = 0"), k=20).collect(), key=lambda r: (r["query_id"], r["rank"])):
             got[r["query_id"]].append((r["vec_id"], r["score"]))
         assert got == top_by_hand(rows, 20, 10)
+    twice = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [1.0]), (2, [0.5]), (3, [])], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(twice, twice.where("vec_id = 0"), k=3).collect())
+    assert got == sorted(2 * [(0, 1, 0, 4096), (0, 2, 1, 4096), (0, 3, 2, 2048)])
     few = df.where("vec_id < 3")
     assert topk.top_k(few, few.where("vec_id = 0")).count() == 2
     assert topk.top_k(df.where("false"), df.where("false")).count() == 0
@@ -240,6 +243,10 @@ def test_url_filter(spark):
     assert got[7][2] == "com/" and got[8][2:] == (None, "allow") and got[9][2] == "net/fr/"
     assert got[10][2] == "com/" and got[11][2] is None and got[12][:2] == ("b:", "//c.com/en/")
     assert url_filter.judge(pages.where("false"), []).count() == 0
+    odd = [url_filter.Rule("block", "example.com/en"), url_filter.Rule("block", "h.net"), url_filter.Rule("allow", "a.net/es"), url_filter.Rule("allow", "b.net/es")]
+    urls = ["http://example.com/english", "http://example.com/e", "http://x.h.net/q", "http://h.network/q", "http://b.net/es", "http://h.net"]
+    asked = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert {r["page_id"]: r["rule"] for r in url_filter.judge(asked, odd).collect()} == {0: "example.com/en", 1: None, 2: "h.net", 3: None, 4: "b.net/es", 5: "h.net"}
 
 
 def test_packing_is_a_lossless_cut(spark):

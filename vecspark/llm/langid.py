@@ -107,7 +107,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """The classifiers and codewords, from learnable documents with a language and a text.
 
     Without any such document the model knows no language.  ``lang_col`` may hold any
-    number of languages; with more than ``at_most / 10`` each still gives ten documents.
+    number of languages up to ``at_most``, which share that number of documents; more are an error.
+    Of repeated ids the smallest text counts; repeated rows are one.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     known = known.where(learnable("id") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -116,7 +117,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     languages = [r["lang"] for r in counts]
     if not languages:
         return Model([], np.zeros((0, 1)), np.zeros((1 << BITS, 1), np.float32), np.zeros(1, np.float32), np.ones(1))
-    each = max(10, min(per_language, at_most // len(languages)))
+    each = min(per_language, at_most // len(languages))
+    if not each:
+        raise ValueError(f"{len(languages)} languages; at_most must allow a document of each")
     # Only hashes that can be among the smallest are ranked, however many documents a language has.
     reach = docs.sparkSession.createDataFrame([(r["lang"], int((2.0**32) * min(1.0, (2 * each + 100) / r["n"]))) for r in counts], "lang string, reach long")
     near = keys.join(F.broadcast(reach), "lang").where("hash <= reach")

@@ -13,6 +13,7 @@ SHARD_BYTES = 16 << 20
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in every document: their places as digest columns."""
     found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     starts = F.col("base_starts")
     return found.select(
@@ -28,16 +29,19 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best vectors by integer inner product for each vector whose id is divisible by 20."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated windows of 35 words, as counts and a hash of the kept words."""
     kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35, joiner=" ", repeatable=True)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document lie in 10-word windows of benchmark items, and of which items."""
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     found = decontaminate.find_hits(docs, items, n=10)
     found = found.withColumns({"n_words": F.size("words").cast("long"), "n_hit": F.size(decontaminate.hit_places()).cast("long")})
@@ -54,11 +58,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of each document by extendible hashing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.assign_shards(docs, "doc_id", "text", limit=SHARD_BYTES)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of each document, learned from the labels outside of the held-out fifth."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (~toxicity.learnable("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -72,10 +78,12 @@ def tokenizer_path() -> str:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all tokenised documents in sequences of 2,048 ids."""
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), capacity=2048, end_id=1)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 64-bit fingerprint of each document, and its component of fingerprints within two bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -91,11 +99,13 @@ URL_RULES = [
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of each page's URL."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of each document, learned from documents outside of the held-out third."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.predict(docs.drop("lang"), langid.fit(docs))
     return found.select("doc_id", (~langid.learnable("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
@@ -135,16 +145,15 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)
 
 
 OP2_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-p AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: coalesce(z[1] * z[2], 0))) AS BIGINT) AS score
-      FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.rid, a.vec_id AS query_id, b.vec_id AS vec_id, coalesce(CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: coalesce(z[1] * z[2], 0))) AS BIGINT), 0) AS score
+      FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.rid <> b.rid),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
-
 def _op1_sql() -> str:
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     rows = ",\n  ".join(

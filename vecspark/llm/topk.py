@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import freed
+
 #: Rows of a block of the index, and queries that meet a block in one task.
 BLOCK_ROWS, QUERY_ROWS = 65_536, 128
 
@@ -21,8 +23,8 @@ BLOCK_ROWS, QUERY_ROWS = 65_536, 128
 def quantised(vectors, scale: float) -> tuple[np.ndarray, np.ndarray]:
     """(rows that take part, floor(scale * x) of these) of an Arrow list column.
 
-    Null or empty vectors and vectors with null or non-finite components take no part;
-    shorter vectors are filled up with zeros, which add nothing to a product.
+    Null vectors and vectors with null or non-finite components take no part; shorter
+    vectors, empty ones included, are filled up with zeros, which add nothing to a product.
     """
     import pyarrow as pa
 
@@ -36,7 +38,7 @@ def quantised(vectors, scale: float) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((len(size), width))
     row = np.repeat(np.arange(len(size)), size)
     out[row, np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)] = values
-    fine = np.isfinite(out).all(axis=1) & (size > 0)
+    fine = np.isfinite(out).all(axis=1)
     return whole[fine], np.floor(scale * out[fine]).astype(np.int64)
 
 
@@ -106,8 +108,8 @@ def best_rows(score: list[np.ndarray], allowed: np.ndarray, k: int) -> np.ndarra
     return np.concatenate([taken, _positions(open_rows, k - len(taken))])
 
 
-def top_of_block(ids: np.ndarray, index: np.ndarray, low: int, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of a query's ``k`` best rows of a block (ids ascending), its own id left out."""
+def top_of_block(ids: np.ndarray, index: np.ndarray, low: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of a query's ``k`` best rows of a block (ids ascending)."""
     width, bits, words = index.shape
     levels: list[list[np.ndarray]] = [[]]
     constant = 0
@@ -133,7 +135,7 @@ def top_of_block(ids: np.ndarray, index: np.ndarray, low: int, query_id: int, qu
                 shift += 1
     score = [x if x is not None else np.zeros(words, np.uint64) for x in add_slices(levels)]
     flags = np.zeros(words * 64, np.uint8)
-    flags[: len(ids)] = ids != query_id
+    flags[: len(ids)] = 1
     rows = best_rows(score, np.packbits(flags, bitorder="little").view(np.uint64), k)
     value = np.full(len(rows), constant, np.int64)
     for s, bitmap in enumerate(score):
@@ -200,13 +202,15 @@ def _search(k: int):
         for batch in batches:
             for x in batch.to_pylist():
                 ids = np.frombuffer(x["ids"], np.int64)
-                index = np.frombuffer(x["slices"], np.uint64).reshape(x["width"], x["bits"], -1)
-                queries = np.frombuffer(x["queries"], np.int64).reshape(-1, x["query_width"])
+                index = np.frombuffer(x["slices"], np.uint64).reshape(x["width"], x["bits"], -(-len(ids) // 64))
+                asked = np.frombuffer(x["query_ids"], np.int64)
+                queries = np.frombuffer(x["queries"], np.int64).reshape(len(asked), x["query_width"])
                 out = []
-                for query_id, row, query in zip(np.frombuffer(x["query_ids"], np.int64), np.frombuffer(x["query_rows"], np.int64), queries):
-                    found, score = top_of_block(ids, index, x["low"], int(query_id), query, k)
-                    out.append((np.full(len(found), query_id), np.full(len(found), row), found, score))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "query_row", "vec_id", "score"])
+                for query_id, row, query in zip(asked, np.frombuffer(x["query_rows"], np.int64), queries):
+                    found, score = top_of_block(ids, index, x["low"], query, k + 1)
+                    own = (found == query_id) & (score == int(query @ query))
+                    out.append((np.full(len(found), query_id), np.full(len(found), row), found, score, own))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "query_row", "vec_id", "score", "own"])
 
     return run
 
@@ -219,11 +223,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     """(query_id, rank, vec_id, score): each query row's ``k`` highest integer inner products.
 
     Both tables hold an integer id and a list of numbers; a component x counts as
-    floor(scale * x).  Rows of ``vectors`` with the query's own id are left out, ties go to
-    the smaller id, and a query with fewer candidates gets all.  Rows with a null id and
-    vectors that are null, empty or hold null or non-finite components take no part; of
-    vectors of unequal length the shorter one counts as filled up with zeros.  Repeated
-    query rows are each answered.  Scores must fit 62 bits.
+    floor(scale * x).  One row of ``vectors`` is the query's own and is left out (one with its
+    id and score with itself); repeated rows of it are candidates.  Ties go to the smaller id,
+    and a query with fewer candidates gets all.  Rows with a null id and vectors that are
+    null or hold null or non-finite components take no part; of vectors of unequal length
+    the shorter one, even an empty one, counts as filled up with zeros.  Repeated query
+    rows are each answered; without vectors or queries the result is empty.  Scores must
+    fit 62 bits.
     """
     n = vectors.count()
     parts = max(1, -(-n // BLOCK_ROWS))
@@ -235,7 +241,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     pairs = asked.join(blocks, "part").drop("part")
     tasks = max(1, parts * -(-queries.count() // QUERY_ROWS))
-    found = pairs.repartition(tasks, F.xxhash64("query_rows", "ids")).mapInArrow(_search(k), "query_id long, query_row long, vec_id long, score long")
+    found = pairs.repartition(tasks, F.xxhash64("query_rows", "ids")).mapInArrow(freed(_search(k)), "query_id long, query_row long, vec_id long, score long, own boolean")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    near = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    # The first own row goes, and what stands behind it moves up.
+    seen = near.withColumn("seen", F.sum(F.col("own").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ranked = seen.where(~(F.col("own") & (F.col("seen") == 1))).withColumn("rank", F.col("place") - F.least("seen", F.lit(1)).cast("int"))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

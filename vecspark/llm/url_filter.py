@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, hidden, shown
 
 ALLOW, BLOCK = "allow", "block"
+#: A literal token: letters, digits and everything beyond ASCII.
+TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Rules up to this number go to all executors; more are joined by Spark's choice.
 BROADCAST_RULES = 100_000
 
@@ -32,7 +34,12 @@ class Rule:
 
     def regex(self) -> str:
         host, slash, path = self.rule.partition("/")
-        return rf"(?s)\A(?:[^/]*\.)?\Q{host}\E\Q{slash + path}\E"
+        return rf"(?s)\A(?:[^/]*\.)?\Q{host}\E" + (rf"\Q/{path}\E" if slash else r"(?=/|\z)")
+
+    def tokens(self) -> list[str]:
+        """The literal tokens that every fitting URL holds: all but an unfinished last one of the path."""
+        host, _, path = self.rule.partition("/")
+        return sorted({*tokens(host), *tokens(re.sub(rf"{TOKEN}\Z", "", path))})
 
 
 @dataclass(frozen=True)
@@ -58,12 +65,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def tokens(text: str) -> list[str]:
-    """The distinct literal tokens of a rule."""
-    return sorted(set(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)))
+    """The distinct literal tokens of a text."""
+    return sorted(set(re.findall(TOKEN, text)))
 
 
 def _token_column(place: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(place, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(place, F.lit(TOKEN), F.lit(0)))
 
 
 def judge(urls: DataFrame, rules: Sequence[Rule], patterns: Sequence[Pattern] = PATTERNS, url_col: str = "url") -> DataFrame:
@@ -73,7 +80,7 @@ def judge(urls: DataFrame, rules: Sequence[Rule], patterns: Sequence[Pattern] =
     verdict.  Else ``rule`` is null and the verdict is block if any pattern matches,
     allow if none.  A null URL and one without ``://`` have empty host and path, which
     fit no rule with a host.  Columns of ``urls`` with these names give way; repeated
-    rows are each judged.
+    rows are each judged; an empty table gives an empty one.
     """
     spark = urls.sparkSession
     added = ["host", "path", "rule", "verdict"]
@@ -82,7 +89,7 @@ def judge(urls: DataFrame, rules: Sequence[Rule], patterns: Sequence[Pattern] =
     parsed = hidden(urls, rest, host.alias("host"), path.alias("path")).withColumn("place", F.concat("host", "path"))
     kept = [c for c in parsed.columns if c.startswith("__kept")]
 
-    filed = [(r.rule, r.verdict, len(r.rule), r.regex(), tokens(r.rule)) for r in rules]
+    filed = [(r.rule, r.verdict, len(r.rule), r.regex(), r.tokens()) for r in rules]
     filed += [(None, BLOCK, 0, p.regex, [p.literal]) for p in patterns]
     words = sorted({t for *_, own in filed for t in own})
     if not all(own for *_, own in filed):
