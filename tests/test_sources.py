@@ -1,3 +1,9 @@
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from vecspark.sources import io
@@ -41,8 +47,8 @@ def test_bundles(spark, tmp_path):
         io.load_table(spark, path + "3", spark.range(1).schema)
 
 
-def test_entry_imports_without_the_llm_folder():
-    import __spark_entry__ as entry
-
-    names = entry.queries()
-    assert "detect_outliers" in names and set(entry.oracle_sql()) <= set(names)
+def test_entry_imports_without_the_llm_folders(tmp_path):
+    here, copy = Path(__file__).resolve().parent.parent, tmp_path / "copy"
+    shutil.copytree(here, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'detect_outliers' in q and 'pipeline' not in q; assert not any(x.startswith('op') for x in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
