@@ -179,6 +179,52 @@ def test_license_scan(spark):
     assert license_scan.scan(docs_of(spark, []).where("false")).count() == 0
 
 
+def licences_by_hand(text, templates, slack=license_scan.SLACK):
+    """(label, start) of every place of every template, tried at all starts."""
+    words = license_scan.words_of(text or "")
+    out = set()
+    for t in templates:
+        for start in range(-len(t.words) + 1, len(words)):
+            hits = sum(0 <= start + k < len(words) and words[start + k] == x for k, x in enumerate(t.words))
+            around = range(max(start - slack, 0), max(start + len(t.words) + slack, 1))
+            keys = [license_scan.words_of(k) for k in t.keys]
+            if hits >= t.need and all(any(words[k : k + len(key)] == key for k in around) for key in keys):
+                out.add((t.label, start, t.base))
+    return out
+
+
+def test_license_scan_finds_damaged_notices_like_brute_force(spark):
+    rng = random.Random(5)
+    templates = [*license_scan.BASE, *license_scan.NAMES, *license_scan.NOTICES]
+    texts, labels = [], []
+    for t in license_scan.NOTICES * 3:
+        words = license_scan.words_of(t.text)
+        spared = {x for k in t.keys for x in license_scan.words_of(k)}
+        for k in rng.sample(range(len(words)), int(len(words) * rng.choice([0.0, 0.1, 0.15, 0.4]))):
+            words[k] = words[k] if words[k] in spared else "zz"
+        cut = rng.choice([0, 0, 2])  # may take a part of a key phrase
+        texts.append(" ".join([*rng.choices(["the", "software", "license", "q"], k=rng.randrange(9)), *words[cut:]]))
+        labels.append((t.label, not cut and words.count("zz") <= len(words) - t.need))
+    texts += [None, "", "the " * 3000 + "software", "version 2 version 3 gnu general public license " * 4]
+    got = {r["doc_id"]: r for r in license_scan.scan(docs_of(spark, texts)).collect()}
+    for k, text in enumerate(texts):
+        by_hand = licences_by_hand(text, templates)
+        assert got[k]["labels"] == sorted({label for label, *_ in by_hand})
+        assert got[k]["base_starts"] == sorted(start for _, start, base in by_hand if base)
+    # All uncut notices with few enough words amiss are found.
+    assert sum(whole for _, whole in labels) >= 20
+    assert all(label in got[k]["labels"] for k, (label, whole) in enumerate(labels) if whole)
+
+
+def test_license_scan_with_own_templates(spark):
+    T = license_scan.Template
+    own = [T("one", "word"), T("twice", "a b a b", least=0.5), T("key", "u v w x y z", ("k k",), least=0.5), T("none", "")]
+    docs = docs_of(spark, ["a word", "a b", "a b a b a", "u v w 1 2 3 k k", "u v w x y z", "word word", "word word"])
+    got = [(r["labels"], r["score"]) for r in license_scan.scan(docs, own).orderBy("doc_id").collect()]
+    assert got == [(["one"], 1.0), (["twice"], 0.5), (["twice"], 1.0), (["key"], 0.5), ([], 0.0), (["one"], 1.0), (["one"], 1.0)]
+    assert license_scan.scan(docs, []).where("size(labels) = 0 AND score = 0").count() == 7
+
+
 def top_by_hand(rows, k, step):
     import math
 

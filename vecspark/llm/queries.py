@@ -156,23 +156,26 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 def _op1_sql() -> str:
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
-    rows = ",\n  ".join(
-        f"({k}, '{t.label}', {quoted(t.words)}, {quoted(t.key.split())}, {t.key_at}, {str(t.base).lower()})" for k, t in enumerate([*license_scan.BASE, *license_scan.NOTICES])
-    )
+    keys = lambda t: "[" + ", ".join(quoted(license_scan.words_of(k)) for k in t.keys) + "]::VARCHAR[][]"
+    templates = [*license_scan.BASE, *license_scan.NAMES, *license_scan.NOTICES]
+    rows = ",\n  ".join(f"({n}, '{t.label}', {quoted(t.words)}, {keys(t)}, {t.need}, {t.worth}, {str(t.base).lower()})" for n, t in enumerate(templates))
     return f"""
-WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-x AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
-t(n, label, notice, key, key_at, base) AS (VALUES
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+x AS (SELECT row, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+t(n, label, notice, keys, need, worth, base) AS (VALUES
   {rows}),
-c AS (SELECT doc_id, n, label, notice, base, p - key_at AS start, w FROM x JOIN t ON x.word = t.key[1] JOIN d USING (doc_id) WHERE w[p + 1:p + len(key)] = key),
-s AS (SELECT doc_id, label, base, start,
-      list_sum(list_transform(range(len(notice)), lambda k: CASE WHEN start + k >= 0 AND start + k < len(w) AND w[start + k + 1] = notice[k + 1] THEN 1 ELSE 0 END)) / len(notice) AS score FROM c),
-g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, max(score) AS score,
+y AS (SELECT n, unnest(notice) AS word, unnest(range(len(notice))) AS k FROM t),
+c AS (SELECT row, n, p - k AS start, count(*) AS hits FROM x JOIN y USING (word) GROUP BY ALL),
+s AS (SELECT row, label, base, start, CAST(hits AS DOUBLE) / len(notice) * CAST(worth AS DOUBLE) AS score
+      FROM c JOIN t USING (n) JOIN d USING (row)
+      WHERE hits >= need AND len(list_filter(keys, lambda key: len(list_filter(range(greatest(start - {license_scan.SLACK}, 0), greatest(start + len(notice) + {license_scan.SLACK}, 1)),
+            lambda k: w[k + 1:k + len(key)] = key)) = 0)) = 0),
+g AS (SELECT row, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, max(score) AS score,
       string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
-      FROM s WHERE score >= {license_scan.LEAST_SCORE} GROUP BY doc_id)
+      FROM s GROUP BY row)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
        coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
-FROM d LEFT JOIN g USING (doc_id)
+FROM d LEFT JOIN g USING (row)
 """
 
 
