@@ -150,17 +150,18 @@ def test_substring_dedup_keeps_spacing_and_clean_texts(spark):
 BENCH = [(1, "Q one two three four five six seven eight nine ten"), (2, "short item"), (3, None), (4, "..."), (None, "lonely words here"), (5, "one two three four five six seven eight nine ten")]
 
 
-@pytest.mark.parametrize("limit", [20_000, 0])
-def test_decontamination_both_ways(spark, limit):
+@pytest.mark.parametrize("limits", [(20_000, 0), (0, 20_000), (0, 0)])
+def test_decontamination_all_ways(spark, limits):
+    limit = dict(zip(("set_limit", "broadcast_limit"), limits))
     items = spark.createDataFrame(BENCH, "item_id long, text string")
     texts = ["a ONE two, three four five six seven-eight nine ten!", "has a Short Item inside", None, "", "one two three four five six seven eight nine", "lonely words here; short item"]
-    found = decontaminate.find_hits(docs_of(spark, texts, clash=True), items, set_limit=limit)
+    found = decontaminate.find_hits(docs_of(spark, texts, clash=True), items, **limit)
     out = decontaminate.with_items(found.withColumn("n_hit", F.size(decontaminate.hit_places())), decontaminate.item_grams(items), ["doc_id", "n_hit"])
     got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in out.collect()}
     assert got == {0: (10, [1, 5]), 1: (2, [2]), 2: (0, []), 3: (0, []), 4: (0, []), 5: (5, [2])}
     docs = docs_of(spark, texts)
-    assert {r["doc_id"] for r in decontaminate.drop_documents(docs, items, set_limit=limit).collect()} == {2, 3, 4}
-    cut = {r["doc_id"]: r["text"] for r in decontaminate.cut_spans(docs, items, set_limit=limit).collect()}
+    assert {r["doc_id"] for r in decontaminate.drop_documents(docs, items, **limit).collect()} == {2, 3, 4}
+    cut = {r["doc_id"]: r["text"] for r in decontaminate.cut_spans(docs, items, **limit).collect()}
     assert cut[0] == "a " and cut[1] == "has a inside" and cut[4] == texts[4] and cut[2] is None
 
 
@@ -243,8 +244,9 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     rows += [(k, [0.5, 0.5, 0.0, 0.0, 0.0]) for k in range(300, 330)]
     rows += [(400, None), (402, [1.0, None, 0.0, 0.0, 0.0]), (404, [float("nan")] * 5), (406, [float("inf")] * 5), (408, []), (410, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
-    for block in (65_536, 70):
+    for block, asked in ((65_536, 4_096), (70, 3)):
         monkeypatch.setattr(topk, "BLOCK_ROWS", block)
+        monkeypatch.setattr(topk, "QUERY_ROWS", asked)
         got = defaultdict(list)
         for r in sorted(topk.top_k(df.repartition(3), df.where("vec_id % 10 = 0"), k=20).collect(), key=lambda r: (r["query_id"], r["rank"])):
             got[r["query_id"]].append((r["vec_id"], r["score"]))

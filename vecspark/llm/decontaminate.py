@@ -6,8 +6,9 @@ a document is hit if it lies inside any occurrence of any window.
 
 The n-gram set of a benchmark is counted first.  Up to ``SET_LIMIT`` n-grams it goes
 to the executors as a hash set inside the expressions, and a document is judged in
-its own row: no text and no window is shuffled.  A larger benchmark is joined with
-the documents' windows by hash instead.  Both ways verify the words themselves.
+its own row: no text and no window is shuffled.  Of a larger benchmark, up to
+``BROADCAST_LIMIT`` n-grams, the hashes are broadcast and meet the documents' windows
+where these are; beyond, windows are shuffled.  All ways verify the words themselves.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from .common import fresh, plain_words
 
 #: N-grams that an expression may hold (about 4 MB); above, documents are joined.
 SET_LIMIT = 20_000
+#: N-grams whose hashes are broadcast (8 bytes each, about 100 MB as Spark's table of them).
+BROADCAST_LIMIT = 2_000_000
 _HITS = "array<struct<at:int,n:int,gram:string>>"
 
 
@@ -74,15 +77,22 @@ def _spelled(name: str, words: str, n: Column | None = None) -> Column:
     return F.transform(name, one)
 
 
-def _by_join(docs: DataFrame, grams: DataFrame, sizes: list[int], words: str, hits: str, row: str) -> DataFrame:
+def _by_join(docs: DataFrame, grams: DataFrame, sizes: list[int], words: str, hits: str, row: str, small: bool) -> DataFrame:
     """``docs`` with ``hits``; windows meet the n-grams in joins, for benchmarks of any size."""
-    grams = grams.select(F.col("n").alias("bench_n"), "gram", _hash(F.col("gram")).alias("bench_h"))
-    keys = grams.select("bench_h", "bench_n").distinct()
+    grams = grams.select("gram", _hash(F.col("gram")).alias("bench_h"))
+    keys = grams.select("bench_h").distinct()
     parts = F.concat(*(_sized(_windows(F.col(words), n), n) for n in sizes))
-    windows = docs.select(F.col(row).alias("row"), F.explode(parts).alias("x")).select("row", "x.*")
-    near = windows.join(keys, (F.col("h") == F.col("bench_h")) & (F.col("n") == F.col("bench_n")), "left_semi")
-    near = near.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("near"))
-    spelled = docs.select(F.col(row).alias("row"), words).join(near, "row").select("row", F.explode(_spelled("near", words)).alias("x"))
+    # Explode as outer: Spark would else work out all windows once more to find texts without any.
+    if small:
+        windows = docs.select(F.col(row).alias("row"), F.col(words).alias("w"), F.explode_outer(parts).alias("x"))
+        near = windows.join(F.broadcast(keys), F.col("x.h") == F.col("bench_h"), "left_semi")
+        gram = F.array_join(F.slice("w", F.col("x.at") + 1, F.col("x.n")), " ").alias("gram")
+        spelled = near.select("row", F.struct(F.col("x.at").alias("at"), F.col("x.n").alias("n"), gram).alias("x"))
+    else:
+        windows = docs.select(F.col(row).alias("row"), F.explode_outer(parts).alias("x")).select("row", "x.*")
+        near = windows.join(keys, F.col("h") == F.col("bench_h"), "left_semi")
+        near = near.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("near"))
+        spelled = docs.select(F.col(row).alias("row"), words).join(near, "row").select("row", F.explode(_spelled("near", words)).alias("x"))
     full = spelled.join(grams.select("gram").distinct(), F.col("x.gram") == F.col("gram"), "left_semi")
     full = full.groupBy("row").agg(F.sort_array(F.collect_list("x")).alias(hits)).withColumnRenamed("row", row)
     return docs.join(full, row, "left").withColumn(hits, F.coalesce(hits, F.array().cast(_HITS)))
@@ -96,11 +106,14 @@ def find_hits(
     item_text: str = "text",
     n: int = 10,
     set_limit: int = SET_LIMIT,
+    broadcast_limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """``docs`` with ``words`` (normalised) and ``hits``: place, word count and words of each benchmark window.
 
-    A null text has no words and no hits; an empty benchmark hits nothing.  Columns
-    of ``docs`` named ``words`` or ``hits`` are replaced.
+    A null text has no words and no hits; an empty benchmark hits nothing; an empty table
+    gives an empty one, and repeated rows are judged alike.  Columns of ``docs`` named
+    ``words`` or ``hits`` are replaced.  The limits choose the way, not the result; beyond
+    ``set_limit`` every reading of ``docs`` must give its rows in the same order.
     """
     docs = docs.drop("words", "hits").withColumn("words", plain_words(F.col(text_col)))
     # The row number keeps a filter on the hits from being moved below the words, where Spark
@@ -111,8 +124,8 @@ def find_hits(
     sized = grams.groupBy("n").count().collect()  # at most n rows
     if not sized:
         found = docs.withColumn("hits", F.array().cast(_HITS))
-    elif sum(r["count"] for r in sized) > set_limit:
-        found = _by_join(docs, grams, sorted(r["n"] for r in sized), "words", "hits", row)
+    elif (total := sum(r["count"] for r in sized)) > set_limit:
+        found = _by_join(docs, grams, sorted(r["n"] for r in sized), "words", "hits", row, total <= broadcast_limit)
     else:
         found = _by_set(docs, grams.select("gram", "n", _hash(F.col("gram")).alias("h")).collect(), "words", "hits")
     return found.withColumn("hits", F.when(F.col(row) >= 0, F.col("hits"))).drop(row)

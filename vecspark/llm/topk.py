@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import freed
 
-#: Rows of a block of the index, and queries that meet a block in one task.
-BLOCK_ROWS, QUERY_ROWS = 65_536, 128
+#: Rows of a block of the index, and the most queries that meet a block in one task (fewer, but not
+#: below ``LEAST_QUERY_ROWS``, where there would not be work for all cores).
+BLOCK_ROWS, QUERY_ROWS, LEAST_QUERY_ROWS = 65_536, 4_096, 128
 
 
 def quantised(vectors, scale: float) -> tuple[np.ndarray, np.ndarray]:
@@ -179,15 +180,15 @@ def _blocks(scale: float):
     return run
 
 
-def _query_blocks(scale: float):
+def _query_blocks(scale: float, rows: int):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             kept, found = quantised(batch.column(1), scale)
             ids, row = batch.column(0).to_numpy()[kept], batch.column(2).to_numpy()[kept]
-            for at in range(0, len(ids), QUERY_ROWS):
-                part = slice(at, at + QUERY_ROWS)
+            for at in range(0, len(ids), rows):
+                part = slice(at, at + rows)
                 values = (ids[part].tobytes(), row[part].tobytes(), found[part].tobytes(), found.shape[1])
                 types = (pa.binary(), pa.binary(), pa.binary(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, types)], names=["query_ids", "query_rows", "queries", "query_width"])
@@ -236,11 +237,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     base = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     blocks = base.coalesce(parts).mapInArrow(_blocks(scale), _BLOCK_TYPES)
     asked = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.monotonically_increasing_id().alias("row"))
-    asked = asked.coalesce(parts).mapInArrow(_query_blocks(scale), _QUERY_TYPES)
+    # A block of the index is sent once for each block of queries: these are as large as the cores allow.
+    n_asked, cores = queries.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    rows = min(QUERY_ROWS, max(LEAST_QUERY_ROWS, -(-n_asked * parts // (4 * cores))))
+    asked = asked.coalesce(parts).mapInArrow(_query_blocks(scale, rows), _QUERY_TYPES)
     # Every block of queries goes to each part of the index: equal parts meet.
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     pairs = asked.join(blocks, "part").drop("part")
-    tasks = max(1, parts * -(-queries.count() // QUERY_ROWS))
+    tasks = max(1, parts * -(-n_asked // rows))
     found = pairs.repartition(tasks, F.xxhash64("query_rows", "ids")).mapInArrow(freed(_search(k)), "query_id long, query_row long, vec_id long, score long, own boolean")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     near = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
