@@ -117,7 +117,12 @@ def test_outliers_find_planted_rows(spark):
     got = outliers.detect_outliers(df).collect()
     assert planted <= {r["gene_id"] for r in got if r["is_outlier"]}
     assert all(0 <= r["p_value"] <= 1 for r in got) and len(got) == len(rows)
+    details = outliers.family_scaling_details(df).collect()
+    cutoff = np.quantile([r["y"] for r in details], 0.01)
+    assert all(r["low_sd_cutoff"] == pytest.approx(cutoff) and r["used"] == (r["y"] >= r["low_sd_cutoff"]) for r in details)
+    assert sum(not r["used"] for r in details) == 1 and all(r["n"] == 100 and r["dscale"] == pytest.approx(2 ** r["fitted"]) for r in details)
     lone = spark.createDataFrame([(1, 1, 2.0), (2, None, 1.0)], "gene_id int, family_id int, distance double")
+    assert [(r["n"], r["fitted"], r["used"], r["dscale"]) for r in outliers.family_scaling_details(lone).collect()] == [(None, None, False, 0.0)]
     assert [r["dscale"] for r in outliers.family_scaling(lone).collect()] == [0.0]
     assert {r["gene_id"]: r["rdi"] for r in outliers.rdi(lone, outliers.family_scaling(lone)).collect()} == {1: 0.0, 2: -1.0}
 
@@ -208,6 +213,35 @@ def test_histograms_and_divergence(spark):
     assert zero["jsd"] == pytest.approx(0)
 
 
+def test_family_divergences_and_scores(spark):
+    rows = [(s, f, 1, v) for f, one, two in ((1, (-1.5, 0.5), (-1.5, 0.5)), (2, (-1.5, -1.2, -1.1), (1.5, 1.2, 1.1)), (None, (1.0,), (0.0,))) for s, vs in (("F", one), ("O", two)) for v in vs]
+    resid = spark.createDataFrame(rows, "study string, family_id int, point int, resid double")
+    found = integration.family_jsd(resid, ("F", "O"), 2.0, 4)
+    got = {r["family_id"]: r for r in integration.family_contribution_scores(found).collect()}
+    assert set(got) == {1, 2} and got[1]["jsd"] == pytest.approx(0) and got[2]["jsd"] == pytest.approx(integration.MAX_JSD)
+    assert [got[k]["weight"] for k in (1, 2)] == pytest.approx([0.4, 0.6]) and got[2]["score"] == pytest.approx(0.6 * integration.MAX_JSD)
+    assert integration.family_contribution_scores(found.where("false")).count() == 0
+
+
+def test_lookups_and_checks(spark):
+    vec = vectors(spark, [("a", 1, (1, 2)), ("b", None, (3, 6))])
+    asked = spark.createDataFrame([("a",), ("x",)], "gene_id string")
+    assert {r["gene_id"]: (r["v"], r["found"]) for r in families.lookup(vec, asked, "gene_id").collect()} == {"a": ([1, 2], True), "x": (None, False)}
+    assert [r["gene_id"] for r in families.filter_unassigned(vec).collect()] == ["a"]
+    centroids = spark.createDataFrame([(1, [1.0, 2.0]), (2, [NAN, 0.0])], "family_id int, c array<double>")
+    assert quality.check_centroids(centroids).count() == 1
+    traj = spark.createDataFrame([("s", "f", k, float(v)) for k, v in enumerate((2, 4, 9))], "sample string, factor string, t int, value double")
+    assert trajectories.baselines(traj).first()["baseline"] == 5
+
+
+def test_neighbourhoods_hold_all_residuals_of_near_genes(spark):
+    means = spark.createDataFrame([(f"g{k}", float(k)) for k in range(6)], "gene_id string, mean double")
+    points = spark.createDataFrame([(1, 0.2), (2, 4.4)], "point int, x double")
+    resid = spark.createDataFrame([(f"g{k}", r, k + r / 10) for k in range(6) for r in range(2)], "gene_id string, replicate int, resid double")
+    got = sorted((r["point"], r["rank"], r["gene_id"], r["replicate"]) for r in integration.construct_neighborhoods(points, means, resid, 2).collect())
+    assert got == [(p, k, g, r) for p, k, g in ((1, 1, "g0"), (1, 2, "g1"), (2, 1, "g4"), (2, 2, "g5")) for r in range(2)]
+
+
 def test_reference_points(spark):
     means = spark.createDataFrame([("s", f"g{k:03d}", float(k)) for k in range(101)] + [("s", "gx", NAN)], "study string, gene_id string, mean double")
     points = integration.pool_means(means, 3)

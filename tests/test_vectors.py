@@ -31,6 +31,9 @@ def test_angles_and_norms(spark):
     assert one(spark, V.rms_normalize("a"), a=(3, 3)) == [1, 1]
     assert one(spark, V.clock_hand_angle("a", "b"), a=(1, 0), b=(0, -1)) == pytest.approx(-math.pi / 2)
     assert one(spark, V.clock_hand_angle("a", "b"), a=(1, 0, 0), b=(0, -1, 0)) == pytest.approx(math.pi / 2)
+    for normal, sign in (((0, 0, 1), -1), ((0, 0, -1), 1), ((1, 1, 1), -1), ((1, 0, 0), 1)):
+        assert one(spark, V.clock_hand_angle("a", "b", normal), a=(1, 0, 0), b=(0, -1, 0)) == pytest.approx(sign * math.pi / 2)
+    assert one(spark, V.clock_hand_angle("a", "b", (0, 0, 1), (2, 3, 0)), a=(0, 0, 1, 0), b=(0, 0, 0, -1)) == pytest.approx(-math.pi / 2)
     assert one(spark, V.rap_project("a"), a=(1, 2, 3)) == [-1, 0, 1]
     assert one(spark, V.rap_project_field("a", "b"), a=(1, 2), b=(1, 0)) == [-1, 1]
 

@@ -20,6 +20,11 @@ def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(value, use) -> Column:
+    """``use(value)`` with the value worked out once a row, not once for each place or component that uses it."""
+    return F.get(F.transform(F.array(_col(value)), use), F.lit(0))
+
+
 def total(v) -> Column:
     """Sum of the components."""
     return F.aggregate(_col(v), F.lit(0.0), lambda acc, x: acc + x)
@@ -63,8 +68,7 @@ def angle_between(a, b) -> Column:
 
 def unit_normalize(v) -> Column:
     """Vector of length 1; null where the length is about 0 (1e-12)."""
-    size = vec_norm(v)
-    return F.when(size > 1e-12, F.transform(_col(v), lambda x: x / size))
+    return bound(v, lambda v: bound(vec_norm(v), lambda size: F.when(size > 1e-12, F.transform(v, lambda x: x / size))))
 
 
 def log_base(x, base) -> Column:
@@ -80,8 +84,8 @@ def log2p1(v) -> Column:
 
 def rms_normalize(v) -> Column:
     """Vector over the root of its mean square; a zero vector stays."""
-    rms = F.sqrt(total(F.transform(_col(v), lambda x: x * x)) / F.size(_col(v)))
-    return F.when(rms > 0, F.transform(_col(v), lambda x: x / rms)).otherwise(_col(v))
+    rms = lambda v: F.sqrt(total(F.transform(v, lambda x: x * x)) / F.size(v))
+    return bound(v, lambda v: bound(rms(v), lambda size: F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(v)))
 
 
 def clamp(x, low, high) -> Column:
@@ -148,8 +152,7 @@ def versatility(v, axes: Sequence[int] | None = None) -> Column:
 def rap_project(v, axes: Sequence[int] | None = None) -> Column:
     """Projection onto the plane through the origin that is orthogonal to the diagonal of the axes."""
     v = _col(v) if axes is None else select_axes(v, axes)
-    mean = total(v) / F.size(v)
-    return F.transform(v, lambda x: x - mean)
+    return bound(v, lambda v: bound(total(v) / F.size(v), lambda mean: F.transform(v, lambda x: x - mean)))
 
 
 def rap_project_field(minuend, subtrahend, axes: Sequence[int] | None = None) -> Column:
@@ -157,16 +160,24 @@ def rap_project_field(minuend, subtrahend, axes: Sequence[int] | None = None) ->
     return rap_project(vec_subtract(minuend, subtrahend), axes)
 
 
-def clock_hand_angle(a, b) -> Column:
+def clock_hand_angle(a, b, normal: Sequence[float] | None = None, axes: Sequence[int] = (0, 1, 2)) -> Column:
     """Signed angle (radians) from unit vector a to unit vector b of a projection plane.
 
-    Two axes: the determinant's sign (0 counts as positive).  One axis, or three and more,
-    where two vectors alone have no orientation: positive.
+    Two axes: the determinant's sign (0 counts as positive).  Three and more: the sign of
+    the triple product of a, b and ``normal`` over three ``axes`` (0 counts as positive);
+    without a normal, as two vectors alone have no orientation, positive.  One axis: positive.
     """
-    a, b = _col(a), _col(b)
-    angle = F.acos(unit(dot(a, b)))
-    det = F.get(a, F.lit(0)) * F.get(b, F.lit(1)) - F.get(a, F.lit(1)) * F.get(b, F.lit(0))
-    return F.when((F.size(a) == 2) & (det < 0), -angle).otherwise(angle)
+
+    def signed(a: Column, b: Column) -> Column:
+        det = lambda i, j: F.get(a, F.lit(i)) * F.get(b, F.lit(j)) - F.get(a, F.lit(j)) * F.get(b, F.lit(i))
+        turn = F.when(F.size(a) == 2, det(0, 1))
+        if normal is not None:
+            i, j, k = axes
+            x, y, z = map(float, normal)
+            turn = turn.when(F.size(a) > 2, det(j, k) * x + det(k, i) * y + det(i, j) * z)
+        return F.acos(unit(dot(a, b))) * F.when(turn < 0, -1.0).otherwise(1.0)
+
+    return bound(a, lambda a: bound(b, lambda b: signed(a, b)))
 
 
 def axis_contributions(v) -> Column:
@@ -174,9 +185,12 @@ def axis_contributions(v) -> Column:
 
     Null where that sum is below 1e-8 or a component is not finite.
     """
-    size = total(F.transform(_col(v), lambda x: F.abs(x)))
-    fine = F.forall(_col(v), lambda x: is_finite(x)) & (size >= 1e-8)
-    return F.when(fine, F.transform(_col(v), lambda x: F.abs(x) / size))
+
+    def shares(size: Column) -> Column:
+        fine = F.forall(_col(v), lambda x: is_finite(x)) & (size >= 1e-8)
+        return F.when(fine, F.transform(_col(v), lambda x: F.abs(x) / size))
+
+    return bound(total(F.transform(_col(v), lambda x: F.abs(x))), shares)
 
 
 def rounded(v, digits: int = 6) -> Column:

@@ -60,24 +60,37 @@ def family_scaling(df: DataFrame, family_col: str = "family_id", distance_col: s
     (within the range of the fit).  Families of one row get 0; where all means are equal,
     every family gets the median sd.
     """
+    return family_scaling_details(df, family_col, distance_col, span, degree).select(family_col, "dscale")
+
+
+def family_scaling_details(df: DataFrame, family_col: str = "family_id", distance_col: str = "distance", span: float = 0.7, degree: int = 2) -> DataFrame:
+    """(family, n, mean, sd, x, y, low_sd_cutoff, used, fitted, dscale): ``family_scaling`` and what it rests on.
+
+    ``x`` and ``y`` are log2 of mean and sd as fitted; ``used`` families have a ``y`` of
+    ``low_sd_cutoff`` or more; ``fitted`` is the curve's y (null where there is no curve).
+    Families of one row have null but for ``used`` (false) and ``dscale`` (0).
+    """
     stats, _ = stored(family_stats(df, family_col, distance_col))
     every = df.where(F.col(family_col).isNotNull()).select(family_col).distinct()
     if stats.isEmpty():
-        return every.withColumn("dscale", F.lit(0.0))
+        none = {c: F.lit(None).cast(t) for c, t in (("n", "long"), *((c, "double") for c in ("mean", "sd", "x", "y", "low_sd_cutoff")))}
+        return every.withColumns(none).withColumns({"used": F.lit(False), "fitted": F.lit(None).cast("double"), "dscale": F.lit(0.0)})
     p5, mid = (quantiles(stats, c, [share]).first()["q"][0] for c, share in (("mean", 0.05), ("sd", 0.5)))
     eps_mean, eps_sd = max(p5, 1e-12), max(1e-13 * mid, 1e-12)
-    logs = stats.withColumns({"lx": F.log2(F.col("mean") + eps_mean), "ly": F.log2(F.col("sd") + eps_sd)})
-    low_sd = quantiles(logs, "ly", [0.01]).first()["q"][0]
-    used = logs.where(F.col("ly") >= low_sd)
-    reach = used.agg(F.min("lx"), F.max("lx")).first()
+    logs = stats.withColumns({"x": F.log2(F.col("mean") + eps_mean), "y": F.log2(F.col("sd") + eps_sd)})
+    low_sd = quantiles(logs, "y", [0.01]).first()["q"][0]
+    logs = logs.withColumns({"low_sd_cutoff": F.lit(float(low_sd)), "used": F.col("y") >= low_sd})
+    used = logs.where("used")
+    reach = used.agg(F.min("x"), F.max("x")).first()
     if reach[1] - reach[0] <= 1e-12:
-        scaled = logs.select(family_col, F.lit(float(mid)).alias("dscale"))
+        scaled = logs.withColumns({"fitted": F.lit(None).cast("double"), "dscale": F.lit(float(mid))})
     else:
-        curve = fit_loess(used, "lx", "ly", span=span, degree=degree, robust=True)
-        at = F.greatest(F.lit(reach[0]), F.least(F.col("lx"), F.lit(reach[1])))
-        fitted = curve.column(at, F.col("ly"))
-        scaled = logs.select(family_col, F.greatest(F.pow(F.lit(2.0), fitted) - eps_sd, F.lit(0.0)).alias("dscale"))
-    return every.join(scaled, family_col, "left").withColumn("dscale", F.coalesce("dscale", F.lit(0.0)))
+        curve = fit_loess(used, "x", "y", span=span, degree=degree, robust=True)
+        at = F.greatest(F.lit(reach[0]), F.least(F.col("x"), F.lit(reach[1])))
+        scaled = logs.withColumn("fitted", curve.column(at, F.col("y")))
+        scaled = scaled.withColumn("dscale", F.greatest(F.pow(F.lit(2.0), "fitted") - eps_sd, F.lit(0.0)))
+    full = every.join(scaled, family_col, "left")
+    return full.withColumns({"used": F.coalesce("used", F.lit(False)), "dscale": F.coalesce("dscale", F.lit(0.0))})
 
 
 def rdi(df: DataFrame, scaling: DataFrame, family_col: str = "family_id", distance_col: str = "distance", out: str = "rdi") -> DataFrame:

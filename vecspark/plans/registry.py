@@ -209,6 +209,16 @@ def clock_hand_angle(spark, d):
     return T.vectors(spark, d).select("gene_id", V.clock_hand_angle(a, b).alias("angle")).select("gene_id", r6("angle"))
 
 
+@query(f"""{W('vec')}, p AS (SELECT gene_id, v[1:32] AS a, v[33:64] AS b FROM vec),
+q AS (SELECT gene_id, list_transform(a, lambda x: x - list_avg(a)) AS a, list_transform(b, lambda x: x - list_avg(b)) AS b FROM p),
+s AS (SELECT gene_id, a, b, sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)) AS n,
+      a[2] * b[3] - a[3] * b[2] + a[3] * b[1] - a[1] * b[3] + a[1] * b[2] - a[2] * b[1] AS turn FROM q)
+SELECT gene_id, round(acos(greatest(-1, least(1, list_dot_product(a, b) / n))) * CASE WHEN turn < 0 THEN -1 ELSE 1 END, 6) AS angle FROM s""")
+def clock_hand_angle_oriented(spark, d):
+    a, b = (V.unit_normalize(V.rap_project("v", range(k, k + 32))) for k in (0, 32))
+    return T.vectors(spark, d).select("gene_id", V.clock_hand_angle(a, b, normal=(1, 1, 1)).alias("angle")).select("gene_id", r6("angle"))
+
+
 @query(_vector_sql("list_transform(v, lambda x: abs(x) / list_sum(list_transform(v, lambda q: abs(q))))"))
 def axis_contributions(spark, d):
     return flat(T.vectors(spark, d), "gene_id", V.axis_contributions("v"))
@@ -270,6 +280,16 @@ def family_scaling(spark, d):
     return outliers.family_scaling(T.distances(spark, d))
 
 
+@query(f"""{W('dist')}, s AS (SELECT family_id, count(*) AS n, avg(distance) AS mean, stddev_samp(distance) AS sd FROM dist WHERE distance >= 0 GROUP BY 1 HAVING count(*) > 1),
+e AS (SELECT greatest(quantile_cont(mean, 0.05), 1e-12) AS em, greatest(1e-13 * quantile_cont(sd, 0.5), 1e-12) AS es FROM s),
+l AS (SELECT family_id, n, mean, sd, log2(mean + em) AS x, log2(sd + es) AS y FROM s, e), c AS (SELECT quantile_cont(y, 0.01) AS low FROM l)
+SELECT family_id, n, round(mean, 6) AS mean, round(sd, 5) AS sd, round(x, 6) AS x, round(y, 5) AS y, coalesce(y >= low, false) AS used
+FROM (SELECT DISTINCT family_id FROM dist WHERE family_id IS NOT NULL) LEFT JOIN l USING (family_id), c""")
+def family_scaling_points(spark, d):
+    t = outliers.family_scaling_details(T.distances(spark, d))
+    return t.select("family_id", "n", r6("mean"), F.round("sd", 5).alias("sd"), r6("x"), F.round("y", 5).alias("y"), "used")
+
+
 @query(f"""{W('dist')}, s AS (SELECT family_id, avg(distance) AS dscale FROM dist GROUP BY 1)
 SELECT gene_id, round(CASE WHEN dscale <= 1e-12 THEN 0 ELSE distance / dscale END, 6) AS rdi FROM dist JOIN s USING (family_id)""")
 def rdi(spark, d):
