@@ -81,7 +81,7 @@ def dropped(spark: SparkSession, path: str) -> None:
 # --- bytes of texts, inside tasks ---------------------------------------------------
 
 #: Bytes of text that a task works on at once; a longer text is one piece by itself.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def text_slices(column):
@@ -170,18 +170,25 @@ def run_hashes(hashes: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
 
 
 def freed(run):
-    """``run`` (batches to batches) that gives memory back to the system at a task's end, as Python workers go on to other tasks."""
+    """``run`` (batches to batches) that gives unused memory back to the system, as Python workers go on to other tasks.
 
-    def whole(batches):
+    At a task's end, and at its start, as only then Spark has dropped the broadcast values of earlier jobs.
+    """
+
+    def release():
         import ctypes
 
         import pyarrow as pa
 
+        pa.default_memory_pool().release_unused()
+        getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+    def whole(batches):
+        release()
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+            release()
 
     return whole
 

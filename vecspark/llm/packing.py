@@ -23,7 +23,7 @@ from .common import freed
 #: Documents of a random group, and how many groups' documents are drawn from at once.
 GROUP, DRAWN = 2048, 4
 #: Tokens after which a draw is closed early, and words that a task remembers.
-DRAW_TOKENS, KNOWN_WORDS = 8_000_000, 250_000
+DRAW_TOKENS, KNOWN_WORDS = 8_000_000, 100_000
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
@@ -216,7 +216,7 @@ def _packed(vocabulary, capacity: int, end_id: int, rest: list[str], out_names:
             for k in range(len(column)):
                 text.append(column[k].as_py() or "")
                 size += len(text[-1])
-                if size > 1 << 21:
+                if size > 1 << 20:
                     yield text
                     text, size = [], 0
             if text:

@@ -82,7 +82,9 @@ def _label_counts(batches):
             np.add.at(counts, kind[at : at + n][doc] << BITS | bucket, 1)
     counts = counts.reshape(2 * FOLDS, 1 << BITS)
     used = np.flatnonzero(counts.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(c[used].astype(np.int64)) for c in counts)], names=["bucket", *_COUNTS])
+    for at in range(0, len(used), 1 << 16):
+        part = used[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(c[part].astype(np.int64)) for c in counts)], names=["bucket", *_COUNTS])
 
 
 def _chosen(counts: DataFrame, sizes: dict, folds: list[int], features: int, smoothing: float, least: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -234,8 +236,7 @@ def scorer(spark, model: Model):
         buckets, weights, intercept = shared.value
         weight = np.zeros(1 << BITS, np.float32)
         weight[buckets] = weights
-        for texts in batches:
-            yield pa.array(_text_scores(intercept, weight, texts))
+        yield from freed(lambda parts: (pa.array(_text_scores(intercept, weight, texts)) for texts in parts))(batches)
 
     from collections.abc import Iterator
 
