@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, license_scan, packing, sharding, simhash, substring_dedup, topk, toxicity, url_filter
+from . import decontaminate, langid, license_scan, packing, pieces, sharding, simhash, substring_dedup, topk, toxicity, url_filter
 from .common import table
 
 #: Bytes of text of a shard.
@@ -111,6 +111,25 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~langid.learnable("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def piece_model_path() -> str:
+    """The model of the SentencePiece query."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SentencePiece ids of each document and the text that they decode to, as hashes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pieces.encode_pieces(docs, pieces.load_model(piece_model_path()), decoded_col="decoded")
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
@@ -123,6 +142,7 @@ def queries() -> dict:
         "op8_simhash": op8_simhash,
         "op9_url_filter": op9_url_filter,
         "op10_langid": op10_langid,
+        "op13_sentencepiece": op13_sentencepiece,
     }
 
 
