@@ -97,7 +97,7 @@ def pack(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
     return done
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The printable character that byte-level vocabularies write for each byte."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     odd = [b for b in range(256) if b not in plain]
@@ -125,7 +125,7 @@ class WordTokens:
         self.ends = np.zeros(max(told["model"]["vocab"].values()) + 1, bool)
         self.ends[[k for word, k in told["model"]["vocab"].items() if word.endswith(ends)]] = True
         told |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
-        self.letters = str.maketrans(_byte_letters())
+        self.letters = str.maketrans(byte_letters())
         self.bare = Tokenizer.from_str(json.dumps(told))
         self.known: dict[str, int] = {}
         self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)

@@ -381,7 +381,7 @@ def encode_pieces(docs: DataFrame, model: PieceModel, text_col: str = "text", id
     kept = [F.col(f"`{c}`") for c in rest]
     added: dict[str, Column] = {ids_col: F.array().cast("array<int>")} | ({decoded_col: F.lit("")} if decoded_col else {})
     schema = docs.select(*kept).withColumns(added).schema
-    return docs.select(F.col(f"`{text_col}`").alias("__text"), *kept).mapInArrow(_encoded(_shared_model(docs, model), rest, names, bool(decoded_col)), schema)
+    return docs.select(F.col(f"`{text_col}`"), *kept).mapInArrow(_encoded(_shared_model(docs, model), rest, names, bool(decoded_col)), schema)
 
 
 def decode_pieces(encoded: DataFrame, model: PieceModel, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
@@ -404,4 +404,4 @@ def decode_pieces(encoded: DataFrame, model: PieceModel, ids_col: str = "ids", d
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*rest, decoded_col])
 
     kept = encoded.select(*(F.col(f"`{c}`") for c in rest))
-    return kept.mapInArrow(freed(run), kept.withColumn(decoded_col, F.lit("")).schema)
+    return kept.mapInArrow(freed(run), kept.withColumn(decoded_col, F.lit(None).cast("string")).schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, license_scan, packing, pieces, sharding, simhash, substring_dedup, topk, toxicity, url_filter
+from . import alignment, decontaminate, langid, license_scan, packing, pieces, sharding, simhash, substring_dedup, topk, toxicity, url_filter
 from .common import table
 
 #: Bytes of text of a shard.
@@ -130,6 +130,18 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def alignment_sides() -> dict:
+    """The byte-level vocabulary and the piece model of the alignment query."""
+    import public_tokenizers
+
+    return alignment.load_sides(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, pieces.load_model(piece_model_path()))
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two vocabularies overlap in each document, and how usual these links are."""
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), alignment_sides())
+
+
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
@@ -142,6 +154,7 @@ def queries() -> dict:
         "op8_simhash": op8_simhash,
         "op9_url_filter": op9_url_filter,
         "op10_langid": op10_langid,
+        "op11_alignment": op11_alignment,
         "op13_sentencepiece": op13_sentencepiece,
     }
 
