@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, langid, license_scan, packing, pieces, sharding, simhash, substring_dedup, topk, toxicity, url_filter
+from . import alignment, conversations, decontaminate, langid, license_scan, packing, pieces, sharding, simhash, substring_dedup, topk, toxicity, url_filter
 from .common import table
 
 #: Bytes of text of a shard.
@@ -142,6 +142,12 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), alignment_sides())
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The faults of each damaged conversation and its cheapest repair."""
+    found = conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+    return found.withColumnRenamed("conv", "conv_id")
+
+
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
@@ -155,6 +161,7 @@ def queries() -> dict:
         "op9_url_filter": op9_url_filter,
         "op10_langid": op10_langid,
         "op11_alignment": op11_alignment,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_sentencepiece": op13_sentencepiece,
     }
 
