@@ -2,38 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import euclidean_distance, unit_normalize
+from ..functions.vectors import unit_normalize
+from .metric_index import MetricIndex, build_index, nearest, within
+from .reshape import global_rank
 
-#: Query rows that go to every executor in one piece; more are joined in blocks of this size.
-BLOCK = 4096
 
-
-def _pairs(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, vector: str) -> DataFrame:
-    """(query_id, id, distance): blocks of queries, packed into one row each, meet the points."""
-    asked = queries.select(query_id, F.col(vector).alias("q"))
-    blocks = max(1, -(-asked.count() // BLOCK))
-    packed = asked.groupBy(F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(query_id, "q")).alias("queries"))
-    if blocks == 1:
-        packed = F.broadcast(packed)  # one block at most
-    met = points.select(F.col(point_id).alias("id"), F.col(vector).alias("v")).crossJoin(packed)
-    return met.select("id", "v", F.explode("queries").alias("x")).select(F.col(f"x.{query_id}").alias(query_id), "id", euclidean_distance("x.q", "v").alias("distance"))
-
-
-def cart_neighbors(queries: DataFrame, points: DataFrame, k: int | None = None, radius: float | None = None, query_id: str = "query_id", point_id: str = "gene_id", vector: str = "v") -> DataFrame:
+def cart_neighbors(queries: DataFrame, points: DataFrame | MetricIndex, k: int | None = None, radius: float | None = None, query_id: str = "query_id", point_id: str = "gene_id", vector: str = "v") -> DataFrame:
     """(query_id, id, distance, rank): each query's ``k`` nearest points, or all within ``radius``, or both.
 
-    Ties go by id.  Distances that are null (vectors of unequal length) take no part.
+    ``points`` may be an index of them (``metric_index.build_index``), which then serves any
+    number of calls.  Ties go by id.  Distances that are null (vectors of unequal length)
+    take no part.  Without ``k`` a query may have any number of neighbours; they are ranked
+    over range partitions.
     """
     if k is None and radius is None:
         raise ValueError("give k, radius or both")
-    pairs = _pairs(queries, points, query_id, point_id, vector).where("distance IS NOT NULL")
-    if radius is not None:
-        pairs = pairs.where(F.col("distance") <= radius)
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy("distance", "id")))
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    index = points if isinstance(points, MetricIndex) else build_index(points, point_id, vector)
+    if k is not None:
+        return nearest(queries, index, k, radius, query_id, vector)
+    return global_rank(within(queries, index, radius, query_id, vector), "distance", ["id"], [query_id]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def sphere_neighbors(queries: DataFrame, points: DataFrame, k: int | None = None, radius: float | None = None, query_id: str = "query_id", point_id: str = "gene_id", vector: str = "v") -> DataFrame:

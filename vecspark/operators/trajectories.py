@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..sources.storage import dropped, stored
 from .reshape import global_rank
 
 KEYS = ("sample", "factor")
@@ -88,7 +91,8 @@ def contribution_permutation_test(traj: DataFrame, factor: str, dependent: str,
     Each permutation keeps a sample's factor and takes the dependent of another sample,
     drawn by a hash of seed, sample and permutation.  Returns (sample, t, contribution,
     p_value) and (sample, total, p_value); p is the share of permutations that reach the
-    observed value (NaN never does).  At least two samples are needed.
+    observed value (NaN never does).  At least two samples are needed.  Times that either
+    side lacks (no row, or null) take no part; of repeated rows the smallest value counts.
     """
     one = traj.where(F.col("factor").isin(factor, dependent))
     local, whole = _permuted(one, [factor], [dependent], permutations, mode, seed)
@@ -103,29 +107,155 @@ def contribution_permutation_tests(traj: DataFrame, permutations: int = 1000, mo
     return _permuted(traj, None, None, permutations, mode, seed)
 
 
+#: Samples of a block at most, and products held at once.
+BLOCK_SAMPLES, HELD_PRODUCTS = 1024, 1 << 21
+
+
+def _series(centred: DataFrame, factors: list, times: list) -> DataFrame:
+    """(sample, cells, values): each sample's known values, and their places factor by factor, time by time."""
+    spark = centred.sparkSession
+    f = spark.createDataFrame(list(enumerate(factors)), T.StructType([T.StructField("fi", T.LongType()), centred.schema["factor"]]))
+    t = spark.createDataFrame(list(enumerate(times)), T.StructType([T.StructField("ti", T.LongType()), centred.schema["t"]]))
+    placed = centred.join(F.broadcast(f), "factor").join(F.broadcast(t), "t").where("value IS NOT NULL")
+    cells = placed.groupBy("sample", (F.col("fi") * len(times) + F.col("ti")).alias("cell")).agg(F.min("value").alias("value"))
+    both = F.array_sort(F.collect_list(F.struct("cell", F.col("value").cast("double").alias("value"))))
+    return cells.groupBy("sample").agg(both.alias("s")).select("sample", F.col("s.cell").alias("cells"), F.col("s.value").alias("values"))
+
+
+class _Block:
+    """A block of samples with all their draws; partners stream through, and only counts stay."""
+
+    def __init__(self, n_factors: int, n_times: int, left: list[int], right: list[int]):
+        self.shape, self.left, self.right = (n_factors, n_times), left, right
+        self.k, self.own, self.draws = [], [], []
+        self.ready = False
+
+    def dense(self, cells, values) -> np.ndarray:
+        """Values by factor and time; where there is none, a NaN that the second array marks."""
+        out = np.zeros((2, self.shape[0] * self.shape[1]))
+        out[0, cells], out[1, cells] = values, 1
+        return out.reshape(2, *self.shape)
+
+    def add(self, k: int, cells, values, draws) -> None:
+        self.k.append(k)
+        self.own.append(self.dense(cells, values))
+        self.draws.append(draws)
+
+    def _products(self, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Products (rows, factor, dependent, time), which are there, totals, and which pairs have any."""
+        f, d = own[:, :, self.left, None, :], other[:, :, None, self.right, :]
+        local, there = f[:, 0] * d[:, 0], (f[:, 1] * d[:, 1]) > 0
+        total = np.zeros(local.shape[:-1])
+        for t in range(self.shape[1]):  # the same order for every row, so equal series have equal totals
+            total += np.where(there[..., t], local[..., t], 0.0)
+        return local, there, total, there.any(axis=-1)
+
+    def start(self) -> None:
+        self.own = np.array(self.own)
+        size = [len(x) for x in self.draws]
+        other, sample = np.concatenate([np.zeros(0, np.int64), *self.draws]).astype(np.int64), np.repeat(np.arange(len(self.k)), size)
+        pairs, self.times = np.unique(np.stack([other, sample]), axis=1, return_counts=True)
+        self.other, self.sample = pairs
+        self.local, self.there, self.total, self.any = self._products(self.own, self.own)
+        self.local_n, self.total_n = np.zeros(self.local.shape, np.int64), np.zeros(self.total.shape, np.int64)
+        self.ready = True
+
+    def partners(self, k: list[int], series: list[np.ndarray]) -> None:
+        """Counts all draws of these partners."""
+        if not self.ready:
+            self.start()
+        series, k = np.array(series), np.array(k)
+        begin, end = np.searchsorted(self.other, k), np.searchsorted(self.other, k, "right")
+        rows = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b) for a, b in zip(begin, end))])
+        which = np.repeat(np.arange(len(k)), end - begin)
+        step = max(1, HELD_PRODUCTS // max(1, self.local[0].size))
+        for at in range(0, len(rows), step):
+            row = rows[at : at + step]
+            order = np.argsort(self.sample[row], kind="stable")
+            row, partner = row[order], which[at : at + step][order]
+            sample, times = self.sample[row], self.times[row]
+            local, there, total, some = self._products(self.own[sample], series[partner])
+            starts = np.flatnonzero(np.diff(sample, prepend=-1))
+            reached = (local >= self.local[sample]) & there & self.there[sample]
+            self.local_n[sample[starts]] += np.add.reduceat(reached * times[:, None, None, None], starts)
+            reached = (total >= self.total[sample]) & some & self.any[sample]
+            self.total_n[sample[starts]] += np.add.reduceat(reached * times[:, None, None], starts)
+
+    def rows(self):
+        """(k, place, observed, reached) of pairs and times, then of pairs alone (place -1 - pair), that are there."""
+        if not self.ready:
+            self.start()
+        for n, k in enumerate(self.k):
+            there, any_ = np.flatnonzero(self.there[n]), np.flatnonzero(self.any[n])
+            yield k, np.concatenate([there, -1 - any_]), np.concatenate([self.local[n].ravel()[there], self.total[n].ravel()[any_]]), np.concatenate([self.local_n[n].ravel()[there], self.total_n[n].ravel()[any_]])
+
+
 def _permuted(traj: DataFrame, factors: list[str] | None, dependents: list[str] | None, permutations: int, mode: str, seed: int) -> tuple[DataFrame, DataFrame]:
-    centred = _centred(traj, mode)
-    f = centred if factors is None else centred.where(F.col("factor").isin(factors))
-    d = centred if dependents is None else centred.where(F.col("factor").isin(dependents))
-    f = f.select("sample", "factor", "t", F.col("value").alias("f"))
-    d = d.select("sample", F.col("factor").alias("dependent"), "t", F.col("value").alias("d"))
-    # A number for each sample.
-    places = global_rank(traj.select("sample").where("sample IS NOT NULL").distinct(), "sample", [], out="k").withColumn("k", F.col("k") - 1)
+    """Both tables of p-values by blocks of samples.
+
+    A block of samples meets each of its partners once, whatever the number of draws, and
+    takes all products of a batch of partners at once.  What a task holds is its block, a
+    batch, and counts; partners stream through it in any number.
+    """
+    spark = traj.sparkSession
+    known = traj.where("sample IS NOT NULL AND factor IS NOT NULL AND t IS NOT NULL")
+    # Every sample's series has these axes, so they fit where one series does.
+    names = sorted(r[0] for r in known.select("factor").distinct().collect())
+    times = sorted(r[0] for r in known.select("t").distinct().collect())
+    left, right = ([k for k, x in enumerate(names) if some is None or x in some] for some in (factors, dependents))
+    places = global_rank(known.select("sample").distinct(), "sample", [], out="k").withColumn("k", F.col("k") - 1)
+    places, _ = stored(places)
     n = places.count()
-    places = places.withColumn("n", F.lit(n).cast("long"))
     if n < 2:
         raise ValueError("a permutation needs at least two samples")
-    step = 1 + F.pmod(F.xxhash64(F.lit(seed), "sample", "perm"), F.col("n") - 1)
-    drawn = places.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("other", F.pmod(F.col("k") + step, F.col("n")))
-    partners = places.select(F.col("k").alias("other"), F.col("sample").alias("partner"))
-    drawn = drawn.join(partners, "other").select("sample", "perm", "partner")
-    null = drawn.join(f, "sample").join(d.select(F.col("sample").alias("partner"), "dependent", "t", "d"), ["partner", "t"])
-    keys = ["sample", "factor", "dependent"]
-    null = null.select(*keys, "perm", "t", (F.col("f") * F.col("d")).alias("c"))
-    seen = f.join(d, ["sample", "t"]).select(*keys, "t", (F.col("f") * F.col("d")).alias("contribution"))
-    reach = lambda a, b: F.sum(((F.col(a) >= F.col(b)) & ~F.isnan(a) & ~F.isnan(b)).cast("int")) / permutations
-    local = seen.join(null, [*keys, "t"]).groupBy(*keys, "t").agg(F.first("contribution").alias("contribution"), reach("c", "contribution").alias("p_value"))
-    totals = seen.groupBy(*keys).agg(F.sum("contribution").alias("total"))
-    nulls = null.groupBy(*keys, "perm").agg(F.sum("c").alias("c"))
-    whole = totals.join(nulls, keys).groupBy(*keys).agg(F.first("total").alias("total"), reach("c", "total").alias("p_value"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(min(n, parts), -(-n // BLOCK_SAMPLES))
+    series, path = stored(places.join(_series(_centred(known, mode), names, times), "sample", "left").withColumn("block", (F.col("k") * blocks / n).cast("int")))
+    draw = F.transform(F.sequence(F.lit(1), F.lit(permutations)), lambda perm: F.pmod(F.col("k") + 1 + F.pmod(F.xxhash64(F.lit(seed), "sample", perm), F.lit(n - 1)), F.lit(n)))
+    nothing = F.array().cast("array<bigint>")
+    own = series.select("block", F.lit(0).alias("kind"), "k", "cells", "values", draw.alias("draws"))
+    asked = own.select("block", F.explode("draws").alias("k")).distinct()
+    partners = asked.join(series.drop("block"), "k").select("block", F.lit(1).alias("kind"), "k", "cells", "values", nothing.alias("draws"))
+    streamed = own.unionByName(partners).repartition(blocks, "block").sortWithinPartitions("block", "kind")
+    shape = (len(names), len(times), left, right)
+
+    def run(batches):
+        import pyarrow as pa
+
+        def finished(block):
+            for k, place, observed, reached in block.rows():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), k)), pa.array(place), pa.array(observed), pa.array(reached)], names=["k", "place", "observed", "reached"])
+
+        now, block = None, None
+        for batch in batches:
+            held: tuple[list, list] = ([], [])
+            for row in batch.to_pylist():
+                if row["block"] != now:
+                    if block is not None:
+                        block.partners(*held)
+                        held = ([], [])
+                        yield from finished(block)
+                    now, block = row["block"], _Block(*shape)
+                if row["kind"] == 0:
+                    block.add(row["k"], row["cells"] or [], row["values"] or [], row["draws"])
+                else:
+                    held[0].append(row["k"])
+                    held[1].append(block.dense(row["cells"] or [], row["values"] or []))
+                    if len(held[0]) >= 256:
+                        block.partners(*held)
+                        held = ([], [])
+            if held[0]:
+                block.partners(*held)
+        if block is not None:
+            yield from finished(block)
+
+    found, _ = stored(streamed.mapInArrow(run, "k long, place long, observed double, reached long"))
+    dropped(spark, path)
+    label = lambda some, place: F.element_at(F.array(*(F.lit(names[k]) for k in some)), (place + 1).cast("int")) if some else F.lit(None).cast("string")
+    span, pair = len(times), F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.floor(F.col("place") / len(times)))
+    t = spark.createDataFrame(list(enumerate(times)), T.StructType([T.StructField("ti", T.LongType()), traj.schema["t"]]))
+    named = found.withColumns({"factor": label(left, F.floor(pair / max(1, len(right)))), "dependent": label(right, pair % max(1, len(right))), "ti": F.pmod("place", F.lit(span))})
+    named = named.join(places, "k").withColumn("p_value", F.col("reached") / permutations)
+    local = named.where("place >= 0").join(F.broadcast(t), "ti").select("sample", "factor", "dependent", "t", F.col("observed").alias("contribution"), "p_value")
+    whole = named.where("place < 0").select("sample", "factor", "dependent", F.col("observed").alias("total"), "p_value")
     return local, whole
