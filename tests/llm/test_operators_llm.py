@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -433,3 +434,20 @@ def test_best_cut():
 
     assert toxicity.best_cut(np.array([2.0, 1.0, -1.0, -2.0]), np.array([1.0, 1.0, 0.0, 0.0])) == 0
     assert toxicity.best_cut(np.array([-1.0, -2.0, -3.0]), np.array([1.0, 1.0, 0.0])) == -2.5
+
+
+def test_more_languages_than_are_learned(spark):
+    rows = [(k, f"l{k % 60:02d}", f"text number {k} of this") for k in range(300)] + [(1000 + k, "en", "the common words of english") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.fit(docs, at_most=3)
+    assert len(model.languages) == 3 and "en" in model.languages and model.languages == langid.fit(docs.repartition(7), at_most=3).languages
+    assert np.array_equal(model.weights, langid.fit(docs.repartition(7), at_most=3).weights)
+    assert {r["lang_pred"] for r in langid.predict(docs, model).collect()} <= set(model.languages)
+
+
+def test_threshold_is_placed_with_few_labels(spark):
+    docs = docs_of(spark, [f"nasty{k} bad words here" if k % 4 == 0 else f"kind{k} good words here" for k in range(24)])
+    labels = [(k, int(k % 4 == 0)) for k in range(24)]
+    for some in (labels, labels[:2], labels[:7]):
+        model = toxicity.fit(docs, spark.createDataFrame(some, "doc_id long, toxic int"))
+        assert all(0 <= r["score"] <= 1 for r in toxicity.score(docs, model).collect())

@@ -78,6 +78,18 @@ def dropped(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Lets the session send at most ``rows`` rows at once to Python workers.
+
+    Spark counts rows, not bytes, and 10,000 documents are tens of megabytes, which the
+    JVM, its Arrow buffers and the worker each hold; fewer where the session says so.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 # --- bytes of texts, inside tasks ---------------------------------------------------
 
 #: Bytes of text that a task works on at once; a longer text is one piece by itself.

@@ -107,19 +107,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """The classifiers and codewords, from learnable documents with a language and a text.
 
     Without any such document the model knows no language.  ``lang_col`` may hold any
-    number of languages up to ``at_most``, which share that number of documents; more are an error.
-    Of repeated ids the smallest text counts; repeated rows are one.
+    number of values; the ``at_most`` most frequent ones (ties: the smallest) are learned and
+    share that number of documents, others are never predicted.  Of repeated ids the smallest
+    text counts; repeated rows are one.  The model is the same for any partitioning.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     known = known.where(learnable("id") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     keys = known.select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(1 << 32)).alias("hash"))
-    counts = keys.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()  # a row per language
-    languages = [r["lang"] for r in counts]
+    counts = keys.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(at_most).collect()  # at_most rows
+    languages = sorted(r["lang"] for r in counts)
     if not languages:
         return Model([], np.zeros((0, 1)), np.zeros((1 << BITS, 1), np.float32), np.zeros(1, np.float32), np.ones(1))
     each = min(per_language, at_most // len(languages))
-    if not each:
-        raise ValueError(f"{len(languages)} languages; at_most must allow a document of each")
     # Only hashes that can be among the smallest are ranked, however many documents a language has.
     reach = docs.sparkSession.createDataFrame([(r["lang"], int((2.0**32) * min(1.0, (2 * each + 100) / r["n"]))) for r in counts], "lang string, reach long")
     near = keys.join(F.broadcast(reach), "lang").where("hash <= reach")
@@ -129,6 +128,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sample, path = stored(sample.select("lang", "text"))
     try:
         rows = sample.mapInArrow(freed(_vectors), "lang string, vector binary").toArrow()
+        rows = rows.sort_by([("lang", "ascending"), ("vector", "ascending")])
     finally:
         dropped(docs.sparkSession, path)
     matrix = np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float32).reshape(-1, 1 << BITS)

@@ -91,7 +91,7 @@ def _chosen(counts: DataFrame, sizes: dict, folds: list[int], features: int, smo
     """The buckets whose shares under the two labels differ most in some folds, and the logs of their ratios."""
     n0, n1 = (sum(sizes.get((label, k), 0) for k in folds) for label in (0, 1))
     c0, c1 = (sum((F.col(f"n{label}_{k}") for k in folds), F.lit(0)) for label in (0, 1))
-    both = (c0 + c1) / (n0 + n1)
+    both = (c0 + c1) / max(n0 + n1, 1)
     gap = F.abs(c1 / max(n1, 1) - c0 / max(n0, 1)) / F.sqrt(both * (1 - both) + 1e-9)
     ratio = F.log((c1 + smoothing) / (n1 + 2 * smoothing)) - F.log((c0 + smoothing) / (n0 + 2 * smoothing))
     best = counts.where(c0 + c1 >= least).orderBy(gap.desc(), "bucket").limit(features).select("bucket", ratio.alias("ratio")).toArrow()
@@ -131,7 +131,8 @@ def fit(
     """The classifier, from the learnable labels (see ``learnable``).
 
     ``features`` n-grams count.  ``beta`` tells how much more a found toxic document counts
-    than a wrongly rejected clean one where the threshold is placed (F measure).
+    than a wrongly rejected clean one where the threshold is placed (F measure), which is
+    done at every size of the sample.
 
     Where either label has no document, the model is the share of label 1 (0 without labels).
     """
@@ -149,9 +150,7 @@ def fit(
         each = sample.select("label", "text", fold.alias("fold")).mapInArrow(freed(_label_counts), "bucket long, " + ", ".join(f"{c} long" for c in _COUNTS))
         counts, counts_path = stored(each.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in _COUNTS)))
         every = list(range(FOLDS))
-        # With few documents of a label the threshold stays where the shares of the labels put it.
-        left_out = every if min(n0, n1) >= 50 else []
-        chosen = [_chosen(counts, sizes, [k for k in every if k != out], features, smoothing) for out in [None, *left_out]]
+        chosen = [_chosen(counts, sizes, [k for k in every if k != out], features, smoothing) for out in [None, *every]]
         dropped(spark, counts_path)
         union = np.unique(np.concatenate([b for b, _ in chosen]))
         rows = sample.mapInArrow(_kept_features(union), "label int, hash long, id string, features array<int>").toArrow()
@@ -166,7 +165,7 @@ def fit(
     label = rows.column("label").to_numpy().astype(float)
     fold = rows.column("hash").to_numpy() % FOLDS
     z = np.zeros(len(label))
-    for out, (buckets, ratios) in zip([None, *left_out], chosen):
+    for out, (buckets, ratios) in zip([None, *every], chosen):
         place = np.full(1 << BITS, -1, np.int64)
         place[buckets] = np.arange(len(buckets))
         kept = place[bucket] >= 0
@@ -178,7 +177,7 @@ def fit(
         else:
             z = np.where(fold == out, np.bincount(doc, w[index] * ratios[index], minlength=len(label)) + b, z)
     correction = float(np.log(share / (1 - share)) - np.log(n1 / n0))
-    shift = best_cut(z + correction, label, float(np.exp(-correction)), beta) if left_out else 0.0
+    shift = best_cut(z + correction, label, float(np.exp(-correction)), beta)
     return Model(chosen[0][0].astype(np.int32), weights, intercept + correction - shift)
 
 
@@ -198,7 +197,7 @@ def _logistic(doc: np.ndarray, index: np.ndarray, ratios: np.ndarray, label: np.
     value = ratios[index]
     w, b, n = np.full(len(ratios), 1.0 / max(1, len(ratios) ** 0.5)), 0.0, len(label)
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    share = counted / counted.sum()
+    share = counted / max(counted.sum(), 1)
     for t in range(1, rounds + 1):
         z = np.bincount(doc, w[index] * value, minlength=n) + b
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) * share
