@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import stored
 from .loess import fit_loess
-from .reshape import cumulative_counts, quantiles
+from .reshape import cumulative_counts, quantile_values, quantiles
+from .selection import order_statistics
 
 
 def percentile(df: DataFrame, value: str, p: float) -> DataFrame:
@@ -45,11 +48,11 @@ def family_stats(df: DataFrame, family_col: str = "family_id", distance_col: str
 
 
 def top_percentile_threshold(df: DataFrame, value: str, p: float = 95.0) -> DataFrame:
-    """(threshold): the value at position ceil(n p / 100), from 1 to n, of the ascending values."""
-    counts = cumulative_counts(df.where(F.col(value).isNotNull()), value)
-    n = counts.agg(F.sum("n").alias("total"))
-    at = F.greatest(F.lit(1), F.ceil(F.col("total") * p / 100))
-    return counts.crossJoin(F.broadcast(n)).where(F.col("cumulative") >= at).agg(F.min("value").alias("threshold"))
+    """(threshold): the value at position ceil(n p / 100), from 1 to n, of the ascending values (NaN last, nulls left out)."""
+    place = lambda n: max(1, math.ceil(n * p / 100))
+    n, _, nans, found = order_statistics(df, F.col(value).cast("double"), lambda n, _, nans: [place(n + nans)])
+    limit = found.get(place(n + nans), math.nan if nans else None)
+    return df.sparkSession.createDataFrame([(limit,)], "threshold double")
 
 
 def family_scaling(df: DataFrame, family_col: str = "family_id", distance_col: str = "distance", span: float = 0.7, degree: int = 2) -> DataFrame:
@@ -75,10 +78,10 @@ def family_scaling_details(df: DataFrame, family_col: str = "family_id", distanc
     if stats.isEmpty():
         none = {c: F.lit(None).cast(t) for c, t in (("n", "long"), *((c, "double") for c in ("mean", "sd", "x", "y", "low_sd_cutoff")))}
         return every.withColumns(none).withColumns({"used": F.lit(False), "fitted": F.lit(None).cast("double"), "dscale": F.lit(0.0)})
-    p5, mid = (quantiles(stats, c, [share]).first()["q"][0] for c, share in (("mean", 0.05), ("sd", 0.5)))
+    p5, mid = (quantile_values(stats, c, [share])[0][0] for c, share in (("mean", 0.05), ("sd", 0.5)))
     eps_mean, eps_sd = max(p5, 1e-12), max(1e-13 * mid, 1e-12)
     logs = stats.withColumns({"x": F.log2(F.col("mean") + eps_mean), "y": F.log2(F.col("sd") + eps_sd)})
-    low_sd = quantiles(logs, "y", [0.01]).first()["q"][0]
+    low_sd = quantile_values(logs, "y", [0.01])[0][0]
     logs = logs.withColumns({"low_sd_cutoff": F.lit(float(low_sd)), "used": F.col("y") >= low_sd})
     used = logs.where("used")
     reach = used.agg(F.min("x"), F.max("x")).first()

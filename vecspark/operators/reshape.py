@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.storage import stored
+from .selection import order_statistics, selectable
 
 
 def to_long(vectors: DataFrame, id_col: str = "gene_id", vector_col: str = "v", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -70,25 +74,39 @@ def cumulative_counts(df: DataFrame, value: str, descending: bool = False) -> Da
 def quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
     """(q, n): exact quantiles by linear interpolation on (n - 1) share, as one array, and the number of values.
 
-    Null and NaN are left out; without any value ``q`` holds nulls.
+    Null and NaN are left out; without any value ``q`` holds nulls.  The values are selected
+    (see ``selection``), not sorted; this runs at once, and only the result is returned.
     """
-    known = df.select(F.col(value).cast("double").alias("value")).where("value IS NOT NULL AND NOT isnan(value)")
-    counts = cumulative_counts(known, "value")
-    n = F.broadcast(counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("__n")))
-    ends = []
-    for k, share in enumerate(shares):
-        at = F.floor((F.col("__n") - 1) * F.lit(float(share)))
-        for name, place in ((f"l{k}", at + 1), (f"h{k}", F.least(at + 2, F.col("__n")))):
-            ends.append(F.min(F.when(F.col("cumulative") >= place, F.col("value"))).alias(name))
-    found = n.join(counts.crossJoin(n).agg(*ends))
-    part = lambda share: F.pmod((F.col("__n") - 1) * F.lit(float(share)), F.lit(1.0))
-    each = [F.col(f"l{k}") + (F.col(f"h{k}") - F.col(f"l{k}")) * part(share) for k, share in enumerate(shares)]
-    return found.select(F.array(*each).alias("q"), F.col("__n").alias("n"))
+    q, n = quantile_values(df, value, shares)
+    return df.sparkSession.createDataFrame([(q, n)], "q array<double>, n long")
+
+
+def quantile_values(df: DataFrame, value: str, shares: list[float]) -> tuple[list[float | None], int]:
+    """``quantiles`` as plain values."""
+
+    def ends(n: int, share: float) -> tuple[int, int, float]:
+        at = (n - 1) * float(share)
+        low = math.floor(at)
+        return low + 1, min(low + 2, n), at - low
+
+    n, _, _, found = order_statistics(df, F.col(value).cast("double"), lambda n, *_: [r for share in shares for r in ends(n, share)[:2]])
+    if not n:
+        return [None] * len(shares), 0
+    places = [ends(n, share) for share in shares]
+    return [found[low] + (found[high] - found[low]) * part for low, high, part in places], n
 
 
 def nth_value(df: DataFrame, value: str, position: int) -> DataFrame:
-    """The row or rows at a 1-based position of the sorted values."""
-    return cumulative_counts(df, value).where((F.col("cumulative") >= position) & (F.col("cumulative") - F.col("n") < position)).select("value")
+    """The row or rows at a 1-based position of the sorted values (nulls first, NaN last).
+
+    Numbers, dates and times are selected at once, values of other kinds are sorted.
+    """
+    if not selectable(df, F.col(value)):
+        return cumulative_counts(df, value).where((F.col("cumulative") >= position) & (F.col("cumulative") - F.col("n") < position)).select("value")
+    n, nulls, nans, found = order_statistics(df, F.col(value), lambda n, nulls, nans: [position - nulls])
+    row = [(None,)] if position <= nulls else [(found.get(position - nulls, math.nan),)]
+    schema = T.StructType([T.StructField("value", df.schema[value].dataType)])
+    return df.sparkSession.createDataFrame(row if 1 <= position <= nulls + n + nans else [], schema)
 
 
 def range_filter(df: DataFrame, value: str, lower: float, upper: float) -> DataFrame:
