@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import angle_between, vec_add, vec_norm, vec_subtract
+from .subsets import Dosage, Subfunctionalization, later_minimum, run_search
 
 
 def neofunctionalization(vectors: DataFrame, ancestors: DataFrame, thresholds: list[float], family: str = "family_id", vector: str = "v") -> DataFrame:
@@ -29,71 +29,39 @@ def filter_paralogs(genes: DataFrame, threshold: float, pattern: str, family: st
     return genes.where(fits).groupBy(family).agg(F.sort_array(F.collect_set(gene)).alias("members"))
 
 
-def _ranked(genes: DataFrame, family: str, gene: str, vector: str) -> DataFrame:
-    """(family, gene, v, rank, suffix_min): rank by gene; smallest norm among all later genes of the family."""
-    order = Window.partitionBy(family).orderBy(gene)
-    later = order.rowsBetween(1, Window.unboundedFollowing)
-    ranked = genes.select(family, gene, F.col(vector).alias("v"), F.coalesce("candidate", F.lit(False)).alias("candidate"))
-    ranked = ranked.withColumn("rank", F.row_number().over(order)).withColumn("norm", vec_norm("v"))
-    return ranked.withColumn("suffix_min", F.min("norm").over(later))
+def _search(genes: DataFrame, ancestors: DataFrame, max_size: int, limit: float, family: str, gene: str, vector: str, rule) -> DataFrame:
+    """(family, members, searched_size) of all families; see ``subsets``.
 
-
-def _search(genes: DataFrame, ancestors: DataFrame, max_size: int, limit: float, family: str, gene: str, vector: str, judge) -> DataFrame:
-    """Extends subsets gene by gene, all families at once; ``judge(sum, ancestor)`` gives (result, go on).
-
-    A family whose subsets are too many (``subset_bound``) stops at the size that its number allows.
+    A family whose subsets are too many (``subset_bound``) stops at the size that its number
+    allows, which ``searched_size`` tells.
     """
-    from ..sources.storage import stored
-
     marked = genes if "candidate" in genes.columns else genes.withColumn("candidate", F.lit(True))
-    ranked = _ranked(marked.where(F.col(family).isNotNull()), family, gene, vector)
+    ranked = later_minimum(marked.where(F.col(family).isNotNull()), family, gene, vector)
     candidates = ranked.where("candidate").join(ancestors.select(family, F.col("a").alias("ancestor")), family)
-    most = subset_bound(candidates, max_size, family, limit).select(family, F.col("max_size").alias("most"))
-    candidates, _ = stored(candidates.join(most, family).select(family, gene, "v", "rank", "suffix_min", "ancestor", "most"))
-    frontier = candidates.select(family, F.array(gene).alias("members"), F.col("rank").alias("last"), F.col("v").alias("sum"))
-    found = frontier.select(family, "members").limit(0)
-    for size in range(2, max_size + 1):
-        more = candidates.where(F.col("most") >= size).select(F.col(family).alias("__f"), F.col(gene).alias("__g"), "v", "rank", "suffix_min", "ancestor")
-        grown = frontier.join(more, (F.col(family) == F.col("__f")) & (F.col("rank") > F.col("last")))
-        grown = grown.select(family, F.concat("members", F.array("__g")).alias("members"), F.col("rank").alias("last"), vec_add("sum", "v").alias("sum"), "ancestor", "suffix_min")
-        result, go_on = judge(F.col("sum"), F.col("ancestor"))
-        level, _ = stored(grown.withColumns({"result": result, "go_on": go_on}).where("result OR go_on").select(family, "members", "last", "sum", "result"))
-        found = found.unionByName(level.where("result").select(family, "members"))
-        frontier = level.where("NOT result").drop("result")
-        if frontier.isEmpty():
-            break
-    return found
+    most = subset_bound(candidates, max_size, family, limit).select(family, F.col("max_size").alias("most"), "subsets")
+    parts = int(genes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return run_search(candidates.join(most, family), family, gene, rule, parts)
 
 
 def dosage_effect(genes: DataFrame, ancestors: DataFrame, max_size: int, gain: float = 0.1, max_angle: float = math.pi, limit: float = 2.0**31 - 1, family: str = "family_id", gene: str = "gene_id", vector: str = "v") -> DataFrame:
-    """(family, members): subsets of 2 to ``max_size`` genes whose sum outgrows the ancestor.
+    """(family, members, searched_size): subsets of 2 to ``max_size`` genes whose sum outgrows the ancestor.
 
     The sum's angle to the ancestor (``a``) must be at most ``max_angle`` (else the subset
     and all its extensions are dropped) and its length (1 + gain) times the ancestor's or
     more; such subsets are not extended.  A ``candidate`` column, if there, restricts the genes.
-    A family with more than ``limit`` subsets stops at a smaller size.
+    A family with more than ``limit`` subsets stops at a smaller size: ``searched_size``.
     """
-
-    def judge(total: Column, ancestor: Column) -> tuple[Column, Column]:
-        near = F.coalesce(angle_between(total, ancestor) <= max_angle, F.lit(False))
-        large = vec_norm(total) >= (1 + gain) * vec_norm(ancestor)
-        return near & large, near & ~large
-
-    return _search(genes, ancestors, max_size, limit, family, gene, vector, judge)
+    return _search(genes, ancestors, max_size, limit, family, gene, vector, Dosage(gain, max_angle))
 
 
 def subfunctionalization(genes: DataFrame, ancestors: DataFrame, max_size: int, threshold: float, limit: float = 2.0**31 - 1, family: str = "family_id", gene: str = "gene_id", vector: str = "v") -> DataFrame:
-    """(family, members): subsets of 2 to ``max_size`` genes whose sum is within ``threshold`` of the ancestor.
+    """(family, members, searched_size): subsets of 2 to ``max_size`` genes whose sum is within ``threshold`` of the ancestor.
 
     Others are extended only while some later gene of the family (candidate or not) is not
-    longer than what remains.  A family with more than ``limit`` subsets stops at a smaller size.
+    longer than what remains.  A family with more than ``limit`` subsets stops at a smaller
+    size: ``searched_size``.
     """
-
-    def judge(total: Column, ancestor: Column) -> tuple[Column, Column]:
-        rest = vec_norm(vec_subtract(ancestor, total))
-        return rest <= threshold, (rest > threshold) & F.coalesce(F.col("suffix_min") <= rest, F.lit(False))
-
-    return _search(genes, ancestors, max_size, limit, family, gene, vector, judge)
+    return _search(genes, ancestors, max_size, limit, family, gene, vector, Subfunctionalization(threshold))
 
 
 def subset_bound(candidates: DataFrame, max_size: int, family: str = "family_id", limit: float = 2.0**31 - 1) -> DataFrame:
