@@ -44,6 +44,15 @@ def r6(x) -> Column:
     return (F.round(F.col(x) if isinstance(x, str) else x, 6) + F.lit(0.0)).alias(x if isinstance(x, str) else "value")
 
 
+def single(x: str) -> Column:
+    """Products of large values, equal between engines to single precision; below 1 to six places."""
+    return (F.when(F.abs(x) < 1, F.round(x, 6)).otherwise(F.col(x).cast("float").cast("double")) + F.lit(0.0)).alias(x)
+
+
+def _single(x: str) -> str:
+    return f"CASE WHEN abs({x}) < 1 THEN round({x}, 6) ELSE CAST(CAST({x} AS FLOAT) AS DOUBLE) END + 0.0"
+
+
 def flat(df: DataFrame, key: str, vector) -> DataFrame:
     """(key, pos, value): a vector column in long form."""
     long = df.select(key, F.posexplode(vector).alias("pos", "value"))
@@ -499,23 +508,23 @@ def baselines(spark, d):
 _CON = "c AS (SELECT sample, factor, t, value - avg(value) OVER (PARTITION BY sample, factor) AS value FROM {0})"
 
 
-@query(f"{W('traj')}, {_CON.format('traj')} SELECT x.sample, x.factor, y.factor AS dependent, x.t, round(x.value * y.value, 6) + 0.0 AS contribution FROM c x JOIN c y ON x.sample = y.sample AND x.t = y.t")
+@query(f"{W('traj')}, {_CON.format('traj')} SELECT x.sample, x.factor, y.factor AS dependent, x.t, {_single('x.value * y.value')} AS contribution FROM c x JOIN c y ON x.sample = y.sample AND x.t = y.t")
 def contributions(spark, d):
-    return trajectories.contributions(T.trajectories(spark, d)).select("sample", "factor", "dependent", "t", r6("contribution"))
+    return trajectories.contributions(T.trajectories(spark, d)).select("sample", "factor", "dependent", "t", single("contribution"))
 
 
-@query(f"{W('traj')}, {_CON.format('traj')} SELECT x.sample, x.factor, y.factor AS dependent, round(sum(x.value * y.value), 5) + 0.0 AS total FROM c x JOIN c y ON x.sample = y.sample AND x.t = y.t GROUP BY ALL")
+@query(f"{W('traj')}, {_CON.format('traj')} SELECT x.sample, x.factor, y.factor AS dependent, {_single('sum(x.value * y.value)')} AS total FROM c x JOIN c y ON x.sample = y.sample AND x.t = y.t GROUP BY ALL")
 def total_contributions(spark, d):
     found = trajectories.total_contributions(trajectories.contributions(T.trajectories(spark, d)))
-    return found.select("sample", "factor", "dependent", (F.round("total", 5) + F.lit(0.0)).alias("total"))
+    return found.select("sample", "factor", "dependent", single("total"))
 
 
 @query(f"""{W('traj')}, {_ACC}, cv AS (SELECT sample, factor, t, value - avg(value) OVER (PARTITION BY sample, factor) AS value FROM v), ca AS (SELECT sample, factor, t, value - avg(value) OVER (PARTITION BY sample, factor) AS value FROM a)
-SELECT x.sample, x.factor, y.factor AS dependent, x.t, round(coalesce(v1.value * v2.value, 0), 6) + 0.0 AS velocity, round(coalesce(a1.value * a2.value, 0), 6) + 0.0 AS acceleration
+SELECT x.sample, x.factor, y.factor AS dependent, x.t, {_single('coalesce(v1.value * v2.value, 0)')} AS velocity, {_single('coalesce(a1.value * a2.value, 0)')} AS acceleration
 FROM traj x JOIN traj y ON x.sample = y.sample AND x.t = y.t LEFT JOIN cv v1 ON v1.sample = x.sample AND v1.factor = x.factor AND v1.t = x.t LEFT JOIN cv v2 ON v2.sample = y.sample AND v2.factor = y.factor AND v2.t = y.t
 LEFT JOIN ca a1 ON a1.sample = x.sample AND a1.factor = x.factor AND a1.t = x.t LEFT JOIN ca a2 ON a2.sample = y.sample AND a2.factor = y.factor AND a2.t = y.t""")
 def velocity_acceleration_contributions(spark, d):
-    return trajectories.velocity_acceleration_contributions(T.trajectories(spark, d)).select("sample", "factor", "dependent", "t", r6("velocity"), r6("acceleration"))
+    return trajectories.velocity_acceleration_contributions(T.trajectories(spark, d)).select("sample", "factor", "dependent", "t", single("velocity"), single("acceleration"))
 
 
 @query()
@@ -665,10 +674,20 @@ def dosage_effect(spark, d):
     return found.select("family_id", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
-@query()
+_TWO_AND_THREE = f"""{W('vec')}, {_FEW}, later AS (SELECT gene_id, min({_NORM.format('v')}) OVER (PARTITION BY f ORDER BY gene_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS least FROM few),
+p AS (SELECT x.f, y.gene_id AS last, x.gene_id || ',' || y.gene_id AS members, {_SUM2} AS s, a FROM few x JOIN few y ON x.f = y.f AND x.gene_id < y.gene_id JOIN anc ON anc.f = x.f),
+two AS (SELECT *, {{judge}} FROM p),
+q AS (SELECT x.f, x.members || ',' || y.gene_id AS members, list_transform(list_zip(x.s, y.v), lambda z: z[1] + z[2]) AS s, a FROM two x JOIN few y ON x.f = y.f AND x.last < y.gene_id JOIN later ON later.gene_id = x.last WHERE {{go_on}}),
+three AS (SELECT *, {{judge}} FROM q)
+SELECT f AS family_id, members FROM two WHERE {{hit}} UNION ALL SELECT f, members FROM three WHERE {{hit}}"""
+_REST = _NORM.format("list_transform(list_zip(s, a), lambda z: z[1] - z[2])")
+
+
+@query(_TWO_AND_THREE.format(judge=f"{_COS2} <= 1.5 AS near, {_NORM.format('s')} >= 1.3 * {_NORM.format('a')} AS large", go_on="near AND NOT large", hit="near AND large"))
 def dosage_effect_of_three(spark, d):
     genes, ancestors = _few(spark, d)
-    return paralogs.dosage_effect(genes, ancestors, 3, gain=0.3, max_angle=1.5)
+    found = paralogs.dosage_effect(genes, ancestors, 3, gain=0.3, max_angle=1.5)
+    return found.select("family_id", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
 @query(f"""{W('vec')}, {_FEW}, p AS (SELECT x.f AS family_id, x.gene_id || ',' || y.gene_id AS members, {_SUM2} AS s, a FROM few x JOIN few y ON x.f = y.f AND x.gene_id < y.gene_id JOIN anc ON anc.f = x.f)
@@ -679,6 +698,13 @@ def subfunctionalization(spark, d):
     return found.select("family_id", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
+@query(_TWO_AND_THREE.format(judge=f"{_REST} AS rest", go_on="rest > 1.6 AND least <= rest", hit="rest <= 1.6"))
+def subfunctionalization_of_three(spark, d):
+    genes, ancestors = _few(spark, d)
+    found = paralogs.subfunctionalization(genes, ancestors, 3, 1.6)
+    return found.select("family_id", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+
+
 @query("""SELECT o_custkey AS family_id, n AS n_candidates, CAST(3 AS INTEGER) AS max_size, CAST(n * (n - 1) / 2 + n * (n - 1) * (n - 2) / 6 AS BIGINT) AS subsets FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)""")
 def subset_bound(spark, d):
     return paralogs.subset_bound(T.distances(spark, d), 3)
@@ -727,8 +753,8 @@ def kmeans(spark, d):
 @query()
 def kmeans_trajectories(spark, d):
     t = T.trajectories(spark, d)
-    factors = sorted(r["factor"] for r in t.select("factor").distinct().collect())[:2]
-    return clustering.kmeans_trajectories(t, factors, [[10.0, 10.0], [50.0, 50.0]], 20)[0].select("sample", "t", "label")
+    factors = sorted(r["factor"] for r in t.select("factor").distinct().collect())  # the axes of a point
+    return clustering.kmeans_trajectories(t, factors, [[10.0] * len(factors), [50.0] * len(factors)])[0].select("sample", "t", "label")
 
 
 @query()
@@ -739,6 +765,11 @@ def linkage(spark, d):
     return clustering.linkage(edges, "average")
 
 
+@query()
+def linkage_ward(spark, d):
+    return clustering.ward_linkage(T.vectors(spark, d))
+
+
 # --- bundles ----------------------------------------------------------------------------------
 
 
