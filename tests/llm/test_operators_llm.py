@@ -451,3 +451,16 @@ def test_threshold_is_placed_with_few_labels(spark):
     for some in (labels, labels[:2], labels[:7]):
         model = toxicity.fit(docs, spark.createDataFrame(some, "doc_id long, toxic int"))
         assert all(0 <= r["score"] <= 1 for r in toxicity.score(docs, model).collect())
+
+
+def test_shards_are_the_shortest_prefixes_that_fit(spark):
+    texts = ["x" * random.Random(k).randint(0, 300) for k in range(400)]
+    docs = docs_of(spark, texts)
+    got = {r["doc_id"]: (r["shard"], r["shard_bytes"]) for r in sharding.assign_shards(docs, "doc_id", "text", limit=1500).collect()}
+    bits = {r["doc_id"]: f"{int(hashlib.md5(str(r['doc_id']).encode()).hexdigest()[:15], 16):060b}" for r in docs.collect()}
+    total = Counter()
+    for k, t in enumerate(texts):
+        for depth in range(61):
+            total[bits[k][:depth]] += len(t)
+    want = {k: next(bits[k][:depth] for depth in range(61) if total[bits[k][:depth]] <= 1500) for k in range(len(texts))}
+    assert got == {k: (prefix + ".0", total[prefix]) for k, prefix in want.items()} and len(set(want.values())) > 30

@@ -158,11 +158,13 @@ def cut_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", **optio
 def with_items(found: DataFrame, grams: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``found`` with ``items``: the sorted distinct ids of items whose windows occur.
 
-    Only row numbers and the words of hits are shuffled.
+    Only row numbers and the words of hits are shuffled.  A row without hits goes by a key of
+    its own, so that clean rows are spread.
     """
     row = fresh(found, "row")
     rows = found.withColumn(row, F.monotonically_increasing_id())
     rows = rows.select(*keep, row, F.explode_outer(F.array_distinct(F.transform("hits", lambda x: x["gram"]))).alias("hit_gram"))
+    rows = rows.withColumn("hit_gram", F.coalesce("hit_gram", F.concat(F.lit("\0"), F.col(row))))  # no window holds this character
     known = grams.select(F.col("gram").alias("hit_gram"), F.col("items").alias("hit_items"))
     joined = rows.join(known, "hit_gram", "left")
     items = F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit_items")))).alias("items")
