@@ -16,6 +16,7 @@ from ..operators import clustering, families, integration, loess, neighbors, nor
 from ..sources import io
 from ..sources.storage import shared_dir
 from . import tables as T
+from .loess_sql import curve, in_cell, loess_ctes
 from .tables import with_sql as W
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -284,9 +285,38 @@ def top_percentile_threshold(spark, d):
     return outliers.top_percentile_threshold(T.read(spark, d, "orders"), "o_totalprice", 95.0)
 
 
-@query()
+def _recursive(*names: str) -> str:
+    return W(*names).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _scaling_sql(source: str) -> str:
+    """CTEs up to ``scaled`` (family_id, dscale) from a table (family_id, distance)."""
+    return f"""s AS (SELECT family_id, avg(abs(distance)) AS mean, stddev_samp(abs(distance)) AS sd FROM {source} WHERE distance >= 0 AND family_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1),
+e AS (SELECT greatest(quantile_cont(mean, 0.05), 1e-12) AS em, greatest(1e-13 * quantile_cont(sd, 0.5), 1e-12) AS es FROM s),
+l AS (SELECT family_id, log2(mean + em) AS x, log2(sd + es) AS y FROM s, e),
+used AS (SELECT x, y FROM l WHERE y >= (SELECT quantile_cont(y, 0.01) FROM l)),
+reach AS (SELECT min(x) AS lowest, max(x) AS highest FROM used),
+{loess_ctes('used')},
+at_ AS (SELECT family_id, greatest(lowest, least(l.x, highest)) AS z FROM l, reach),
+fit AS (SELECT family_id, greatest(power(2.0, {curve('z')}) - es, 0) AS dscale FROM at_ JOIN cv ON {in_cell('z')}, e),
+scaled AS (SELECT family_id, coalesce(dscale, 0) AS dscale FROM (SELECT DISTINCT family_id FROM {source} WHERE family_id IS NOT NULL) LEFT JOIN fit USING (family_id))"""
+
+
+def _outliers_sql(head: str, source: str) -> str:
+    return f"""{head}, {_scaling_sql(source)},
+r AS (SELECT gene_id, d.family_id, distance, CASE WHEN d.family_id IS NULL OR distance = -1 THEN -1 WHEN dscale <= 1e-12 THEN 0 ELSE abs(distance) / dscale END AS rdi FROM {source} d LEFT JOIN scaled USING (family_id)),
+t AS (SELECT quantile_disc(greatest(rdi, 0), 0.95) AS threshold FROM r)
+SELECT gene_id, family_id, {_single('distance')} AS distance, {_single('rdi')} AS rdi, {_single('threshold')} AS threshold, rdi >= threshold AND rdi > 0 AS is_outlier,
+       round(CASE WHEN rdi < 0 THEN 1 ELSE (count(*) OVER (ORDER BY greatest(rdi, 0) DESC) + 1) / (count(*) OVER () + 1) END, 6) AS p_value FROM r, t"""
+
+
+def _outlier_row(found: DataFrame) -> DataFrame:
+    return found.select("gene_id", "family_id", single("distance"), single("rdi"), single("threshold"), "is_outlier", r6("p_value"))
+
+
+@query(f"{_recursive('dist')}, {_scaling_sql('dist')} SELECT family_id, {_single('dscale')} AS dscale FROM scaled")
 def family_scaling(spark, d):
-    return outliers.family_scaling(T.distances(spark, d))
+    return outliers.family_scaling(T.distances(spark, d)).select("family_id", single("dscale"))
 
 
 @query(f"""{W('dist')}, s AS (SELECT family_id, count(*) AS n, avg(distance) AS mean, stddev_samp(distance) AS sd FROM dist WHERE distance >= 0 GROUP BY 1 HAVING count(*) > 1),
@@ -314,16 +344,19 @@ def identify_outliers(spark, d):
     return outliers.identify_outliers(T.distances(spark, d), "distance").select("gene_id", r6("threshold"), "is_outlier", r6("p_value"))
 
 
-@query()
+_FAR = "far AS (SELECT gene_id, vec.family_id, coalesce(sqrt(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), -1) AS distance FROM vec LEFT JOIN cenv USING (family_id))"
+
+
+@query(_outliers_sql(f"{_recursive('vec', 'comp', 'cen', 'cenv')}, {_FAR}", "far"))
 def detect_outliers(spark, d):
     vec = T.vectors(spark, d)
     far = families.distance_to_centroid(vec, families.group_centroid(vec)).select("gene_id", "family_id", "distance")
-    return outliers.detect_outliers(far)
+    return _outlier_row(outliers.detect_outliers(far))
 
 
-@query()
+@query(_outliers_sql(_recursive("dist"), "dist"))
 def detect_outliers_orders(spark, d):
-    return outliers.detect_outliers(T.distances(spark, d))
+    return _outlier_row(outliers.detect_outliers(T.distances(spark, d)))
 
 
 # --- normalisation --------------------------------------------------------------------------
@@ -376,20 +409,26 @@ def fold_change_pairs(spark, d):
     return names.fold_change_pairs(axes, "control", ["late"])
 
 
-@query()
+@query(f"""WITH RECURSIVE part_ AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part), {loess_ctes('part_')}
+SELECT p_partkey, {_single(curve('x'))} AS fitted FROM part_ JOIN cv ON {in_cell('x')}""")
 def loess_curve(spark, d):
     t = T.read(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
-    return loess.loess(t, "x", "y", robust=True).select("p_partkey", "fitted")
+    return loess.loess(t, "x", "y", robust=True).select("p_partkey", single("fitted"))
 
 
-@query()
+_SCALED = f"""{_recursive('rep')}, st AS (SELECT gene_id, avg(value) AS mean, stddev_pop(value) AS sd FROM rep GROUP BY 1), used AS (SELECT mean AS x, sd AS y FROM st WHERE sd > 1e-12), {loess_ctes('used')},
+by_ AS (SELECT gene_id, CASE WHEN sd <= 1e-12 THEN 1 WHEN abs({curve('mean')}) <= 1e-12 THEN sd ELSE {curve('mean')} END AS by_ FROM st JOIN cv ON {in_cell('mean')}),
+nv AS (SELECT rep.gene_id, axis, replicate, value / by_ AS value FROM rep JOIN by_ USING (gene_id))"""
+
+
+@query(f"{_SCALED} SELECT gene_id, axis, replicate, {_single('value')} AS value FROM nv")
 def sd_normalize(spark, d):
-    return normalize.sd_normalize(T.replicates(spark, d))
+    return normalize.sd_normalize(T.replicates(spark, d)).select("gene_id", "axis", "replicate", single("value"))
 
 
-@query()
+@query(f"{_SCALED} SELECT gene_id, axis, {_single('log2(avg(value) + 1)')} AS value FROM nv GROUP BY gene_id, axis")
 def normalize_pipeline(spark, d):
-    return normalize.normalize_pipeline(T.replicates(spark, d))
+    return normalize.normalize_pipeline(T.replicates(spark, d)).select("gene_id", "axis", single("value"))
 
 
 @query("""WITH q AS (SELECT o_orderkey AS query_id, o_totalprice AS x FROM orders), r AS (SELECT p_retailprice * 100 AS rx, CAST(p_size AS DOUBLE) AS ry FROM part),
