@@ -1,9 +1,10 @@
 """Local regression in one dimension, and Gaussian kernel smoothing.
 
 The curve is fitted at a few vertices (about 33 for any large table) and evaluated by
-cubic Hermite interpolation in between.  Every pass over the data is one aggregation
-grouped by vertex; only vertices and their sums (at most a few dozen rows) reach the
-driver, and the fitted curve is a column expression.
+cubic Hermite interpolation in between.  Away from the ends and the middle of a vertex's
+window its weights are one polynomial, so sums for all vertices come from moments of a
+fixed number of cells, in one aggregation; points of other cells are weighted one by one.
+Only these sums reach the driver, and the fitted curve is a column expression.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import dropped, stored
-from .reshape import bucketed, global_rank, quantiles
+from .reshape import bucketed, global_rank
+from .selection import at_ranks
 
 #: Fixed values of the method: the share of the points below which a cell is not cut again, the padding of
 #: the range, and where the weight functions count as 0 and as 1.
@@ -84,23 +86,97 @@ def _bandwidths(ranked: DataFrame, vertices: list[float], near: int) -> list[flo
     return list(runs.agg(*(F.min(F.greatest(F.abs(F.col("x") - v), F.abs(F.col("z") - v))) for v in vertices)).first())
 
 
-def _fit_vertices(points: DataFrame, weight: Column, vertices: list[float], widths: list[float], degree: int) -> Curve:
-    nodes = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v"), F.lit(h).alias("h")) for k, (v, h) in enumerate(zip(vertices, widths))))
-    near = points.select("x", "y", weight.alias("rw"), F.explode(nodes).alias("node")).select("x", "y", "rw", "node.*")
-    u = (F.col("x") - F.col("v")) / F.col("h")
-    near = near.withColumn("u", u).where(F.col("u") * F.col("u") < WEIGHT_ENDS)
+#: Refs, and queries, of a cell of the kernel that stay together.
+DENSE_REFS, DENSE_QUERIES = 4096, 1 << 16
+#: Cells of equal width of which moments are kept; the power of the tricube weight.
+CELLS, POWER = 1024, 9
+
+
+@dataclass(frozen=True)
+class Grid:
+    """Cells of equal width; a point's ``z`` is its place in its cell, from -1 to 1."""
+
+    low: float
+    width: float
+
+    def cell(self) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit(CELLS - 1), F.floor((F.col("x") - self.low) / self.width))).cast("int")
+
+    def middle(self, cell):
+        return self.low + (cell + 0.5) * self.width
+
+    def z(self) -> Column:
+        return (F.col("x") - (self.low + (F.col("cell") + 0.5) * self.width)) / (self.width / 2)
+
+
+def _inside(grid: Grid, cells: np.ndarray, v: float, h: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which cells lie, for a vertex, wholly where its weight is one polynomial, and which reach its window otherwise."""
+    left, right = grid.middle(cells) - grid.width * 0.5000001, grid.middle(cells) + grid.width * 0.5000001
+    near = np.where((left <= v) & (v <= right), 0.0, np.minimum(np.abs(left - v), np.abs(right - v))) / h
+    far = np.maximum(np.abs(left - v), np.abs(right - v)) / h
+    whole = (near > WEIGHT_STARTS) & (far * far < WEIGHT_ENDS) & ((left > v) | (right < v))
+    return whole, ~whole & (near * near < WEIGHT_ENDS * 1.000001)
+
+
+def _from_moments(grid: Grid, cells: np.ndarray, plain: np.ndarray, with_y: np.ndarray, v: float, h: float, degree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of weight * u**k, and with y, of cells where the weight is (1 - |u|**3)**3, from moments of z."""
+    alpha, beta = (grid.middle(cells) - v) / h, grid.width / 2 / h
+    sign = np.sign(alpha)
+    out = np.zeros(2 * degree + 1), np.zeros(degree + 1)
+    u = np.zeros((len(cells), 2))
+    u[:, 0], u[:, 1] = alpha, beta
+
+    def times(p: np.ndarray, q: np.ndarray) -> np.ndarray:  # products of polynomials, row by row
+        r = np.zeros((len(p), p.shape[1] + q.shape[1] - 1))
+        for k in range(q.shape[1]):
+            r[:, k : k + p.shape[1]] += p * q[:, k : k + 1]
+        return r
+
+    cube = times(times(u, u), u)
+    rest = -sign[:, None] * cube
+    rest[:, 0] += 1
+    power = times(times(rest, rest), rest)
+    for k in range(2 * degree + 1):
+        out[0][k] = (power * plain[:, : power.shape[1]]).sum()
+        if k <= degree:
+            out[1][k] = (power * with_y[:, : power.shape[1]]).sum()
+        power = times(power, u)
+    return out
+
+
+def _fit_vertices(points: DataFrame, weight: Column, vertices: list[float], widths: list[float], degree: int, grid: Grid) -> Curve:
+    """The curve from points (x, y, cell): moments of each cell, combined at each vertex; only points of cells at an
+    end or in the middle of a vertex's window are weighted one by one."""
+    top = POWER + 2 * degree
+    z = grid.z()
+    rows = points.select("cell", "x", "y", weight.alias("rw")).withColumn("z", z)
+    sums = [F.sum(F.col("rw") * F.pow("z", p)).alias(f"m{p}") for p in range(top + 1)]
+    sums += [F.sum(F.col("rw") * F.col("y") * F.pow("z", p)).alias(f"y{p}") for p in range(POWER + degree + 1)]
+    found = rows.groupBy("cell").agg(*sums).collect()  # a row per cell
+    cells = np.array([r["cell"] for r in found])
+    plain = np.array([[r[f"m{p}"] for p in range(top + 1)] for r in found])
+    with_y = np.array([[r[f"y{p}"] for p in range(POWER + degree + 1)] + [0.0] * degree for r in found])
+    edges, totals = [], []
+    for k, (v, h) in enumerate(zip(vertices, widths)):
+        whole, edge = _inside(grid, cells, v, h)
+        totals.append(_from_moments(grid, cells[whole], plain[whole], with_y[whole], v, h, degree))
+        edges += [(int(c), k, v, h) for c in cells[edge]]
+    near = rows.join(F.broadcast(points.sparkSession.createDataFrame(edges, "cell int, k int, v double, h double")), "cell")
+    near = near.withColumn("u", (F.col("x") - F.col("v")) / F.col("h")).where(F.col("u") * F.col("u") < WEIGHT_ENDS)
     size = F.abs(F.col("u"))
     tricube = F.when(size * size > WEIGHT_STARTS * WEIGHT_STARTS, F.pow(1 - size * size * size, 3)).otherwise(1.0)
     near = near.withColumn("w", F.col("rw") * tricube)
     sums = [F.sum(F.col("w") * F.pow("u", k)).alias(f"s{k}") for k in range(2 * degree + 1)]
     sums += [F.sum(F.col("w") * F.col("y") * F.pow("u", k)).alias(f"t{k}") for k in range(degree + 1)]
-    rows = {r["k"]: r for r in near.groupBy("k").agg(*sums).collect()}  # one row per vertex
+    exact = {r["k"]: r for r in near.groupBy("k").agg(*sums).collect()}  # one row per vertex
     value, slope = [], []
     for k, h in enumerate(widths):
-        r = rows[k]
-        normal = np.array([[r[f"s{i + j}"] for j in range(degree + 1)] for i in range(degree + 1)])
-        right = np.array([r[f"t{i}"] for i in range(degree + 1)])
-        solved = np.linalg.pinv(normal, rcond=1e-12, hermitian=True) @ right
+        s, t = totals[k]
+        if k in exact:
+            s = s + [exact[k][f"s{j}"] for j in range(2 * degree + 1)]
+            t = t + [exact[k][f"t{j}"] for j in range(degree + 1)]
+        normal = np.array([[s[i + j] for j in range(degree + 1)] for i in range(degree + 1)])
+        solved = np.linalg.pinv(normal, rcond=1e-12, hermitian=True) @ t
         value.append(float(solved[0]))
         slope.append(float(solved[1] / h) if degree else 0.0)
     return Curve(tuple(vertices), tuple(value), tuple(slope))
@@ -129,16 +205,19 @@ def fit_loess(df: DataFrame, x: str, y: str, span: float = 0.7, degree: int = 2,
     near = min(n, max(2, int(span * n + 1e-5)))
     widths = [max(h, 1e-300) for h in _bandwidths(ranked, vertices, near)]
     dropped(df.sparkSession, ranked_path)
-    weight = F.lit(1.0)
-    curve = Curve()
+    grid = Grid(seen["low"], (seen["high"] - seen["low"]) / CELLS)
+    rows, weight, curve = points.withColumn("cell", grid.cell()), F.lit(1.0), Curve()
     for k in range(rounds if robust else 1):
-        curve = _fit_vertices(points, weight, vertices, widths, degree)
+        curve = _fit_vertices(rows, weight, vertices, widths, degree, grid)
         if robust and k + 1 < rounds:
-            miss = F.abs(F.col("y") - curve.column(F.col("x")))
-            scale = 6 * (quantiles(points.select(miss.alias("miss")), "miss", [0.5]).first()["q"][0] or 0.0)
+            missed, next_path = stored(rows.select("x", "y", "cell", F.abs(F.col("y") - curve.column(F.col("x"))).alias("miss")))
+            dropped(df.sparkSession, path)
+            rows, path = missed, next_path
+            middle = at_ranks(rows.select(F.col("miss").alias("value")), [(n + 1) // 2, n // 2 + 1], n)
+            scale = 3 * (middle[(n + 1) // 2] + middle[n // 2 + 1])  # six medians
             if scale < 1e-300:
                 break
-            ratio = miss / scale
+            ratio = F.col("miss") / scale
             weight = F.when(ratio <= WEIGHT_STARTS, 1.0).when(ratio > WEIGHT_ENDS, 0.0).otherwise(F.pow(1 - ratio * ratio, 2))
     dropped(df.sparkSession, path)
     return curve
@@ -163,10 +242,20 @@ def kernel_smooth(refs: DataFrame, queries: DataFrame, sigma: float, cutoff: flo
     if sigma <= 0:
         return nearest.select(query_id, "x", F.col("ny").alias("y"))
     cell = lambda c: F.floor(F.col(c) / reach).cast("long")
-    wide = refs.withColumn("cell", F.explode(F.sequence(cell("rx") - 1, cell("rx") + 1)))
-    pairs = asked.withColumn("cell", cell("x")).join(wide, "cell").where(F.abs(F.col("x") - F.col("rx")) <= reach)
+    # Equal x count once, with their number and sum.
+    merged = refs.groupBy("rx").agg(F.count("ry").alias("n"), F.sum("ry").alias("sy"), F.min("ry").alias("low")).withColumn("cell", cell("rx"))
+    asked = asked.withColumn("visit", F.explode(F.sequence(cell("x") - 1, cell("x") + 1)))
+    # Dense cells are cut into blocks of refs, and their queries into parts.
+    blocks = merged.groupBy("cell").agg(F.ceil(F.count("*") / DENSE_REFS).cast("int").alias("blocks"))
+    parts = asked.groupBy(F.col("visit").alias("cell")).agg(F.ceil(F.count("*") / DENSE_QUERIES).cast("int").alias("parts"))
+    dense, _ = stored(blocks.join(parts, "cell").where("blocks > 1 OR parts > 1"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.coalesce(n, F.lit(1))).cast("int")
+    wide = merged.join(dense, "cell", "left").withColumn("block", own("rx", F.col("blocks"))).withColumn("part", spread(F.col("parts"))).drop("blocks", "parts")
+    asked = asked.withColumnRenamed("visit", "cell").join(dense, "cell", "left").withColumn("part", own(query_id, F.col("parts"))).withColumn("block", spread(F.col("blocks"))).drop("blocks", "parts")
+    pairs = asked.join(wide, ["cell", "block", "part"]).where(F.abs(F.col("x") - F.col("rx")) <= reach)
     w = F.exp(-F.pow((F.col("x") - F.col("rx")) / sigma, 2))
-    sums = pairs.groupBy(query_id).agg((F.sum(w * F.col("ry")) / F.sum(w)).alias("sy"), F.min(F.when(F.col("x") == F.col("rx"), F.col("ry"))).alias("ey"))
+    sums = pairs.groupBy(query_id).agg((F.sum(w * F.col("sy")) / F.sum(w * F.col("n"))).alias("sy"), F.min(F.when(F.col("x") == F.col("rx"), F.col("low"))).alias("ey"))
     return nearest.join(sums, query_id, "left").select(query_id, "x", F.coalesce("ey", "sy", "ny").alias("y"))
 
 
