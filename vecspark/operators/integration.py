@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import is_finite
+from .draws import multivariate_hypergeometric
 from .reshape import quantiles
 
 
@@ -115,7 +116,7 @@ def _null_divergences(bins: int, permutations: int, seed: int):
             for point, first, counts in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 draw = np.random.default_rng([seed, zlib.crc32(str(point).encode())])
                 counts = np.array(counts, np.int64)
-                one = draw.multivariate_hypergeometric(counts, first, size=permutations)[:, :bins]
+                one = multivariate_hypergeometric(draw, counts, first, permutations)[:, :bins]
                 two = counts[:bins] - one
                 p0, p1 = (n / np.maximum(n.sum(axis=1, keepdims=True), 1) for n in (one, two))
                 mid = np.where(p0 + p1 > 0, (p0 + p1) / 2, 1)
@@ -132,8 +133,8 @@ def jct_permutation_test(resid: DataFrame, studies: tuple, reach: float, bins: i
     Every point keeps the studies' sizes (residuals that are NaN or null are dealt too).  Only
     the number of residuals of each bin matters, so the data are counted to (point, bin)
     once and a permutation draws a point's first study from these counts (multivariate
-    hypergeometric), which has the distribution of dealing the rows themselves; a point may
-    have up to a thousand million residuals.  Draws depend on the seed and the point only.
+    hypergeometric), which has the distribution of dealing the rows themselves, for any number
+    of residuals.  Draws depend on the seed and the point only.
     p = (1 + permutations that reach the observed) / (B + 1).  Rows whose ``mask`` column is
     not true take no part.
     """
