@@ -47,8 +47,29 @@ def test_bundles(spark, tmp_path):
         io.load_table(spark, path + "3", spark.range(1).schema)
 
 
+def test_lookups_read_few_files(spark, tmp_path):
+    path = f"file://{tmp_path}/bundle"
+    genes = spark.range(20_000).selectExpr("id AS gene_id", "id % 7 AS family_id").repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # or small ranges would be joined into one file
+    try:
+        io.save_bundle({"gene_to_family": genes}, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    every = [p for p in (tmp_path / "bundle" / "gene_to_family").iterdir() if p.name.startswith("part-")]
+    ids = spark.createDataFrame([(17,), (18,), (19,), (None,), (50_000,)], "gene_id long")
+    assert len(every) == 4 and len(io.bundle_files(spark, path, "gene_to_family", ids, "gene_id")) == 1
+    found = io.lookup_in_bundle(spark, path, "gene_to_family", ids)
+    assert sorted(map(tuple, found.collect())) == [(17, 3), (18, 4), (19, 5)] and len(found.inputFiles()) == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(gene_id" in plan or "PushedFilters: [IsNotNull(gene_id), In(gene_id" in plan
+    many = io.lookup_in_bundle(spark, path, "gene_to_family", spark.range(500, 700).toDF("g"), "g", at_most=10)
+    assert many.count() == 200 and len(many.inputFiles()) < 4
+    assert io.lookup_in_bundle(spark, path, "gene_to_family", ids.where("gene_id > 30000")).count() == 0
+
+
 def test_entry_imports_without_the_llm_folders(tmp_path):
     here, copy = Path(__file__).resolve().parent.parent, tmp_path / "copy"
-    shutil.copytree(here, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    shutil.copytree(here, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'detect_outliers' in q and 'pipeline' not in q; assert not any(x.startswith('op') for x in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})

@@ -820,6 +820,36 @@ def bundle_round_trip(spark, d):
     return io.load_bundle(spark, path)[0]["gene_to_family"]
 
 
+@query(f"""{W('vec', 'comp', 'cen')} SELECT 'gene_ids' AS name, count(*) AS n, CAST(sum(gene_id) AS BIGINT) AS ids FROM vec UNION ALL SELECT 'gene_to_family', count(*), CAST(sum(gene_id) AS BIGINT) FROM vec
+UNION ALL SELECT 'expression', count(*), CAST(sum(gene_id) AS BIGINT) FROM vec UNION ALL SELECT 'shift_vectors', count(*), CAST(sum(gene_id) AS BIGINT) FROM vec
+UNION ALL SELECT 'family_ids', count(*), CAST(sum(family_id) AS BIGINT) FROM (SELECT DISTINCT family_id FROM vec) UNION ALL SELECT 'family_centroids', count(*), CAST(sum(family_id) AS BIGINT) FROM (SELECT DISTINCT family_id FROM cen)""")
+def bundle_of_all_tables(spark, d):
+    vec = T.vectors(spark, d)
+    centroids = families.group_centroid(vec)
+    tables = {
+        "gene_ids": vec.select("gene_id"),
+        "gene_to_family": vec.select("gene_id", "family_id"),
+        "expression": vec.select("gene_id", "v"),
+        "shift_vectors": families.shift_field(vec, centroids).select("gene_id", "shift"),
+        "family_ids": vec.select("family_id").distinct(),
+        "family_centroids": centroids,
+    }
+    path = shared_dir(spark)
+    io.save_bundle(tables, path)
+    found = [t.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum(io.sort_key(t)).cast("long").alias("ids")) for name, t in io.load_bundle(spark, path)[0].items()]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query(f"{W('vec')}, a AS (SELECT DISTINCT l_suppkey * 3 AS gene_id FROM lineitem) SELECT gene_id, family_id FROM vec JOIN a USING (gene_id)")
+def bundle_lookup(spark, d):
+    path = shared_dir(spark)
+    io.save_bundle({"gene_to_family": T.vectors(spark, d).select("gene_id", "family_id")}, path)
+    return io.lookup_in_bundle(spark, path, "gene_to_family", _asked(spark, d))
+
+
 def _as_text(lines: DataFrame) -> str:
     """The path of a table's lines as text files."""
     path = shared_dir(lines.sparkSession)

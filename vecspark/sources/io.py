@@ -89,15 +89,58 @@ def load_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return df
 
 
+def sort_key(df: DataFrame) -> str:
+    """The column that a bundle's table is laid out by: the gene, else the family, else the first."""
+    return next((c for c in ("gene_id", "family_id") if c in df.columns), df.columns[0])
+
+
 def save_bundle(tables: dict[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
-    """Any of the standard tables, with a manifest of which folder holds which."""
+    """Any of the standard tables, laid out for lookups, with a manifest of which folder holds which.
+
+    Each table is parted by ranges of its key (``sort_key``) and sorted inside, with Bloom
+    filters of the key; the manifest names the keys, and ``<table>_ranges`` holds the smallest
+    and largest key of every file.
+    """
     unknown = set(tables) - set(BUNDLE_KEYS)
     if unknown or not tables:
         raise ValueError(f"not standard tables: {sorted(unknown)}" if unknown else "no table given")
-    for key, df in tables.items():
-        df.write.mode(mode).parquet(f"{path}/{key}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(k, k) for k in sorted(tables)], "key string, folder string").coalesce(1).write.mode(mode).parquet(f"{path}/manifest")
+    for name, df in tables.items():
+        key = sort_key(df)
+        laid_out = df.repartitionByRange(F.col(f"`{key}`")).sortWithinPartitions(F.col(f"`{key}`"))
+        laid_out.write.mode(mode).option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(f"{path}/{name}")
+        placed = spark.read.schema(df.schema).parquet(f"{path}/{name}").select(F.regexp_extract(F.input_file_name(), r"[^/]+$", 0).alias("file"), F.col(f"`{key}`").alias("key"))
+        ranges = placed.groupBy("file").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"))
+        ranges.coalesce(1).write.mode(mode).parquet(f"{path}/{name}_ranges")
+    rows = [(k, k, sort_key(df)) for k, df in sorted(tables.items())]
+    spark.createDataFrame(rows, "key string, folder string, sorted_by string").coalesce(1).write.mode(mode).parquet(f"{path}/manifest")
+
+
+def bundle_files(spark: SparkSession, path: str, name: str, ids: DataFrame, id_col: str) -> list[str]:
+    """The files of a bundle's table whose range of keys may hold any of the ids (a row per file reaches the driver)."""
+    ranges = spark.read.parquet(f"{path}/{name}_ranges")
+    asked = ids.select(F.col(f"`{id_col}`").alias("id")).distinct()
+    hit = ranges.join(asked, (F.col("id") >= F.col("low")) & (F.col("id") <= F.col("high")), "left_semi")
+    return [f"{path}/{name}/{r['file']}" for r in hit.select("file").orderBy("file").collect()]
+
+
+def lookup_in_bundle(spark: SparkSession, path: str, name: str, ids: DataFrame, id_col: str | None = None, at_most: int = 1000) -> DataFrame:
+    """The rows of a bundle's table whose key is among ``ids``; only files that may hold one are read.
+
+    Up to ``at_most`` ids also become a filter of the scan, so that row groups without them
+    are left out by their statistics and Bloom filters.  Null ids find nothing.
+    """
+    whole = spark.read.parquet(f"{path}/{name}")
+    key = next(r["sorted_by"] for r in spark.read.parquet(f"{path}/manifest").where(F.col("key") == name).collect())
+    id_col = id_col or key
+    files = bundle_files(spark, path, name, ids, id_col)
+    if not files:
+        return whole.limit(0)
+    found = spark.read.schema(whole.schema).parquet(*files)
+    few = [r[0] for r in ids.select(F.col(f"`{id_col}`")).where(F.col(f"`{id_col}`").isNotNull()).distinct().limit(at_most + 1).collect()]
+    if len(few) <= at_most:
+        return found.where(F.col(f"`{key}`").isin(few))
+    return found.join(ids.select(F.col(f"`{id_col}`").alias(key)).distinct(), key, "left_semi")
 
 
 def load_bundle(spark: SparkSession, path: str, keys: tuple[str, ...] = BUNDLE_KEYS) -> tuple[dict[str, DataFrame], list[str]]:
