@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from vecspark.sources import io
+from vecspark.sources import io, storage
 
 
 def write(tmp_path, name, text):
@@ -47,6 +47,16 @@ def test_bundles(spark, tmp_path):
         io.load_table(spark, path + "3", spark.range(1).schema)
 
 
+def test_stored_tables_can_all_be_dropped(spark):
+    df, path = storage.stored(spark.range(3))
+    assert path in storage._MADE and df.count() == 3
+    kept = storage.stored(spark.range(2))[1]
+    storage.dropped(spark, path)
+    assert path not in storage._MADE and kept in storage._MADE
+    storage.drop_all(spark)
+    assert not storage._MADE and not os.path.exists(kept.removeprefix("file://"))
+
+
 def test_lookups_read_few_files(spark, tmp_path):
     path = f"file://{tmp_path}/bundle"
     genes = spark.range(20_000).selectExpr("id AS gene_id", "id % 7 AS family_id").repartition(5)

@@ -35,7 +35,7 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read(spark, sf_dir, "events").where("user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL")
     t = t.select(F.col("user_id").alias("sample"), F.col("event_type").alias("factor"), F.to_date("ts").alias("day"), "value")
     span = F.broadcast(t.agg(F.min("day").alias("first"), F.max("day").alias("last")))
-    grid = t.select("sample").distinct().crossJoin(F.broadcast(t.select("factor").distinct())).crossJoin(span)
+    grid = t.select("sample").distinct().crossJoin(t.select("factor").distinct()).crossJoin(span)
     grid = grid.select("sample", "factor", F.explode(F.sequence("first", "last")).alias("day"), "first")
     means = t.groupBy("sample", "factor", "day").agg(F.avg("value").alias("value"))
     filled = grid.join(means, ["sample", "factor", "day"], "left")

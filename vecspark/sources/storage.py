@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders that this process has made and not deleted yet.
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``; where that is unset and the master is local, as in tests, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -17,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/steps-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/steps-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
@@ -31,3 +37,14 @@ def dropped(spark: SparkSession, path: str) -> None:
     """Deletes a folder that ``stored`` made."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Deletes all folders that operators of this process have stored and not dropped.
+
+    Results read some of these tables, so call it when results are written.
+    """
+    for path in list(_MADE):
+        dropped(spark, path)
