@@ -367,19 +367,19 @@ def axis_average(spark, d):
     return normalize.axis_average(T.replicates(spark, d)).select("gene_id", "axis", r6("value"))
 
 
-@query(f"{W('rep')} SELECT gene_id, round(avg(value), 6) AS mean, round(stddev_pop(value), 5) AS sd FROM rep GROUP BY ALL")
+@query(f"{W('rep')} SELECT gene_id, {_single('avg(value)')} AS mean, round(stddev_pop(value), 5) AS sd FROM rep GROUP BY ALL")
 def mean_and_sd(spark, d):
-    return normalize.spread(T.replicates(spark, d), "gene_id").select("gene_id", r6("mean"), F.round("sd", 5).alias("sd"))
+    return normalize.spread(T.replicates(spark, d), "gene_id").select("gene_id", single("mean"), F.round("sd", 5).alias("sd"))
 
 
-@query(f"{W('rep')} SELECT gene_id, round(avg(value), 6) AS mean FROM rep GROUP BY ALL")
+@query(f"{W('rep')} SELECT gene_id, {_single('avg(value)')} AS mean FROM rep GROUP BY ALL")
 def gene_means(spark, d):
-    return normalize.gene_means(T.replicates(spark, d)).select("gene_id", r6("mean"))
+    return normalize.gene_means(T.replicates(spark, d)).select("gene_id", single("mean"))
 
 
-@query(f"{W('rep')} SELECT gene_id, replicate, round(value - avg(value) OVER (PARTITION BY gene_id), 6) + 0.0 AS resid FROM rep")
+@query(f"{W('rep')} SELECT gene_id, replicate, {_single('value - avg(value) OVER (PARTITION BY gene_id)')} AS resid FROM rep")
 def residuals(spark, d):
-    return normalize.residuals(T.replicates(spark, d)).select("gene_id", "replicate", r6("resid"))
+    return normalize.residuals(T.replicates(spark, d)).select("gene_id", "replicate", single("resid"))
 
 
 @query(f"""{W('vec', 'comp')}, r AS (SELECT gene_id, pos, row_number() OVER (PARTITION BY pos ORDER BY value, gene_id) AS k, value FROM comp),
