@@ -108,8 +108,25 @@ def removed_by_hand(texts, window):
 @pytest.mark.parametrize("window, prefix", [(35, 8), (5, 5), (3, 1), (1, 1)])
 def test_substring_dedup_equals_brute_force(spark, window, prefix):
     texts = corpus(seed=window)
-    got = substring_dedup.remove_repeats(docs_of(spark, texts, clash=True).drop("n_words"), window=window, prefix=prefix, joiner=" ").collect()
-    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in got} == dict(enumerate(removed_by_hand(texts, window)))
+    docs, want = docs_of(spark, texts, clash=True).drop("n_words"), dict(enumerate(removed_by_hand(texts, window)))
+    for group in (1024, 4, 0):  # all subtrees in memory, some, none
+        got = substring_dedup.remove_repeats(docs, window=window, prefix=prefix, joiner=" ", group=group).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in got} == want
+
+
+def test_nodes_of_subtrees_equal_brute_force():
+    import numpy as np
+
+    rng = random.Random(3)
+    words = np.array([rng.choice([1, 2, 3]) if rng.random() < 0.6 else 4 for _ in range(600)], np.uint64)
+    words[400:500] = words[100:200]
+    for depth in (1, 3, 9, 40):
+        begin = np.array(rng.sample(range(600 - depth), 400))
+        group = np.array([rng.randint(0, 5) for _ in begin])
+        seen = [(g, *words[b : b + depth].tolist()) for g, b in zip(group.tolist(), begin.tolist())]
+        assert substring_dedup.deep_suffixes(words, begin, group, depth).tolist() == [k for k, x in enumerate(seen) if seen.count(x) > 1]
+    none = np.zeros(0, np.int64)
+    assert not len(substring_dedup.deep_suffixes(words, none, none, 5))
 
 
 def test_words_of_one_kilobyte_that_differ_are_not_the_same(spark):

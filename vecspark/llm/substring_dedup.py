@@ -1,23 +1,27 @@
-"""Removal of word passages that repeat anywhere in the corpus, by suffixes grouped by a prefix of words.
+"""Removal of word passages that repeat anywhere in the corpus, by suffix trees split by prefixes.
 
-All suffixes (word positions) of all texts form a suffix tree whose nodes deeper
-than ``window`` words are the repeats.  Its upper part is split by prefixes:
+All suffixes (word positions) of all texts form a suffix tree whose nodes of ``window``
+words or more are the repeats.  Prefixes of variable length split it into groups:
 
 1. Every window of ``window`` words owns the smallest-hash ``prefix``-gram inside of
    it.  Equal windows own equal prefixes at equal places, so suffixes fall into
    groups by that prefix, and runs of neighbouring windows share one entry, which
-   also knows the hashes of all words that the run covers.  A prefix with one entry is
-   a leaf, which is dropped here; one whose entries all cover the same words is a
-   single path without a branch, all of whose windows repeat.
-2. Only suffixes below branching prefixes are extended to full depth; the internal
-   nodes at that depth (two suffixes or more) are the repeats.  Repeated windows that
-   overlap or adjoin make the maximal repeats.
-
-The prefix has a fixed number of words, and a group may have any size: it is never
-gathered, but counted by partial sums.  A node is known by two independent 64-bit
-hashes of its word path, of words that were told apart by their bytes and hashed by
-XXH3 with 128 bits.  Words of equal nodes are not compared again: among 10**14 suffixes
-all chance collisions together have a probability of about 1e-11.
+   also knows the hashes of all words that the run covers.  Groups are counted first.  A
+   prefix with one entry is a leaf, which is dropped here; one whose entries all cover
+   the same words is a single path without a branch, all of whose windows repeat.
+2. A branching group of up to ``group`` entries fits memory.  Only its entries travel,
+   each with the words of its run, once for all suffixes that begin there.  One task builds
+   the group's subtree from the top: an edge runs on as long as all suffixes below
+   it have the same word, a branch parts them, and suffixes alone are leaves.  Nodes
+   that are left at depth ``window`` are the repeats.
+3. A group of more entries gets longer prefixes.  At ``window`` words a group is a node
+   itself, so it needs no tree and no memory, only its count, by partial sums.
+
+Repeated windows that overlap or adjoin make the maximal repeats.  Words were told apart
+by their bytes and hashed by XXH3 with 128 bits.  Trees compare words by 64 bits of these,
+within one group; counted nodes are known by two independent 64-bit hashes of their word
+path.  Words are not compared again: among 10**14 suffixes all chance collisions together
+have a probability of about 1e-11.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import freed, hidden, joined, run_hashes, shown, stored, text_slices, word_hashes, word_spans
 
+#: What becomes of a group: a path without branch, a subtree in memory, or longer prefixes.
+PATH, TREE, LONGER = 0, 1, 2
 #: Words are parted by ASCII white space.
 IS_WORD = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
 
@@ -46,14 +52,14 @@ def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_owners(hashes: np.ndarray, first: np.ndarray, window: int, prefix: int):
-    """(document, first window, window count, owner's hash, two hashes of all words) of each run of windows that one prefix owns.
+    """(document, first window, window count, owner's distance, its hash, two hashes of all words) of each run of windows that one prefix owns.
 
     ``hashes`` are those of the words of several texts (two rows), ``first`` each text's first word.
     """
     counts = np.maximum(np.diff(first) - window + 1, 0)
     if not counts.sum():
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, np.zeros(0, np.uint64), np.zeros((2, 0), np.uint64)
+        return empty, empty, empty, empty, np.zeros(0, np.uint64), np.zeros((2, 0), np.uint64)
     grams = run_hashes(hashes[0], prefix)
     doc = np.repeat(np.arange(len(counts)), counts)
     ahead = np.cumsum(counts) - counts
@@ -66,7 +72,16 @@ def window_owners(hashes: np.ndarray, first: np.ndarray, window: int, prefix: in
     at = first[doc[begin]] + place[begin]
     # A run has no more windows than a window has words, so its first and its last window hold all of its words.
     cover = [joined(w[at], w[at + length - 1] + length.astype(np.uint64), 1) for w in (run_hashes(h, window, k << 20) for k, h in enumerate(hashes))]
-    return doc[begin], place[begin], length, grams[owner[begin]], np.array(cover)
+    return doc[begin], place[begin], length, owner[begin] - at, grams[owner[begin]], np.array(cover)
+
+
+def packed(place: np.ndarray, length: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """Place, window count and owner's distance of runs in one number, as Spark's rows have 8 bytes for any."""
+    return place << 32 | length << 16 | ahead
+
+
+def unpacked(spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return spot >> 32, spot >> 16 & 0xFFFF, spot & 0xFFFF
 
 
 def _entries(window: int, prefix: int):
@@ -77,35 +92,130 @@ def _entries(window: int, prefix: int):
             row = batch.column(0).to_numpy()
             for at, n, data, offsets in text_slices(batch.column(1)):
                 starts, ends, first = word_spans(data, offsets, IS_WORD)
-                doc, place, length, key, cover = window_owners(word_hashes(data, starts, ends), first, window, prefix)
+                doc, place, length, ahead, key, cover = window_owners(word_hashes(data, starts, ends), first, window, prefix)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (key.view(np.int64), cover[0].view(np.int64), cover[1].view(np.int64), row[at : at + n][doc], place.astype(np.int32), length.astype(np.int32))],
-                    names=["prefix", "cover", "cover2", "row", "place", "length"],
+                    [pa.array(x) for x in (key.view(np.int64), cover[0].view(np.int64), cover[1].view(np.int64), row[at : at + n][doc], packed(place, length, ahead))],
+                    names=["prefix", "cover", "cover2", "row", "spot"],
                 )
 
     return freed(run)
 
 
+def _runs_of(batch, kind: int):
+    """(hashes of all words, row, first word, place, length, owner's distance, prefix) of the runs of a kind, by slices of texts."""
+    row, runs = batch.column(0).to_numpy(), batch.column(2)
+    for at, n, data, offsets in text_slices(batch.column(1)):
+        starts, ends, first = word_spans(data, offsets, IS_WORD)
+        own = runs.slice(at, n)
+        size = np.diff(np.asarray(own.offsets))
+        spot, key, kinds = (own.flatten().field(k).to_numpy() for k in range(3))
+        wanted = kinds == kind
+        doc = np.repeat(np.arange(n), size)[wanted]
+        yield word_hashes(data, starts, ends), row[at : at + n][doc], first[doc], *unpacked(spot[wanted]), key[wanted]
+
+
+def _spread(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each range, one after the other."""
+    return np.repeat(begin - np.cumsum(length) + length, length) + np.arange(length.sum())
+
+
+def _branches(window: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for hashes, row, first, place, length, ahead, key in _runs_of(batch, TREE):
+                size = length + window - 1
+                words = np.ascontiguousarray(hashes[0][_spread(first + place, size)])
+                offsets = np.concatenate([[0], np.cumsum(8 * size)]).astype(np.int32)
+                words = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(words)])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row), pa.array(packed(place, length, ahead)), words], names=["prefix", "row", "spot", "words"])
+
+    return freed(run)
+
+
+def deep_suffixes(words: np.ndarray, begin: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
+    """Which suffixes (numbers, rising) share their first ``depth`` words with another one of their group.
+
+    ``begin`` is where each suffix begins in ``words``.  The tree grows from the top, all
+    groups at once: suffixes of one node stand together, and only nodes where some word
+    differs from the first suffix's are sorted by it.
+    """
+    suffix = np.argsort(group, kind="stable")
+    begin, group = begin[suffix], group[suffix]
+    new = np.ones(len(suffix), bool)
+    new[1:] = group[1:] != group[:-1]
+    level = 0
+    while True:
+        starts = np.flatnonzero(new)
+        size = np.diff(np.append(starts, len(new)))
+        inner = np.repeat(size > 1, size)
+        if not inner.all():
+            suffix, begin, new = suffix[inner], begin[inner], new[inner]
+            size = size[size > 1]
+            starts = np.cumsum(size) - size
+        branch = np.zeros(0, bool)
+        while level < depth and len(suffix) and not branch.any():
+            word = words[begin + level]
+            branch = np.logical_or.reduceat(word != np.repeat(word[starts], size), starts)
+            level += 1
+        if not branch.any():
+            return np.sort(suffix)
+        at = np.flatnonzero(np.repeat(branch, size))
+        order = np.lexsort((word[at], np.repeat(np.arange(len(size)), size)[at]))
+        suffix[at], begin[at], word = suffix[at][order], begin[at][order], word[at][order]
+        new[at[1:]] |= word[1:] != word[:-1]
+
+
+def _trees(window: int):
+    def repeats(table):
+        import pyarrow as pa
+
+        key, row, spot = (table.column(k).to_numpy() for k in range(3))
+        place, length, ahead = unpacked(spot)
+        column = pa.concat_arrays(table.column(3).cast(pa.large_binary()).chunks)
+        _, offsets, data = column.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(row)]
+        run = np.repeat(np.arange(len(row)), length)
+        step = _spread(np.zeros(len(row), np.int64), length)
+        # Equal windows have their owner at equal distances.
+        group = (np.cumsum(np.append(True, key[1:] != key[:-1]))[run] * window) + ahead[run] - step
+        hit = deep_suffixes(np.frombuffer(data, np.uint64), offsets[run] // 8 + step, group, window)
+        new = np.ones(len(hit), bool)
+        new[1:] = (np.diff(hit) != 1) | (run[hit[1:]] != run[hit[:-1]])
+        begin = np.flatnonzero(new)
+        first = hit[begin]
+        size = np.diff(np.append(begin, len(hit)))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (row[run[first]], (place[run] + step)[first].astype(np.int32), size.astype(np.int32))], names=["row", "place", "length"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            last = int(np.searchsorted(held.column(0).to_numpy(), held.column(0)[-1].as_py()))
+            if last:
+                yield repeats(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None:
+            yield repeats(held)
+
+    return freed(run)
+
+
 def _suffixes(window: int):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            row, runs = batch.column(0).to_numpy(), batch.column(2)
-            for at, n, data, offsets in text_slices(batch.column(1)):
-                starts, ends, first = word_spans(data, offsets, IS_WORD)
-                hashes = word_hashes(data, starts, ends)
-                own = runs.slice(at, n)
-                size = np.diff(np.asarray(own.offsets))
-                flat = own.flatten()
-                branch = flat.field(2).to_numpy(zero_copy_only=False)
-                place, length = (flat.field(k).to_numpy().astype(np.int64)[branch] for k in (0, 1))
-                doc = np.repeat(np.repeat(np.arange(n), size)[branch], length)
-                place = np.repeat(place, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-                begin = first[doc] + place
+            for hashes, row, first, place, length, _, _ in _runs_of(batch, LONGER):
+                begin = _spread(first + place, length)
                 nodes = [run_hashes(h, window, k << 20)[begin].view(np.int64) for k, h in enumerate(hashes)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (*nodes, row[at : at + n][doc], place.astype(np.int32))],
+                    [pa.array(x) for x in (*nodes, np.repeat(row, length), _spread(place, length).astype(np.int32))],
                     names=["node", "node2", "row", "place"],
                 )
 
@@ -132,11 +242,8 @@ def _cut(window: int, joiner: str | None, rest: list[str]):
         spans = zip(starts[np.flatnonzero(edge == 1)], ends[np.flatnonzero(edge == -1) - 1])
         return len(starts), int((~stays).sum()), b"\n".join(data[a:b] for a, b in spans).decode()
 
-    def numbers(scalar, field: int | None = None) -> np.ndarray:
-        values = scalar.values
-        if values is None:
-            return np.zeros(0, np.int64)
-        return (values if field is None else values.field(field)).to_numpy(zero_copy_only=False)
+    def numbers(scalar, field: int) -> np.ndarray:
+        return np.zeros(0, np.int64) if scalar.values is None else scalar.values.flatten()[field].to_numpy()
 
     def run(batches):
         import pyarrow as pa
@@ -144,10 +251,9 @@ def _cut(window: int, joiner: str | None, rest: list[str]):
         for batch in batches:
             out = []
             for k in range(batch.num_rows):
-                runs, single = batch.column(1)[k], numbers(batch.column(2)[k]).astype(np.int64)
-                path = ~numbers(runs, 2).astype(bool)
-                places = np.concatenate([single, numbers(runs, 0).astype(np.int64)[path]])
-                lengths = np.concatenate([np.ones(len(single), np.int64), numbers(runs, 1).astype(np.int64)[path]])
+                runs, found = batch.column(1)[k], batch.column(2)[k]
+                path = unpacked(numbers(runs, 0)[numbers(runs, 2) == PATH])
+                places, lengths = (np.concatenate([numbers(found, f).astype(np.int64), path[f]]) for f in (0, 1))
                 out.append(kept(batch.column(0)[k].as_py(), places, lengths))
             n_words, n_removed, texts = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -158,27 +264,35 @@ def _cut(window: int, joiner: str | None, rest: list[str]):
     return freed(run)
 
 
-def repeated_windows(docs: DataFrame, window: int = 35, prefix: int = 8) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(docs: DataFrame, window: int = 35, prefix: int = 8, group: int = 1024) -> tuple[DataFrame, DataFrame]:
     """The repeats of each row (``row``, ``text``, others) that has any, as two tables keyed by ``row``.
 
-    ``runs`` are structs of place, length and branch: all windows of runs without
-    branch are repeats.  ``places`` are the repeated windows below branches.
+    ``runs`` are structs of spot (see ``packed``), prefix and kind: all windows of runs of kind
+    ``PATH`` are repeats.  ``places`` are structs of place and length of the repeated windows of others.
     """
     texts = docs.select("row", "text")
-    entries = texts.mapInArrow(_entries(window, prefix), "prefix long, cover long, cover2 long, row long, place int, length int")
+    entries = texts.mapInArrow(_entries(window, prefix), "prefix long, cover long, cover2 long, row long, spot long")
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("cover", "cover2") for f in (F.min, F.max)]
     groups = entries.groupBy("prefix").agg(F.count("*").alias("n"), *ends)
-    groups = groups.where("n > 1").select("prefix", F.expr("min_cover <> max_cover OR min_cover2 <> max_cover2").alias("branch"))
+    branch = F.expr("min_cover <> max_cover OR min_cover2 <> max_cover2")
+    kind = F.when(~branch, PATH).when(F.col("n") <= group, TREE).otherwise(LONGER)
+    groups = groups.where("n > 1").select("prefix", kind.alias("kind"))
     runs = _inverted(entries.drop("cover", "cover2"), "prefix").join(_inverted(groups, "prefix"), "prefix")
-    runs = runs.groupBy("row").agg(F.collect_list(F.struct("place", "length", "branch")).alias("runs"))
+    runs = runs.groupBy("row").agg(F.collect_list(F.struct("spot", "prefix", "kind")).alias("runs"))
     # All columns of docs stay, so that this join and the last one share one exchange of the texts.
-    below = docs.join(runs, "row").where(F.exists("runs", lambda x: x["branch"]))
-    rest = [c for c in docs.columns if c not in ("row", "text")]
-    suffixes = below.select("row", "text", "runs", *rest).mapInArrow(_suffixes(window), "node long, node2 long, row long, place int")
+    below, rest = docs.join(runs, "row"), [c for c in docs.columns if c not in ("row", "text")]
+
+    def having(kind: int) -> DataFrame:
+        return below.where(F.exists("runs", lambda x: x["kind"] == kind)).select("row", "text", "runs", *rest)
+
+    branches = having(TREE).mapInArrow(_branches(window), "prefix long, row long, spot long, words binary")
+    grouped = branches.repartition("prefix").sortWithinPartitions("prefix")
+    found = grouped.mapInArrow(_trees(window), "row long, place int, length int")
+    suffixes = having(LONGER).mapInArrow(_suffixes(window), "node long, node2 long, row long, place int")
     internal = suffixes.groupBy("node", "node2").count().where("count > 1").select("node", "node2")
-    repeats = _inverted(suffixes, "node").join(_inverted(internal, "node"), ["node", "node2"], "left_semi")
-    places = repeats.groupBy("row").agg(F.collect_list("place").alias("places"))
-    return runs, places
+    nodes = _inverted(suffixes, "node").join(_inverted(internal, "node"), ["node", "node2"], "left_semi")
+    places = found.unionByName(nodes.select("row", "place", F.lit(1).alias("length")))
+    return runs, places.groupBy("row").agg(F.collect_list(F.struct("place", "length")).alias("places"))
 
 
 def _inverted(df: DataFrame, column: str) -> DataFrame:
@@ -187,7 +301,7 @@ def _inverted(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.bitwise_not(column))
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, prefix: int = 8, joiner: str | None = None, repeatable: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, prefix: int = 8, joiner: str | None = None, repeatable: bool = False, group: int = 1024) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept_text`` instead of the text column.
 
     Removed is every word covered by a window of ``window`` consecutive words whose
@@ -198,15 +312,17 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, pr
     untouched; repeated rows repeat each other and lose all their windows; an empty
     table gives an empty one.  ``docs`` is read more than once: it is written to the
     shared storage first unless it is ``repeatable``, which means that every reading
-    gives its rows in the same order (as plain reads of a stored table do).
+    gives its rows in the same order (as plain reads of a stored table do).  Subtrees of
+    up to ``group`` entries are built in memory (0.5 MB with the defaults); every size
+    gives the same result.
     """
-    if not 0 < prefix <= window:
-        raise ValueError("prefix must have between 1 and window words")
+    if not 0 < prefix <= window < 1 << 15:
+        raise ValueError("prefix must have between 1 and window words, a window less than 32,768")
     if not repeatable:
         docs, _ = stored(docs)
     rest = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed", "kept_text")]
     numbered = hidden(docs, rest, F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    runs, places = repeated_windows(numbered, window, prefix)
+    runs, places = repeated_windows(numbered, window, prefix, group)
     kept = [c for c in numbered.columns if c.startswith("__kept")]
     schema = numbered.select(*kept).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_text": F.lit("")}).schema
     found = numbered.join(runs, "row", "left").join(places, "row", "left")
