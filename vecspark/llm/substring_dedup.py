@@ -14,8 +14,10 @@ words or more are the repeats.  Prefixes of variable length split it into groups
    the group's subtree from the top: an edge runs on as long as all suffixes below
    it have the same word, a branch parts them, and suffixes alone are leaves.  Nodes
    that are left at depth ``window`` are the repeats.
-3. A group of more entries gets longer prefixes.  At ``window`` words a group is a node
-   itself, so it needs no tree and no memory, only its count, by partial sums.
+3. A group of more entries gets longer prefixes: first all words of a run.  Entries that
+   agree in these repeat each other, and one of them stands for all.  What is left is
+   told apart at ``window`` words, where a group is a node itself, so that it needs no
+   tree and no memory, only its count, by partial sums.
 
 Repeated windows that overlap or adjoin make the maximal repeats.  Words were told apart
 by their bytes and hashed by XXH3 with 128 bits.  Trees compare words by 64 bits of these,
@@ -32,8 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import freed, hidden, joined, run_hashes, shown, stored, text_slices, word_hashes, word_spans
 
-#: What becomes of a group: a path without branch, a subtree in memory, or longer prefixes.
-PATH, TREE, LONGER = 0, 1, 2
+#: What becomes of a run: it repeats as a whole, enters a subtree in memory, gets longer prefixes, or
+#: repeats as a whole and gets longer prefixes for itself and all runs of the same words.
+PATH, TREE, LONGER, LEADER = 0, 1, 2, 3
 #: Words are parted by ASCII white space.
 IS_WORD = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
 
@@ -101,15 +104,15 @@ def _entries(window: int, prefix: int):
     return freed(run)
 
 
-def _runs_of(batch, kind: int):
-    """(hashes of all words, row, first word, place, length, owner's distance, prefix) of the runs of a kind, by slices of texts."""
+def _runs_of(batch, *some: int):
+    """(hashes of all words, row, first word, place, length, owner's distance, prefix) of the runs of some kinds, by slices of texts."""
     row, runs = batch.column(0).to_numpy(), batch.column(2)
     for at, n, data, offsets in text_slices(batch.column(1)):
         starts, ends, first = word_spans(data, offsets, IS_WORD)
         own = runs.slice(at, n)
         size = np.diff(np.asarray(own.offsets))
         spot, key, kinds = (own.flatten().field(k).to_numpy() for k in range(3))
-        wanted = kinds == kind
+        wanted = np.isin(kinds, some)
         doc = np.repeat(np.arange(n), size)[wanted]
         yield word_hashes(data, starts, ends), row[at : at + n][doc], first[doc], *unpacked(spot[wanted]), key[wanted]
 
@@ -211,7 +214,7 @@ def _suffixes(window: int):
         import pyarrow as pa
 
         for batch in batches:
-            for hashes, row, first, place, length, _, _ in _runs_of(batch, LONGER):
+            for hashes, row, first, place, length, _, _ in _runs_of(batch, LONGER, LEADER):
                 begin = _spread(first + place, length)
                 nodes = [run_hashes(h, window, k << 20)[begin].view(np.int64) for k, h in enumerate(hashes)]
                 yield pa.RecordBatch.from_arrays(
@@ -252,7 +255,7 @@ def _cut(window: int, joiner: str | None, rest: list[str]):
             out = []
             for k in range(batch.num_rows):
                 runs, found = batch.column(1)[k], batch.column(2)[k]
-                path = unpacked(numbers(runs, 0)[numbers(runs, 2) == PATH])
+                path = unpacked(numbers(runs, 0)[np.isin(numbers(runs, 2), (PATH, LEADER))])
                 places, lengths = (np.concatenate([numbers(found, f).astype(np.int64), path[f]]) for f in (0, 1))
                 out.append(kept(batch.column(0)[k].as_py(), places, lengths))
             n_words, n_removed, texts = zip(*out) if out else ((), (), ())
@@ -268,7 +271,7 @@ def repeated_windows(docs: DataFrame, window: int = 35, prefix: int = 8, group:
     """The repeats of each row (``row``, ``text``, others) that has any, as two tables keyed by ``row``.
 
     ``runs`` are structs of spot (see ``packed``), prefix and kind: all windows of runs of kind
-    ``PATH`` are repeats.  ``places`` are structs of place and length of the repeated windows of others.
+    ``PATH`` and ``LEADER`` are repeats.  ``places`` are structs of place and length of the repeated windows of others.
     """
     texts = docs.select("row", "text")
     entries = texts.mapInArrow(_entries(window, prefix), "prefix long, cover long, cover2 long, row long, spot long")
@@ -277,18 +280,22 @@ def repeated_windows(docs: DataFrame, window: int = 35, prefix: int = 8, group:
     branch = F.expr("min_cover <> max_cover OR min_cover2 <> max_cover2")
     kind = F.when(~branch, PATH).when(F.col("n") <= group, TREE).otherwise(LONGER)
     groups = groups.where("n > 1").select("prefix", kind.alias("kind"))
-    runs = _inverted(entries.drop("cover", "cover2"), "prefix").join(_inverted(groups, "prefix"), "prefix")
+    runs = _inverted(entries, "prefix").join(_inverted(groups, "prefix"), "prefix")
+    same, first = ["prefix", "cover", "cover2"], F.struct("row", "spot")
+    copies = runs.where(F.col("kind") == LONGER).groupBy(*same).agg(F.count("*").alias("n"), F.min(first).alias("leader")).where("n > 1").drop("n")
+    runs = _inverted(runs, "prefix").join(_inverted(copies, "prefix"), same, "left")
+    runs = runs.withColumn("kind", F.when(F.col("leader").isNull(), F.col("kind")).when(F.col("leader") == first, LEADER).otherwise(PATH))
     runs = runs.groupBy("row").agg(F.collect_list(F.struct("spot", "prefix", "kind")).alias("runs"))
     # All columns of docs stay, so that this join and the last one share one exchange of the texts.
     below, rest = docs.join(runs, "row"), [c for c in docs.columns if c not in ("row", "text")]
 
-    def having(kind: int) -> DataFrame:
-        return below.where(F.exists("runs", lambda x: x["kind"] == kind)).select("row", "text", "runs", *rest)
+    def having(*kinds: int) -> DataFrame:
+        return below.where(F.exists("runs", lambda x: x["kind"].isin(*kinds))).select("row", "text", "runs", *rest)
 
     branches = having(TREE).mapInArrow(_branches(window), "prefix long, row long, spot long, words binary")
     grouped = branches.repartition("prefix").sortWithinPartitions("prefix")
     found = grouped.mapInArrow(_trees(window), "row long, place int, length int")
-    suffixes = having(LONGER).mapInArrow(_suffixes(window), "node long, node2 long, row long, place int")
+    suffixes = having(LONGER, LEADER).mapInArrow(_suffixes(window), "node long, node2 long, row long, place int")
     internal = suffixes.groupBy("node", "node2").count().where("count > 1").select("node", "node2")
     nodes = _inverted(suffixes, "node").join(_inverted(internal, "node"), ["node", "node2"], "left_semi")
     places = found.unionByName(nodes.select("row", "place", F.lit(1).alias("length")))
