@@ -280,6 +280,9 @@ def repeated_windows(docs: DataFrame, window: int = 35, prefix: int = 8, group:
     branch = F.expr("min_cover <> max_cover OR min_cover2 <> max_cover2")
     kind = F.when(~branch, PATH).when(F.col("n") <= group, TREE).otherwise(LONGER)
     groups = groups.where("n > 1").select("prefix", kind.alias("kind"))
+    # Nothing is null here; this says what Spark infers for some readings only, which then could not share an exchange.
+    inverse = F.bitwise_not("prefix")
+    entries = entries.where(F.expr("row IS NOT NULL AND cover IS NOT NULL AND cover2 IS NOT NULL") & inverse.isNotNull() & F.bitwise_not(inverse).isNotNull())
     runs = _inverted(entries, "prefix").join(_inverted(groups, "prefix"), "prefix")
     same, first = ["prefix", "cover", "cover2"], F.struct("row", "spot")
     copies = runs.where(F.col("kind") == LONGER).groupBy(*same).agg(F.count("*").alias("n"), F.min(first).alias("leader")).where("n > 1").drop("n")
