@@ -29,7 +29,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by a five-word shingle similarity of 0.8 or more, unchanged."""
+    """The document with the smallest id of each group linked by a five-word shingle similarity of 0.8 or more, unchanged.
+
+    Candidates come from SimHash fingerprints and, where these differ too much, from hash minima.
+    """
     small_batches(spark)
     return shingle_dedup.one_of_each(docs.select(*COLUMNS), size=5, similarity=0.8, repeatable=True)
 

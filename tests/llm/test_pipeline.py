@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from vecspark.llm import shingle_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -102,3 +103,16 @@ def test_near_copies_of_a_similarity_of_four_fifths_are_dropped(spark):
     docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], SCHEMA).repartition(3, "doc_id")
     kept = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
     assert sorted(kept) == sorted(set(root))
+
+
+def test_simhash_finds_near_copies_without_any_shared_minima(spark):
+    rng = random.Random(5)
+    texts = [[f"w{rng.randint(0, 9999)}" for _ in range(300)] for _ in range(30)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(30 + k, " ".join([*t[:-1], "last"])) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id").withColumn("row", F.col("doc_id"))
+    marks = shingle_dedup._marks(docs, "row", "doc_id", "text", 5)
+    apart = marks.withColumn("bands", F.array(F.xxhash64("row"))).localCheckpoint()
+    prints = {r["row"]: r["fingerprint"] for r in apart.collect()}
+    near = {(k, 30 + k) for k in range(30) if ((prints[k] ^ prints[30 + k]) & (1 << 64) - 1).bit_count() <= shingle_dedup.DISTANCE}
+    found, _ = shingle_dedup.links(apart, docs.select("row", "text"), "row", "text", 5, 0.8)
+    assert len(near) > 20 and {(r["a"], r["b"]) for r in found.collect()} == near

@@ -1,11 +1,14 @@
-"""Near copies by the Jaccard similarity of their word shingles: banded minima find candidates, shingle sets decide.
+"""Near copies by the Jaccard similarity of their word shingles: SimHash and banded minima find candidates, shingle sets decide.
 
 A document is the set of its ``size``-word shingles (64-bit hashes).  Equal sets
-collapse first.  Every other set gives ``BANDS`` keys of ``ROWS`` hash minima each;
-sets of similarity s share a key with probability 1 - (1 - s**ROWS)**BANDS (0.999997
-at 0.8, more above).  Sets that share a key are compared exactly, in two steps:
-
-1. with one set of each key (a star: no more pairs than entries);
+collapse first.  Every other set has a SimHash fingerprint; sets whose fingerprints
+differ in at most ``DISTANCE`` bits are candidates (see ``simhash``).  As sets of
+similarity 0.8 differ in about 10 bits, every set also gives ``BANDS`` keys of ``ROWS``
+hash minima each; sets of similarity s share a key with probability
+1 - (1 - s**ROWS)**BANDS (0.999997 at 0.8, more above).  Candidates are compared
+exactly, in two steps:
+
+1. those by SimHash, and of each key with one set of it (a star: no more pairs than entries);
 2. of keys whose sets are not yet in one component, all pairs across components.
    Pairs inside a component cannot change the groups.
 
@@ -20,10 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, freed, fresh, joined, mixed, run_hashes, stored, text_slices, word_hashes, word_spans
-from .simhash import components
+from .simhash import components, set_fingerprints
+from .simhash import links as fingerprint_links
 from .substring_dedup import IS_WORD
 
-BANDS, ROWS, SKETCH = 32, 5, 512
+BANDS, ROWS, SKETCH, DISTANCE = 32, 5, 512, 3
 #: Sets of a key that one task compares with all others of the key, about.
 BLOCK = 256
 
@@ -82,7 +86,7 @@ def _lists(values: np.ndarray, ends: np.ndarray):
 
 
 def _marks(docs: DataFrame, row: str, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(row, id, digest, n, sketch, bands) of each text; ``digest`` stands for the set, ``n`` is its size."""
+    """(row, id, digest, n, fingerprint, sketch, bands) of each text; ``digest`` stands for the set, ``n`` is its size."""
 
     def run(batches):
         import pyarrow as pa
@@ -96,21 +100,24 @@ def _marks(docs: DataFrame, row: str, id_col: str, text_col: str, size: int) ->
                 bands = band_keys(hashes, np.append(first[full], len(hashes)))
                 ends = np.append(0, np.cumsum((np.diff(first) > 0) * BANDS))
                 sketch = parities(hashes, first)
+                prints = np.zeros(n, np.int64)
+                prints[full] = set_fingerprints(mixed(hashes, 5), np.append(first[full], len(hashes)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, n),
                         batch.column(1).slice(at, n),
                         pa.array(digests, pa.binary()),
                         pa.array(np.diff(first)),
+                        pa.array(prints),
                         _lists(sketch.ravel(), np.arange(n + 1) * sketch.shape[1]),
                         _lists(bands.ravel().view(np.int64), ends),
                     ],
-                    names=["row", "id", "digest", "n", "sketch", "bands"],
+                    names=["row", "id", "digest", "n", "fingerprint", "sketch", "bands"],
                 )
 
     run = freed(run)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(row, id_col, text_col).mapInArrow(run, f"row long, id {kind}, digest binary, n long, sketch array<long>, bands array<long>")
+    return docs.select(row, id_col, text_col).mapInArrow(run, f"row long, id {kind}, digest binary, n long, fingerprint long, sketch array<long>, bands array<long>")
 
 
 def _sets(docs: DataFrame, row: str, text_col: str, size: int) -> DataFrame:
@@ -135,10 +142,24 @@ def _may_be(similarity: float) -> Column:
     return sizes & (cells <= total * ((1 - similarity) / (1 + similarity)) + 1e-6)
 
 
+def simhash_candidates(leaders: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Pairs (a, b) of rows whose fingerprints differ in at most ``DISTANCE`` bits, and the folders they lie in.
+
+    Rows of one fingerprint pair with the first of these, which alone pairs with those of other fingerprints.
+    """
+    prints = leaders.where("n > 0").select("fingerprint", "row")
+    reps, path = stored(prints.groupBy("fingerprint").agg(F.min("row").alias("rep")))
+    same = prints.join(reps, "fingerprint").where("row <> rep").select("row", "rep")
+    near, near_path = fingerprint_links(reps, DISTANCE, "fingerprint")
+    side = lambda x, out: reps.select(F.col("fingerprint").alias(x), F.col("rep").alias(out))
+    other = near.join(side("a", "row"), "a").join(side("b", "rep"), "b").select("row", "rep")
+    return same.unionByName(other).select(F.least("row", "rep").alias("a"), F.greatest("row", "rep").alias("b")), [path, near_path]
+
+
 def links(leaders: DataFrame, texts: DataFrame, row: str, text_col: str, size: int, similarity: float) -> tuple[DataFrame, list[str]]:
     """Pairs (a, b) of rows whose components are those of all candidates that reach the similarity, and the folders they lie in.
 
-    ``leaders`` (row, n, sketch, bands) has one row of each distinct set, ``texts``
+    ``leaders`` (row, n, fingerprint, sketch, bands) has one row of each distinct set, ``texts``
     the texts by ``row``.
     """
     spark = leaders.sparkSession
@@ -169,8 +190,10 @@ def links(leaders: DataFrame, texts: DataFrame, row: str, text_col: str, size: i
     shared = entries.groupBy("key").agg(F.count("*").alias("count"), F.min(drawn).alias("low")).where("count > 1")
     shared = kept(entries.join(shared, "key").select("key", "count", "row", (drawn == F.col("low")).alias("first")))
     reps = shared.where("first").groupBy("key").agg(F.min("row").alias("rep"))
-    star = shared.join(reps, "key").where("row <> rep").select(F.least("row", "rep").alias("a"), F.greatest("row", "rep").alias("b")).distinct()
-    near = verified(star.join(side("a"), "a").join(side("b"), "b").where(_may_be(similarity)).select("a", "b"))
+    star = shared.join(reps, "key").where("row <> rep").select(F.least("row", "rep").alias("a"), F.greatest("row", "rep").alias("b"))
+    alike, alike_paths = simhash_candidates(leaders)
+    paths.extend(alike_paths)
+    near = verified(star.unionByName(alike).distinct().join(side("a"), "a").join(side("b"), "b").where(_may_be(similarity)).select("a", "b"))
     groups = kept(components(near))
     # Two sets of a key were compared already; of more, only different components are left to compare.
     named = shared.where("count > 2").join(groups.withColumnRenamed("node", "row"), "row", "left").select("key", "count", "row", F.coalesce("root", "row").alias("root"))

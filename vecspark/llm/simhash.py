@@ -43,6 +43,17 @@ def shingle_fingerprint(words: list[bytes], size: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def set_fingerprints(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The signed fingerprint of each set of shingle hashes, whose first are given (one more at the end); no set may be empty."""
+    sizes = np.diff(first)
+    ones, owner = np.zeros((len(sizes), BITS), np.int64), np.repeat(np.arange(len(sizes)), sizes)
+    for k in range(0, len(hashes), 1 << 14):
+        bits = np.unpackbits(hashes[k : k + (1 << 14)].astype(">u8").view(np.uint8)).reshape(-1, BITS)
+        sets, starts = np.unique(owner[k : k + (1 << 14)], return_index=True)
+        ones[sets] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
+
+
 def with_fingerprint(docs: DataFrame, text_col: str = "text", size: int = 3, out_col: str = "fingerprint") -> DataFrame:
     """``docs`` with the signed 64-bit fingerprint of each whole text; all other columns stay.
 
