@@ -61,3 +61,11 @@ def test_dense_cells_are_smoothed_alike(spark, monkeypatch, refs_limit, queries_
         first = min(refs, key=lambda p: (abs(p[0] - x), p[0], p[1]))[1]
         want = min(same) if same else sum(w * y for w, y in near) / sum(w for w, _ in near) if near else first
         assert got[k] == pytest.approx(want), (k, x)
+
+
+def test_nearest_refs_are_found_in_one_pass_over_each_bucket(spark):
+    refs = spark.createDataFrame([(1.0, 5.0), (2.0, 6.0), (4.0, 7.0)], "rx double, ry double")
+    asked = spark.createDataFrame([(k, x) for k, x in enumerate([0.0, 1.5, 2.0, 3.0, 3.1, 9.0])], "query_id int, x double")
+    found = loess._nearest(refs, asked, "query_id")
+    assert {r["query_id"]: r["ny"] for r in found.collect()} == {0: 5.0, 1: 5.0, 2: 6.0, 3: 6.0, 4: 7.0, 5: 7.0}
+    assert "currentrow$(), unboundedfollowing$()" not in found._jdf.queryExecution().optimizedPlan().toString()

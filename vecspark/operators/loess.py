@@ -273,9 +273,9 @@ def _nearest(refs: DataFrame, asked: DataFrame, query_id: str) -> DataFrame:
         F.max("high").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
         F.min("low").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
     )
-    order = Window.partitionBy("bucket").orderBy("x", "ry")
-    left = F.last(ref, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    right = F.first(ref, ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # Both look back only, as a frame up to the end is gone through anew for every row.
+    up, down = (Window.partitionBy("bucket").orderBy(*o).rowsBetween(Window.unboundedPreceding, Window.currentRow) for o in (("x", "ry"), (F.desc("x"), F.desc("ry"))))
+    left, right = F.last(ref, ignorenulls=True).over(up), F.last(ref, ignorenulls=True).over(down)
     placed = parts.withColumn("l", left).withColumn("r", right).where(~F.col("is_ref")).join(F.broadcast(edges), "bucket")
     l, r = F.coalesce("l", "before"), F.coalesce("r", "after")
     use_left = r["x"].isNull() | (F.col("x") - l["x"] <= r["x"] - F.col("x"))
