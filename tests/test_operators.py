@@ -388,3 +388,15 @@ def test_queries_use_the_operators_defaults(spark, monkeypatch):
     for name in ("jct_permutation_test", "contribution_permutation_test", "kmeans"):
         registry.queries()[name](spark, "/root/testdata/sf0.001")
     assert seen == {"jct_permutation_test": {}, "contribution_permutation_tests": {}, "kmeans": {}}
+
+
+def test_motions_are_joined_before_their_pairs(spark):
+    from vecspark.operators import trajectories
+
+    values = {"a": [1.0, 2.0, 4.0, 8.0], "b": [0.0, 3.0, 3.0, 5.0]}
+    traj = spark.createDataFrame([(1, f, t, x) for f, xs in values.items() for t, x in enumerate(xs)], "sample int, factor string, t int, value double")
+    found = trajectories.velocity_acceleration_contributions(traj, "raw")
+    got = {(r["factor"], r["dependent"], r["t"]): (r["velocity"], r["acceleration"]) for r in found.collect()}
+    assert len(got) == 16 and got["a", "b", 0] == (0, 0) and got["a", "b", 1] == (3, 0) and got["a", "b", 3] == (8, 4) and got["b", "b", 2] == (0, 9)
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert joins and not any("dependent#" in line for line in joins)
