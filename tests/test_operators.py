@@ -400,3 +400,35 @@ def test_motions_are_joined_before_their_pairs(spark):
     assert len(got) == 16 and got["a", "b", 0] == (0, 0) and got["a", "b", 1] == (3, 0) and got["a", "b", 3] == (8, 4) and got["b", "b", 2] == (0, 9)
     joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
     assert joins and not any("dependent#" in line for line in joins)
+
+
+def test_permutations_send_every_series_once_to_a_block(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(s, f, [rng.choice([0.0, 0.1, 0.2, 0.3, rng.random()]) for _ in range(4)]) for s in range(40) for f in "ab"]
+    t = traj(spark, rows).where("NOT (sample = 3 AND factor = 'a' AND t = 2)").withColumn("value", F.when(F.expr("sample = 4 AND factor = 'b' AND t = 1"), float("nan")).otherwise(F.col("value")))
+    whole = lambda: {(r["factor"], r["dependent"], r["sample"]): (r["total"], r["p_value"]) for r in trajectories.contribution_permutation_tests(t, 30, "raw")[1].collect()}
+    values = {(r["sample"], r["factor"], r["t"]): r["value"] for r in t.collect()}
+    place = {r["sample"]: (r["k"], r["draws"]) for r in spark.range(40).select(F.col("id").cast(t.schema["sample"].dataType).alias("sample"), F.col("id").alias("k")).select("sample", "k", F.expr("transform(sequence(1, 30), p -> pmod(k + 1 + pmod(xxhash64(0, sample, p), 39L), 40L))").alias("draws")).collect()}
+
+    def total(s, f, other, d):
+        both = [(values[s, f, k], values[other, d, k]) for k in range(4) if (s, f, k) in values and (other, d, k) in values]
+        out = 0.0
+        for x, y in both:
+            out += x * y
+        return out
+
+    want = {(f, d, s): (total(s, f, s, d), sum(total(s, f, o, d) >= total(s, f, s, d) for o in place[s][1]) / 30) for s in range(40) for f in "ab" for d in "ab"}
+    assert {k: p for k, (_, p) in whole().items()} == {k: p for k, (_, p) in want.items()}
+    monkeypatch.setattr(trajectories, "BLOCK_DRAWS", 150)  # five samples a block
+    asked = []
+    real = trajectories._Block.partners
+    assert {k: p for k, (_, p) in whole().items()} == {k: p for k, (_, p) in want.items()}
+    block = trajectories._Block((1, 2), [0], [0], False)
+    monkeypatch.setattr(trajectories._Block, "_exact", lambda self, *a: asked.append(len(a[0])) or np.ones((len(a[0]), 1, 1), bool))
+    import pyarrow as pa
+
+    block.add(np.array([0, 1]), trajectories._Partners(np.array([[[1.0, 2.0]], [[0.3, 0.1]]]), np.ones((2, 1, 2), bool)), pa.array([[1, 7], [0, 7]]))
+    real(block, np.array([7]), trajectories._Partners(np.array([[[4.0, 1.0]]]), np.ones((1, 1, 2), bool)))
+    assert not asked and block.reached.ravel().tolist() == [1, 1]  # 6 against 5, 1.3 against 0.1: told by the products of matrices
+    real(block, np.array([0]), trajectories._Partners(np.array([[[0.3, 0.1]]]), np.ones((1, 1, 2), bool)))
+    assert asked == [1]  # too close to tell
