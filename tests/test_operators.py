@@ -432,3 +432,19 @@ def test_permutations_send_every_series_once_to_a_block(spark, monkeypatch):
     assert not asked and block.reached.ravel().tolist() == [1, 1]  # 6 against 5, 1.3 against 0.1: told by the products of matrices
     real(block, np.array([0]), trajectories._Partners(np.array([[[0.3, 0.1]]]), np.ones((1, 1, 2), bool)))
     assert asked == [1]  # too close to tell
+
+
+def test_removed_genes_need_no_sort_of_their_rows(spark):
+    nan = float("nan")
+    rows = [("a", 1, 1.0), ("a", 2, nan), ("b", 1, 0.0), ("b", 2, 0.0), ("c", 1, 0.0), ("c", 2, -3.0), (None, 1, nan)]
+    long = spark.createDataFrame(rows, "gene_id string, sample int, value double")
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many genes
+        found, all_zero = quality.clean_matrix(long), quality.clean_matrix(long, drop_zero_genes=False)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, found.where("gene_id IS NOT NULL").collect()))
+        assert got == [("c", 1, 0.0), ("c", 2, -3.0)]
+        assert {r["gene_id"] for r in all_zero.collect()} == {"b", "c", None}  # a row without a gene is of none that goes
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)

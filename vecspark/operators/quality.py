@@ -54,9 +54,13 @@ def clean_matrix(long: DataFrame, strategy: str = "remove_genes", small: float |
         v = F.when(F.abs(v) <= small, F.lit(0.0)).otherwise(v)
     kept = long.withColumn(value, v)
     missing = F.col(value).isNull()
-    if strategy in ("remove_genes", "remove_samples"):
-        key = gene if strategy == "remove_genes" else sample
-        kept = kept.join(kept.where(missing).select(key).distinct(), key, "left_anti")
+    if strategy == "remove_genes":
+        # One row per gene tells both what is missing and what is zero.  Its hash table is small beside the genes' rows, which need no sort.
+        size = F.max(F.abs(value)) == 0 if drop_zero_genes else F.lit(False)
+        bad = kept.groupBy(gene).agg(F.count_if(missing).alias("__missing"), size.alias("__zero")).where("__missing > 0 OR __zero").select(gene)
+        return kept.join(bad.hint("shuffle_hash"), gene, "left_anti")
+    if strategy == "remove_samples":
+        kept = kept.join(kept.where(missing).select(sample).distinct(), sample, "left_anti")
     elif strategy == "impute_zero":
         kept = kept.withColumn(value, F.coalesce(value, F.lit(0.0)))
     else:
