@@ -481,3 +481,20 @@ def test_shards_are_the_shortest_prefixes_that_fit(spark):
             total[bits[k][:depth]] += len(t)
     want = {k: next(bits[k][:depth] for depth in range(61) if total[bits[k][:depth]] <= 1500) for k in range(len(texts))}
     assert got == {k: (prefix + ".0", total[prefix]) for k, prefix in want.items()} and len(set(want.values())) > 30
+
+
+def test_words_are_remembered_up_to_the_limit(monkeypatch):
+    from vecspark.llm import packing
+
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 3)
+    with open(queries.tokenizer_path(), encoding="utf-8") as file:
+        tokens = packing.WordTokens(file.read())
+    texts = ["one two three four five", "five four Éire, three two one", "six seven one"]
+    whole = [tokens._whole(t).tolist() for t in texts]
+    assert [x.tolist() for x in tokens.encode(texts[:1])] == whole[:1]
+    assert list(tokens.known) == ["one", "two", "three"] and len(tokens.bounds) == 4  # the first words stay, though all five came at once
+    learned = []
+    real = tokens._learn
+    monkeypatch.setattr(tokens, "_learn", lambda words: learned.extend(words) or real(words))
+    assert [x.tolist() for x in tokens.encode(texts[1:])] == whole[1:]
+    assert learned == ["five", "four", "Éire,", "six", "seven"] and list(tokens.known) == ["one", "two", "three"]

@@ -22,8 +22,8 @@ from .common import freed
 
 #: Documents of a random group, and how many groups' documents are drawn from at once.
 GROUP, DRAWN = 2048, 4
-#: Tokens after which a draw is closed early, and words that a task remembers.
-DRAW_TOKENS, KNOWN_WORDS = 8_000_000, 100_000
+#: Tokens after which a draw is closed early, words that a task remembers, and characters whose words are looked up at once.
+DRAW_TOKENS, KNOWN_WORDS, TEXT_CHARS = 8_000_000, 250_000, 1 << 21
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
@@ -177,7 +177,7 @@ class WordTokens:
         code, distinct = pd.factorize(np.array(words, dtype=object)) if words else (np.zeros(0, np.int64), [])
         known = self.known
         new = [w for w in distinct if w not in known]
-        kept = len(known)
+        kept = min(len(known) + len(new), KNOWN_WORDS)
         if new:
             self._learn(new)
         index = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[code]
@@ -187,7 +187,7 @@ class WordTokens:
         ids = self.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], length)]
         ends = total[np.cumsum([0, *map(len, split)])]
         if len(known) > KNOWN_WORDS:  # no room: these words are encoded again when they come again
-            for word in new:
+            for word in new[len(new) - (len(known) - kept) :]:
                 del known[word]
             self.bounds = self.bounds[: kept + 1]
             self.ids = self.ids[: self.bounds[-1]]
@@ -216,7 +216,7 @@ def _packed(vocabulary, capacity: int, end_id: int, rest: list[str], out_names:
             for k in range(len(column)):
                 text.append(column[k].as_py() or "")
                 size += len(text[-1])
-                if size > 1 << 20:
+                if size > TEXT_CHARS:
                     yield text
                     text, size = [], 0
             if text:
