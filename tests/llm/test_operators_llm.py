@@ -498,3 +498,29 @@ def test_words_are_remembered_up_to_the_limit(monkeypatch):
     monkeypatch.setattr(tokens, "_learn", lambda words: learned.extend(words) or real(words))
     assert [x.tolist() for x in tokens.encode(texts[1:])] == whole[1:]
     assert learned == ["five", "four", "Éire,", "six", "seven"] and list(tokens.known) == ["one", "two", "three"]
+
+
+def test_tasks_keep_words_in_few_bytes():
+    """Words lie in Arrow's buffers until they are told apart, and distinct n-grams come from a sort in place."""
+    import tracemalloc
+
+    with open(queries.tokenizer_path(), encoding="utf-8") as file:
+        tokens = packing.WordTokens(file.read())
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace() and chr(c) not in tokens.special]
+    texts = ["", " ", "\n\n", *(f"{c}one{c}{c}two three{c}" for c in spaces), "a\u180eb\u200bc", "x\x1cy"]
+    assert [x.tolist() for x in tokens.encode(texts)] == [tokens._whole(t).tolist() for t in texts]
+    tokens.encode(["some words of a text"])
+
+    def peak(run):
+        tracemalloc.start()
+        run()
+        try:
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    text = "some words of a text " * 40_000  # 200,000 words
+    assert peak(lambda: tokens.encode([text])) < 18 * len(text)  # 27 with a str for each word
+    keys = np.random.default_rng(0).integers(0, 1 << 40, 300_000)
+    want = np.unique(keys)
+    assert peak(lambda: np.testing.assert_array_equal(toxicity._distinct(keys), want)) < 4 * keys.nbytes

@@ -93,7 +93,7 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 # --- bytes of texts, inside tasks ---------------------------------------------------
 
 #: Bytes of text that a task works on at once; a longer text is one piece by itself.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 
 
 def text_slices(column):

@@ -12,6 +12,7 @@ two, which need no padding.
 from __future__ import annotations
 
 import json
+import os
 import zlib
 
 import numpy as np
@@ -23,7 +24,7 @@ from .common import freed
 #: Documents of a random group, and how many groups' documents are drawn from at once.
 GROUP, DRAWN = 2048, 4
 #: Tokens after which a draw is closed early, words that a task remembers, and characters whose words are looked up at once.
-DRAW_TOKENS, KNOWN_WORDS, TEXT_CHARS = 8_000_000, 250_000, 1 << 21
+DRAW_TOKENS, KNOWN_WORDS, TEXT_CHARS = 8_000_000, 250_000, 1 << 20
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
@@ -153,7 +154,8 @@ class WordTokens:
             shown += parts
             counts.append(len(parts))
         chunks = [" ".join(shown[k : k + 512]) for k in range(0, len(shown), 512)]
-        ids = [np.array(e.ids, np.uint32) for e in self.bare.encode_batch_fast(chunks, add_special_tokens=False)]
+        batches = (self.bare.encode_batch_fast(chunks[k : k + 8], add_special_tokens=False) for k in range(0, len(chunks), 8))
+        ids = [np.array(e.ids, np.uint32) for batch in batches for e in batch]
         ids = np.concatenate([np.zeros(0, np.uint32), *ids])
         piece_ends = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
         word_ends = piece_ends[np.cumsum(counts)] if counts else np.zeros(0, np.int64)
@@ -163,18 +165,17 @@ class WordTokens:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
         out: list[np.ndarray | None] = [None] * len(texts)
-        split = []
         for k, text in enumerate(texts):
             if any(x in text for x in self.special):
                 out[k] = self._whole(text)
-                split.append([])
-            else:
-                split.append(text.split())
-        words = [w for s in split for w in s]
-        code, distinct = pd.factorize(np.array(words, dtype=object)) if words else (np.zeros(0, np.int64), [])
+        # Words stay in Arrow's buffers (those of white space alone are empty and have no ids): only distinct ones become str.
+        split = pc.utf8_split_whitespace(pa.array(["" if done is not None else text for text, done in zip(texts, out)], pa.string()))
+        coded = split.flatten().dictionary_encode()
+        code, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         known = self.known
         new = [w for w in distinct if w not in known]
         kept = min(len(known) + len(new), KNOWN_WORDS)
@@ -185,7 +186,7 @@ class WordTokens:
         length = self.bounds[index + 1] - begin
         total = np.concatenate([[0], np.cumsum(length)])
         ids = self.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], length)]
-        ends = total[np.cumsum([0, *map(len, split)])]
+        ends = total[split.offsets.to_numpy()]
         if len(known) > KNOWN_WORDS:  # no room: these words are encoded again when they come again
             for word in new[len(new) - (len(known) - kept) :]:
                 del known[word]
@@ -197,6 +198,7 @@ class WordTokens:
 def _encoder(shared: dict) -> WordTokens:
     """The encoder of a broadcast vocabulary, kept in the broadcast value for all tasks of a Python worker."""
     if "encoder" not in shared:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads would each keep memory
         shared["encoder"] = WordTokens(shared["text"])
     return shared["encoder"]
 

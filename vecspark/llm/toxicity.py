@@ -59,12 +59,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return texts.join(picked, "id").groupBy("id", "label").agg(F.min("text").alias("text")).select(F.xxhash64("id").alias("hash"), F.col("id").cast("string").alias("id"), "label", "text"), ones / n if n else None
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The sorted distinct keys; sorts in place (``np.unique`` may hash, which takes many times the memory of the keys)."""
+    keys.sort()
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return keys[new]
+
+
 def _presence(batch_column):
     """(first row, rows, text numbers, buckets): the distinct n-grams of each text."""
     for at, n, data, offsets in text_slices(batch_column):
         codes, first = characters(data, offsets)
-        keys = [np.unique(doc.astype(np.int64) << BITS | bucket) for doc, bucket in hashed_grams(codes, first, SIZES, BITS)]
-        keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        keys = [_distinct(doc.astype(np.int64) << BITS | bucket) for doc, bucket in hashed_grams(codes, first, SIZES, BITS)]
+        keys = _distinct(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
         yield at, n, keys >> BITS, keys & ((1 << BITS) - 1)
 
 
@@ -216,8 +224,8 @@ def _text_scores(intercept: float, weight: np.ndarray, texts) -> np.ndarray:
         keys = [np.zeros(0, np.int64)]
         for doc, bucket in hashed_grams(codes, first, SIZES, BITS):
             hit = np.flatnonzero(weight[bucket])
-            keys.append(np.unique(doc[hit].astype(np.int64) << BITS | bucket[hit]))
-        keys = np.unique(np.concatenate(keys))
+            keys.append(doc[hit].astype(np.int64) << BITS | bucket[hit])
+        keys = _distinct(np.concatenate(keys))
         z = np.bincount(keys >> BITS, weight[keys & ((1 << BITS) - 1)], minlength=n) + intercept
         out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
     return np.concatenate(out)
