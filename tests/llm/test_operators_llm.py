@@ -524,3 +524,14 @@ def test_tasks_keep_words_in_few_bytes():
     keys = np.random.default_rng(0).integers(0, 1 << 40, 300_000)
     want = np.unique(keys)
     assert peak(lambda: np.testing.assert_array_equal(toxicity._distinct(keys), want)) < 4 * keys.nbytes
+
+
+def test_variants_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes the 64 variants of a fingerprint like the fingerprint itself, so it would take them for a small table."""
+    plans, real = [], simhash.stored
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(simhash, "stored", lambda df: plans.append(plan(df)) or real(df))
+    found, _ = simhash.links(spark.createDataFrame([(1,), (2,), (255,)], "fp long"))
+    assert [tuple(r) for r in found.collect()] == [(1, 2)]
+    plans.append(plan(found))
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)

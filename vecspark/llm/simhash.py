@@ -120,13 +120,14 @@ def links(prints: DataFrame, distance: int = 2, fp_col: str = "fp", hot: int = 6
     prints = prints.select(fp_col).repartition(parts, F.xxhash64(fp_col))
     entries = prints.select(F.col(fp_col).alias("fp"), F.explode(_variants(F.col(fp_col), distance)).alias("v")).select("fp", "v.segment", "v.key")
     sizes = entries.groupBy("key").count().where("count > 1")
-    shared = entries.join(sizes, "key")
+    # Spark sizes an explosion like its input, and stored tables as they are compressed: it would broadcast gigabytes.
+    shared = entries.join(sizes.hint("merge"), "key")
     pieces = F.coalesce(*(F.when(F.col("segment") == k, _pieces(F.col("fp"), s, distance)) for k, s in enumerate(_segments(distance))))
     pieces = F.when(F.col("count") > hot, pieces).otherwise(F.array(F.lit(0).cast("long")))
     keyed, path = stored(shared.select("key", F.explode(pieces).alias("piece"), "fp"))
     left, right = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    return left.join(right, ["key", "piece"]).where((F.col("a") < F.col("b")) & differ).select("a", "b").distinct(), path
+    return left.join(right.hint("merge"), ["key", "piece"]).where((F.col("a") < F.col("b")) & differ).select("a", "b").distinct(), path
 
 
 def components(edges: DataFrame) -> DataFrame:
