@@ -116,3 +116,17 @@ def test_simhash_finds_near_copies_without_any_shared_minima(spark):
     near = {(k, 30 + k) for k in range(30) if ((prints[k] ^ prints[30 + k]) & (1 << 64) - 1).bit_count() <= shingle_dedup.DISTANCE}
     found, _ = shingle_dedup.links(apart, docs.select("row", "text"), "row", "text", 5, 0.8)
     assert len(near) > 20 and {(r["a"], r["b"]) for r in found.collect()} == near
+
+
+def test_exploded_keys_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes the keys of a set, and its copies for blocks, like the set itself, so it would take them for small tables."""
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[:-1] + [f"end{k}"]) for k in range(4)] + [" ".join(words[:40] + [f"x{k}" for k in range(20)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string").withColumn("doc_id", F.col("row"))
+    leaders = shingle_dedup._marks(docs, "row", "doc_id", "text", 5).drop("digest")
+    plans, real = [], shingle_dedup.stored
+    monkeypatch.setattr(shingle_dedup, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    found, _ = shingle_dedup.links(leaders, docs.select("row", "text"), "row", "text", 5, 0.8)
+    assert {x for r in found.collect() for x in r} == {0, 1, 2, 3}
+    exploded = [[line for line in p.splitlines() if "Join" in line] for p in plans if "explode(bands" in p or "explode(sequence" in p]
+    assert len(exploded) == 2 and all(any("SortMergeJoin [key" in line for line in joins) for joins in exploded)

@@ -188,9 +188,10 @@ def links(leaders: DataFrame, texts: DataFrame, row: str, text_col: str, size: i
     # Each key's set with the smallest hash is compared with all of the key: other keys take other sets of a group.
     drawn = F.xxhash64("row", "key")
     shared = entries.groupBy("key").agg(F.count("*").alias("count"), F.min(drawn).alias("low")).where("count > 1")
-    shared = kept(entries.join(shared, "key").select("key", "count", "row", (drawn == F.col("low")).alias("first")))
+    # Joins of exploded or well compressed tables are merged: Spark sizes these too low, and would broadcast them.
+    shared = kept(entries.join(shared.hint("merge"), "key").select("key", "count", "row", (drawn == F.col("low")).alias("first")))
     reps = shared.where("first").groupBy("key").agg(F.min("row").alias("rep"))
-    star = shared.join(reps, "key").where("row <> rep").select(F.least("row", "rep").alias("a"), F.greatest("row", "rep").alias("b"))
+    star = shared.join(reps.hint("merge"), "key").where("row <> rep").select(F.least("row", "rep").alias("a"), F.greatest("row", "rep").alias("b"))
     alike, alike_paths = simhash_candidates(leaders)
     paths.extend(alike_paths)
     near = verified(star.unionByName(alike).distinct().join(side("a"), "a").join(side("b"), "b").where(_may_be(similarity)).select("a", "b"))
@@ -205,7 +206,7 @@ def links(leaders: DataFrame, texts: DataFrame, row: str, text_col: str, size: i
     two = left_over.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("row").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("bands").alias("kb"))
     # A pair is met at the smallest key of both only (where no third set has that key, it was compared already).
     once = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")
-    cross = one.join(two, ["key", "block"]).where((F.col("ra") < F.col("rb")) & _may_be(similarity) & once)
+    cross = one.join(two.hint("merge"), ["key", "block"]).where((F.col("ra") < F.col("rb")) & _may_be(similarity) & once)
     more = verified(cross.select("a", "b"))
     return groups.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more), paths
 
