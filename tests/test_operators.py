@@ -448,3 +448,32 @@ def test_removed_genes_need_no_sort_of_their_rows(spark):
         assert {r["gene_id"] for r in all_zero.collect()} == {"b", "c", None}  # a row without a gene is of none that goes
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+
+
+def test_permutations_count_single_times_with_the_totals(spark, monkeypatch):
+    rng, up, down = random.Random(6), float(np.nextafter(0.1, 1)), float(np.nextafter(0.1, 0))
+    some = [0.0, -0.0, 0.1, up, down, -0.1, -up, 3.0, 0.7, 1e-200, -2e-160, 1e200]  # products of different values may be equal, vanish or overflow
+    rows = [(s, f, [rng.choice(some) for _ in range(5)]) for s in range(40) for f in "ab"]
+    t = traj(spark, rows).where("NOT (sample = 3 AND factor = 'a' AND t = 2) AND NOT (sample = 5 AND factor = 'b')").withColumn("value", F.when(F.expr("sample = 4 AND factor = 'b' AND t = 1"), float("nan")).otherwise(F.col("value")))
+    values = {(r["sample"], r["factor"], r["t"]): r["value"] for r in t.collect()}
+    drawn = {r["s"]: r["draws"] for r in spark.range(40).select(F.col("id").cast(t.schema["sample"].dataType).alias("s"), "id").select("s", F.expr("transform(sequence(1, 30), p -> pmod(id + 1 + pmod(xxhash64(0, s, p), 39L), 40L))").alias("draws")).collect()}
+
+    def product(s, f, other, d, k):
+        return values[s, f, k] * values[other, d, k] if (s, f, k) in values and (other, d, k) in values else None
+
+    def reached(s, f, d, k):
+        own = product(s, f, s, d, k)
+        return sum(x is not None and x >= own for x in (product(s, f, o, d, k) for o in drawn[s])) / 30
+
+    want = {(s, f, d, k): (repr(product(s, f, s, d, k)), reached(s, f, d, k)) for s in range(40) for f in "ab" for d in "ab" for k in range(5) if product(s, f, s, d, k) is not None}
+
+    def found():
+        local, whole = trajectories.contribution_permutation_tests(t, 30, "raw")
+        got = {(r["sample"], r["factor"], r["dependent"], x["t"]): (repr(x["contribution"]), x["p_value"]) for r in whole.collect() for x in r["times"]}
+        assert got == {(r["sample"], r["factor"], r["dependent"], r["t"]): (repr(r["contribution"]), r["p_value"]) for r in local.collect()}
+        return got
+
+    assert found() == want
+    monkeypatch.setattr(trajectories, "BLOCK_DRAWS", 150)  # five samples a block
+    monkeypatch.setattr(trajectories, "COMPARED", 64)
+    assert found() == want
